@@ -25,16 +25,17 @@ def text_times(df):
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("request_ts", "outcome_ts")})
 
 
-def waits_sql(good: str, bad: str, hours: int, labels: tuple[str, str, str, str], broken: str = "false", pending: bool = False) -> str:
+def waits_sql(good: str, bad: str, hours: int, labels: tuple[str, str, str, str], broken: str = "false", show: str = "closed") -> str:
+    """Waits of a user and day; ``show`` is ``closed`` (deadline passed), ``decided`` or ``all``."""
     reached, aborted, timed_out, call_broken = labels
-    keep = "" if pending else "WHERE outcome <> 'PENDING'"
+    keep = {"closed": "WHERE deadline < mark", "decided": "WHERE outcome <> 'PENDING'", "all": ""}[show]
     return f"""
 WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
 s AS (SELECT *, date_trunc('day', ts) AS request FROM events),
 i AS (SELECT * FROM s WHERE ts <= request + INTERVAL {hours} HOUR),
 g AS (SELECT user_id, request, min(ts) FILTER (WHERE {good}) AS g, min(ts) FILTER (WHERE {bad}) AS b, request + INTERVAL {hours} HOUR AS deadline,
   arg_max({broken}, ts) AS broken FROM i GROUP BY 1, 2),
-o AS (SELECT user_id, request, CASE WHEN g IS NOT NULL AND (b IS NULL OR g <= b) THEN '{reached}' WHEN b IS NOT NULL THEN '{aborted}'
+o AS (SELECT user_id, request, deadline, mark, CASE WHEN g IS NOT NULL AND (b IS NULL OR g <= b) THEN '{reached}' WHEN b IS NOT NULL THEN '{aborted}'
     WHEN deadline >= mark THEN 'PENDING' WHEN broken THEN '{call_broken}' ELSE '{timed_out}' END AS outcome,
   CASE WHEN g IS NOT NULL AND (b IS NULL OR g <= b) THEN g WHEN b IS NOT NULL THEN b WHEN deadline < mark THEN deadline END AS happened FROM g, w)
 SELECT user_id, strftime(request, '%Y-%m-%d %H:%M:%S') AS request_ts, outcome, strftime(happened, '%Y-%m-%d %H:%M:%S') AS outcome_ts FROM o {keep}
@@ -57,6 +58,13 @@ def track_transitions(t: Tables):
     return text_times(finish(t, tracked, "transitions"))
 
 
+@query("track_transitions_live", waits_sql(*FLEET_SQL, show="decided"))
+def track_transitions_live(t: Tables):
+    stream = event_stream(t).withColumn("request_ts", F.date_trunc("day", "ts"))
+    tracked = trackers.track_transitions_live(stream, key="user_id", ts="ts", request_ts="request_ts", **fleet_conditions())
+    return text_times(finish(t, tracked, "live"))
+
+
 def history(t: Tables):
     rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.withColumn("request_ts", F.date_trunc("day", "ts"))
@@ -66,7 +74,7 @@ def mark(rows):
     return rows.agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("mark")).scalar()
 
 
-@query("track_history", waits_sql(*FLEET_SQL, pending=True))
+@query("track_history", waits_sql(*FLEET_SQL, show="all"))
 def track_history(t: Tables):
     rows = history(t)
     return text_times(trackers.track_history(rows, key="user_id", ts="ts", request_ts="request_ts", as_of=mark(rows), **fleet_conditions()))
@@ -111,7 +119,7 @@ def outcome_of_create(t: Tables):
     return text_times(finish(t, tracked, "creates"))
 
 
-@query("outcome_of_create_history", waits_sql(*CREATE_SQL, broken="event_type = 'purchase'", pending=True))
+@query("outcome_of_create_history", waits_sql(*CREATE_SQL, broken="event_type = 'purchase'", show="all"))
 def outcome_of_create_history(t: Tables):
     rows = history(t)
     wait = {**trackers.create_wait("text", "rc"), "timeout_seconds": 8 * 3600}

@@ -35,12 +35,13 @@ def parse_type_list(c: str | Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(parts, lambda x: x != "")), F.array().cast("array<string>"))
 
 
+def is_blank(c: str | Column) -> Column:
+    return ~as_col(c).rlike(f"[^{WHITESPACE}]")
+
+
 def fields(c: str | Column) -> Column:
     """White-space separated fields; a blank line gives an empty array."""
-    stripped = strip(c)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, f"[{WHITESPACE}]+")
-    )
+    return F.regexp_extract_all(as_col(c), F.lit(f"[^{WHITESPACE}]+"), F.lit(0))
 
 
 def field(parts: Column, n: int | Column) -> Column:
@@ -49,9 +50,14 @@ def field(parts: Column, n: int | Column) -> Column:
 
 
 def leading_number(c: str | Column) -> Column:
-    """Numeric value of the longest numeric prefix, 0 when there is none."""
-    prefix = F.regexp_extract(as_col(c), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    return F.coalesce(prefix.try_cast("double"), F.lit(0.0))
+    """Numeric value of the longest numeric prefix, 0 when there is none.
+
+    A value that is a number as a whole skips the pattern search.
+    """
+    value = as_col(c)
+    prefix = F.regexp_extract(value, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    number = F.coalesce(value.try_cast("double"), prefix.try_cast("double"))
+    return F.coalesce(F.when(value.rlike(r"^\s*[+-]?[.\d]"), number), F.lit(0.0))
 
 
 def glob_to_regex(c: str | Column) -> Column:

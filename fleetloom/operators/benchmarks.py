@@ -19,15 +19,27 @@ def latest_run(runs: DataFrame, *, key: str | Sequence[str], run_id: str = "run_
 
 
 def peak(lines: DataFrame, *, key: str | Sequence[str], pos: str = "line_no", line: str = "line") -> DataFrame:
-    """Two-field row with the greatest positive second field; the first one wins a tie."""
+    """Two-field row with the greatest positive second field; the first one wins a tie.
+
+    Rows are told apart inside the aggregate, so each line is split once.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    parts = fields(line)
-    value = leading_number(field(parts, 2))
-    rows = lines.where((F.size(parts) == 2) & (value > 0)).select(
-        *keys, field(parts, 1).alias("size"), field(parts, 2).alias("peak_text"), value.alias("peak"), F.col(pos).alias("_pos")
+    parsed = _parsed(lines, [*keys, pos], line)
+    row = (F.col("_nf") == 2) & (F.col("_number") > 0)
+    best = F.max_by(
+        F.when(row, F.struct(F.col("_first").alias("size"), F.col("_second").alias("peak_text"), F.col("_number").alias("peak"))),
+        F.when(row, F.struct(F.col("_number"), -F.col(pos))),
+    )
+    return parsed.groupBy(*keys).agg(best.alias("b")).where(F.col("b").isNotNull()).select(*keys, "b.*")
+
+
+def _parsed(lines: DataFrame, keep: Sequence[str], line: str) -> DataFrame:
+    """Lines with their field count, first two fields and the second one's value."""
+    split = lines.select(*keep, F.col(line).alias("_line"), fields(line).alias("_parts"))
+    picked = split.select(
+        *keep, "_line", F.size("_parts").alias("_nf"), field(F.col("_parts"), 1).alias("_first"), field(F.col("_parts"), 2).alias("_second")
     )
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct("size", "peak_text", "peak"), F.struct("peak", -F.col("_pos"))).alias("b"))
-    return best.select(*keys, "b.*")
+    return picked.withColumn("_number", leading_number("_second"))
 
 
 def first_match(lines: DataFrame, matches: Column, *, key: str | Sequence[str], value: Column, pos: str | Sequence[str] = "line_no") -> DataFrame:
@@ -58,43 +70,40 @@ def benchmark_summary(
     All metrics are conditional aggregates of one pass, so the lines are shuffled once,
     reduced to one partial row per run and task.
     """
-    parts, path = fields(line), F.col(relpath)
-    first, second = field(parts, 1), field(parts, 2)
-    number = leading_number(second)
+    parsed, path, text = _parsed(lines, [*key, relpath, pos], line), F.col(relpath), F.col("_line")
+    pair, number = F.col("_nf") == 2, F.col("_number")
 
-    def earliest(condition: Column, value: Column) -> Column:
-        return F.min_by(F.when(condition, value), F.when(condition, F.col(pos)))
+    def earliest(condition: Column, value: str | Column, order: Column | None = None) -> Column:
+        place = F.col(pos) if order is None else order
+        return F.min_by(F.when(condition, value if isinstance(value, Column) else F.col(value)), F.when(condition, place))
 
     def latency(file: str) -> Column:
-        return earliest((path == file) & latency_row(line), second).try_cast("double")
+        return earliest((path == file) & pair & (F.col("_first") == "8"), "_second").try_cast("double")
 
-    def peak_of(file: str, value: Column) -> Column:
-        row = (path == file) & (F.size(parts) == 2) & (number > 0)
-        return F.max_by(F.when(row, value), F.when(row, F.struct(number, -F.col(pos))))
+    def peak_of(file: str, name: str) -> list[Column]:
+        row = (path == file) & pair & (number > 0)
+        best = F.max_by(F.when(row, F.struct("_number", "_first")), F.when(row, F.struct(number, -F.col(pos))))
+        return [best["_number"].alias(f"{name}_mbs"), best["_first"].alias(f"{name}_size")]
 
-    hpcg = path.rlike(HPCG_FILE_PATTERN) & F.contains(F.col(line), F.lit("GFLOP/s rating"))
-    rating = F.try_element_at(F.split(F.col(line), "="), F.lit(2))
+    hpcg = path.rlike(HPCG_FILE_PATTERN) & F.contains(text, F.lit("GFLOP/s rating"))
+    rating = F.try_element_at(F.split(text, "="), F.lit(2))
     metrics = [
         *[
-            earliest((path == STREAM_FILE) & F.startswith(F.col(line), F.lit(f"{k}:")), second)
-            .try_cast("double").alias(f"stream_{k.lower()}_mbs")
+            earliest((path == STREAM_FILE) & (F.startswith(text, F.lit(f"{k}:"))), "_second").try_cast("double").alias(f"stream_{k.lower()}_mbs")
             for k in STREAM_KERNELS
         ],
         latency(LATENCY_FILE).alias("latency_us"),
-        peak_of(BANDWIDTH_FILE, number).alias("bandwidth_mbs"),
-        peak_of(BANDWIDTH_FILE, first).alias("bandwidth_size"),
+        *peak_of(BANDWIDTH_FILE, "bandwidth"),
         latency(LATENCY_GPU_FILE).alias("latency_gpu_us"),
-        peak_of(BANDWIDTH_GPU_FILE, number).alias("bandwidth_gpu_mbs"),
-        peak_of(BANDWIDTH_GPU_FILE, first).alias("bandwidth_gpu_size"),
+        *peak_of(BANDWIDTH_GPU_FILE, "bandwidth_gpu"),
         *[
-            earliest((path == IOR_FILE) & F.startswith(F.col(line), F.lit(op)), second)
-            .try_cast("double").alias(f"ior_{op}_mibs")
+            earliest((path == IOR_FILE) & F.startswith(text, F.lit(op)), "_second").try_cast("double").alias(f"ior_{op}_mibs")
             for op in ("write", "read")
         ],
-        F.min_by(F.when(hpcg, rating), F.when(hpcg, F.struct(path, F.col(pos)))).alias("hpcg_rating"),
-        earliest(path == COMMAND_FILE, F.col(line)).alias("command"),
+        earliest(hpcg, rating, F.struct(path, F.col(pos))).alias("hpcg_rating"),
+        earliest(path == COMMAND_FILE, "_line").alias("command"),
     ]
-    return lines.groupBy(*key).agg(*metrics)
+    return parsed.groupBy(*key).agg(*metrics)
 
 
 def run_facts(commands: DataFrame, command: str = "command") -> DataFrame:

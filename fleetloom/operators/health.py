@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.functions import fixed_values as fixed
-from fleetloom.functions.text import field, fields, strip, usable_state
+from fleetloom.functions.text import field, fields, is_blank, usable_state
 from fleetloom.operators.cost import lookback_hours
 from fleetloom.operators.kernels import first_per_key
 
@@ -30,36 +30,33 @@ def job_failures(
     return failed.select(*columns)
 
 
-def line_node_counts(line: str) -> tuple[Column, Column]:
-    """Usable and unusable nodes named by one ``<count> <state>`` line.
+def with_line_counts(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Add ``line_usable`` and ``line_unusable``: the nodes named by one ``<count> <state>`` line.
 
     A line that cannot be read counts as one unusable node; a blank line counts nothing.
     """
-    parts = fields(line)
-    count = field(parts, 1).try_cast("bigint")
-    readable = (F.size(parts) >= 2) & count.isNotNull()
-    usable = readable & usable_state(field(parts, 2))
-    zero = F.lit(0).cast("bigint")
-    good = F.when(usable, count).otherwise(zero)
+    parts, zero, one = F.col("_parts"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    split = lines.withColumn("_parts", fields(line))
+    picked = split.withColumns(
+        {"_nf": F.size(parts), "_count": field(parts, 1).try_cast("bigint"), "_ok": usable_state(field(parts, 2))}
+    )
+    readable = (F.col("_nf") >= 2) & F.col("_count").isNotNull()
+    good = F.when(readable & F.col("_ok"), F.col("_count")).otherwise(zero)
     bad = (
-        F.when(F.size(parts) == 0, zero)
-        .when(~readable, F.lit(1).cast("bigint"))
-        .when(usable, zero)
-        .otherwise(count)
+        F.when(F.col("_nf") == 0, zero).when(~readable, one).when(F.col("_ok"), zero).otherwise(F.col("_count"))
     )
-    return good, bad
+    return picked.withColumns({"line_usable": good, "line_unusable": bad}).drop("_parts", "_nf", "_count", "_ok")
 
 
 def node_state_counts(lines: DataFrame, *, key: str | Sequence[str], line: str = "line", rc: str | None = None) -> DataFrame:
     """Usable and unusable node totals per snapshot, with what the verdict needs."""
     keys = [key] if isinstance(key, str) else list(key)
-    good, bad = line_node_counts(line)
-    code = F.max(rc) if rc else F.lit(0)
-    return lines.groupBy(*keys).agg(
-        code.alias("rc"),
-        F.coalesce(F.bool_or(strip(line) != ""), F.lit(False)).alias("has_output"),
-        F.coalesce(F.sum(good), F.lit(0)).alias("usable"),
-        F.coalesce(F.sum(bad), F.lit(0)).alias("unusable"),
+    kept = lines.select(*keys, line, (F.col(rc) if rc else F.lit(0)).alias("rc"), (~is_blank(line)).alias("_written"))
+    return with_line_counts(kept, line).groupBy(*keys).agg(
+        F.max("rc").alias("rc"),
+        F.coalesce(F.bool_or("_written"), F.lit(False)).alias("has_output"),
+        F.coalesce(F.sum("line_usable"), F.lit(0)).alias("usable"),
+        F.coalesce(F.sum("line_unusable"), F.lit(0)).alias("unusable"),
     )
 
 
@@ -88,13 +85,20 @@ def annotate_nodes(lines: DataFrame, *, key: str | Sequence[str], line: str = "l
     unmarked, as do rows with fewer fields.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    header = F.array_position(F.transform(fields(line), F.upper), "STATE")
-    headers = lines.select(*keys, F.col(pos).alias("_header_pos"), header.alias("_state_field")).where("_state_field > 0")
+    split = lines.withColumn("_parts", fields(line))
+    header = F.array_position(F.transform("_parts", F.upper), "STATE")
+    headers = (
+        lines.where(F.contains(F.upper(line), F.lit("STATE")))
+        .select(*keys, F.col(pos).alias("_header_pos"), fields(line).alias("_parts"))
+        .select(*keys, "_header_pos", header.alias("_state_field"))
+        .where("_state_field > 0")
+    )
     columns = first_per_key(headers, key=keys, order="_header_pos", value=["_header_pos", "_state_field"])
-    joined = lines.join(columns, keys, "left")
-    state = field(fields(line), F.col("_state_field").cast("int"))
+    joined = split.join(columns, keys, "left")
+    state = field(F.col("_parts"), F.col("_state_field").cast("int"))
     below = F.col(pos) > F.col("_header_pos")
-    return joined.withColumn("marked", F.coalesce(below & ~usable_state(state), F.lit(False))).drop("_header_pos", "_state_field")
+    marked = F.coalesce(below & ~usable_state(state), F.lit(False))
+    return joined.withColumn("marked", marked).drop("_header_pos", "_state_field", "_parts")
 
 
 # Checks in report order.

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.text import strip
+from fleetloom.functions.text import is_blank
 from fleetloom.operators.kernels import first_per_key, latest_per_key, top_n_per_key
 
 MAX_LINES = 500
@@ -54,7 +54,7 @@ def log_tail(
 
 def tail_nonblank(lines: DataFrame, *, key: str | Sequence[str], n: int, line: str = "line", pos: str = "line_no", salts: int = 64) -> DataFrame:
     """Last ``n`` non-blank lines per file; nothing for ``n <= 0``."""
-    written = lines.where(strip(line) != "")
+    written = lines.where(~is_blank(line))
     if n <= 0:
         return written.where(F.lit(False)).withColumn("rank", F.lit(0))
     return top_n_per_key(written, key=key, order=[F.col(pos).desc()], n=n, spread=[pos], salts=salts)

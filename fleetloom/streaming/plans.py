@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions import fixed_values as fixed
 from fleetloom.functions.text import as_col
-from fleetloom.operators.health import line_node_counts
+from fleetloom.operators.health import with_line_counts
 from fleetloom.streaming.trackers import LATENESS
 
 
@@ -40,9 +40,10 @@ def node_state_stream(
 ) -> DataFrame:
     """Usable and unusable nodes per key and tumbling window, final when the window closes."""
     keys = [key] if isinstance(key, str) else list(key)
-    good, bad = line_node_counts(line)
-    windowed = stream.withWatermark(ts, lateness).groupBy(*keys, F.window(ts, window).alias("w"))
-    totals = windowed.agg(F.sum(good).alias("usable"), F.sum(bad).alias("unusable"))
+    counted = with_line_counts(stream.select(*keys, ts, line), line).withWatermark(ts, lateness)
+    totals = counted.groupBy(*keys, F.window(ts, window).alias("w")).agg(
+        F.sum("line_usable").alias("usable"), F.sum("line_unusable").alias("unusable")
+    )
     return totals.select(*keys, F.col("w.start").alias("window_start"), "usable", "unusable")
 
 

@@ -1,9 +1,12 @@
 """Waits for a status: streaming state machines and their batch twins.
 
 A request (key and request time) is watched until its status is the target, until it
-turns bad, or until its waiting time is over. The stream form emits each outcome once, as
-soon as it is known; the batch form computes the same outcomes over a history table with
-one aggregation.
+turns bad, or until its waiting time is over.
+
+``track_transitions`` treats a wait as a session that ends at its deadline and emits each
+outcome once, when the watermark passes that end; it runs on built-in operators alone.
+``track_transitions_live`` emits an outcome as soon as it is known, at the price of Python
+state per request. ``track_history`` computes the same outcomes over a history table.
 """
 
 from __future__ import annotations
@@ -44,6 +47,31 @@ def _samples(
     ).where(F.col("ts") <= F.col("deadline"))
 
 
+def _decide(grouped: DataFrame, keys: Sequence[str], labels: tuple[str, str, str, str], over: Column) -> DataFrame:
+    """Outcome of each wait from its first good and first bad sample; good wins a tie."""
+    reached, aborted, timed_out, call_broken = labels
+    good, bad = F.col("_good"), F.col("_bad")
+    good_first = good.isNotNull() & (bad.isNull() | (good <= bad))
+    outcome = (
+        F.when(good_first, reached)
+        .when(bad.isNotNull(), aborted)
+        .when(~over, PENDING)
+        .when(F.col("_last.broken"), call_broken)
+        .otherwise(timed_out)
+    )
+    at = F.when(good_first, good).when(bad.isNotNull(), bad).when(over, F.col("_deadline"))
+    return grouped.select(*keys, "request_ts", outcome.alias("outcome"), at.alias("outcome_ts"))
+
+
+def _facts() -> list[Column]:
+    return [
+        F.min(F.when(F.col("verdict") == _SUCCESS, F.col("ts"))).alias("_good"),
+        F.min(F.when(F.col("verdict") == _FAILURE, F.col("ts"))).alias("_bad"),
+        F.max(F.struct("ts", "broken")).alias("_last"),
+        F.max("deadline").alias("_deadline"),
+    ]
+
+
 def track_transitions(
     stream: DataFrame,
     *,
@@ -57,11 +85,39 @@ def track_transitions(
     lateness: str = LATENESS,
     labels: tuple[str, str, str, str] = (REACHED, ABORTED, TIMEOUT, TIMEOUT),
 ) -> DataFrame:
-    """Outcome of every request on a stream, emitted once.
+    """Final outcome of every request on a stream, once, when its deadline has passed.
 
+    Every sample opens a session window that reaches to the deadline, so the samples of a
+    request merge into one session whose end is the deadline, and the watermark closes it.
     ``labels`` name success, failure, time-out, and time-out after a last sample whose
-    call failed. At one instant success comes before failure. State is one small row per
-    open request, dropped when the watermark passes the deadline.
+    call failed.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    watched = stream.withWatermark(ts, lateness)
+    samples = _samples(watched, keys, ts, request_ts, success, failure, call_failed, timeout_seconds)
+    left = F.unix_micros("deadline") - F.unix_micros("ts") + 1
+    gap = F.make_interval(secs=(left.cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
+    sessions = samples.groupBy(*keys, "request_ts", F.session_window("ts", gap).alias("wait"))
+    return _decide(sessions.agg(*_facts()), keys, labels, F.lit(True))
+
+
+def track_transitions_live(
+    stream: DataFrame,
+    *,
+    key: str | Sequence[str],
+    ts: str,
+    request_ts: str,
+    success: Column,
+    failure: Column,
+    call_failed: Column | None = None,
+    timeout_seconds: int = fixed.FLEET_WAIT_SECONDS,
+    lateness: str = LATENESS,
+    labels: tuple[str, str, str, str] = (REACHED, ABORTED, TIMEOUT, TIMEOUT),
+) -> DataFrame:
+    """Outcome of every request on a stream, emitted once and as soon as it is known.
+
+    State is one small row per open request, dropped when the watermark passes the
+    deadline. A request has at most as many samples as polls fit into its waiting time.
     """
     keys = [key] if isinstance(key, str) else list(key)
     watched = stream.withWatermark(ts, lateness)
@@ -78,37 +134,42 @@ def track_transitions(
     state_type = "done boolean, last_us long, last_broken boolean, deadline_us long"
     reached, aborted, timed_out, call_broken = labels
 
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(outcome: str, at_us: int) -> pd.DataFrame:
-            names = [*keys, "request_ts", "outcome", "outcome_ts"]
-            at = pd.Timestamp(at_us, unit="us")
-            return pd.DataFrame([[*group, outcome, at]], columns=names)
+    names = [f.name for f in output.fields]
+
+    def row(group: tuple, outcome: str, at_us: int) -> pd.DataFrame:
+        values = [*group, outcome, pd.Timestamp(at_us, unit="us")]
+        return pd.DataFrame({name: [value] for name, value in zip(names, values)})
 
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             done, _, last_broken, deadline_us = state.get
             state.remove()
             if not done:
-                yield row(call_broken if last_broken else timed_out, deadline_us)
+                yield row(group, call_broken if last_broken else timed_out, deadline_us)
             return
         done, last_us, last_broken, deadline_us = state.get if state.exists else (False, -1, False, 0)
         best: tuple[int, int] | None = None
         for frame in frames:
-            at = frame["ts"].astype("datetime64[us]").astype("int64")
-            deadline_us = int(frame["deadline"].astype("datetime64[us]").astype("int64").iloc[0])
-            newest = at.idxmax()
+            at, verdict = frame["ts_us"].to_numpy(), frame["verdict"].to_numpy()
+            deadline_us = int(frame["deadline_us"].iat[0])
+            newest = int(at.argmax())
             if at[newest] > last_us:
-                last_us, last_broken = int(at[newest]), bool(frame["broken"][newest])
-            decisive = frame["verdict"] > 0
-            if decisive.any():
-                found = min(zip(at[decisive], -frame["verdict"][decisive]))
-                best = found if best is None else min(best, found)
+                last_us, last_broken = int(at[newest]), bool(frame["broken"].iat[newest])
+            for value in (_SUCCESS, _FAILURE):
+                hits = at[verdict == value]
+                if hits.size:
+                    found = (int(hits.min()), -value)
+                    best = found if best is None else min(best, found)
         if best is not None and not done:
             done = True
-            yield row(reached if -best[1] == _SUCCESS else aborted, int(best[0]))
+            yield row(group, reached if -best[1] == _SUCCESS else aborted, best[0])
         state.update((done, last_us, last_broken, deadline_us))
         state.setTimeoutTimestamp(deadline_us // 1000 + 1)
 
-    return samples.groupBy(*keys, "request_ts").applyInPandasWithState(
+    packed = samples.select(
+        *keys, "request_ts", "ts", F.unix_micros("ts").alias("ts_us"), "verdict", "broken", F.unix_micros("deadline").alias("deadline_us")
+    )
+    return packed.groupBy(*keys, "request_ts").applyInPandasWithState(
         step, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -132,24 +193,8 @@ def track_history(
     """
     keys = [key] if isinstance(key, str) else list(key)
     samples = _samples(history, keys, ts, request_ts, success, failure, call_failed, timeout_seconds)
-    reached, aborted, timed_out, call_broken = labels
-    best = samples.groupBy(*keys, "request_ts").agg(
-        F.min(F.when(F.col("verdict") == _SUCCESS, F.col("ts"))).alias("_good"),
-        F.min(F.when(F.col("verdict") == _FAILURE, F.col("ts"))).alias("_bad"),
-        F.max(F.struct("ts", "broken"))["broken"].alias("_broken"),
-        F.max("deadline").alias("_deadline"),
-    )
-    good_first = F.col("_good").isNotNull() & (F.col("_bad").isNull() | (F.col("_good") <= F.col("_bad")))
-    over = F.col("_deadline") < as_of
-    outcome = (
-        F.when(good_first, reached)
-        .when(F.col("_bad").isNotNull(), aborted)
-        .when(~over, PENDING)
-        .when(F.col("_broken"), call_broken)
-        .otherwise(timed_out)
-    )
-    at = F.when(good_first, F.col("_good")).when(F.col("_bad").isNotNull(), F.col("_bad")).when(over, F.col("_deadline"))
-    return best.select(*keys, "request_ts", outcome.alias("outcome"), at.alias("outcome_ts"))
+    grouped = samples.groupBy(*keys, "request_ts").agg(*_facts())
+    return _decide(grouped, keys, labels, F.col("_deadline") < as_of)
 
 
 # --- conditions of the known waits -------------------------------------------------------
