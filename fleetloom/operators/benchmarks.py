@@ -35,7 +35,7 @@ def peak(lines: DataFrame, *, key: str | Sequence[str], pos: str = "line_no", li
 
 def _parsed(lines: DataFrame, keep: Sequence[str], line: str) -> DataFrame:
     """Lines with their field count, first two fields and the second one's value."""
-    split = lines.select(*keep, F.col(line).alias("_line"), fields(line).alias("_parts"))
+    split = lines.select(*keep, F.col(line).alias("_line"), fields(line, TOOL_BLANKS).alias("_parts"))
     picked = split.select(
         *keep, "_line", F.size("_parts").alias("_nf"), field(F.col("_parts"), 1).alias("_first"), field(F.col("_parts"), 2).alias("_second")
     )
@@ -50,10 +50,13 @@ def first_match(lines: DataFrame, matches: Column, *, key: str | Sequence[str],
 
 
 def latency_row(line: str = "line", size: str = "8") -> Column:
-    parts = fields(line)
+    parts = fields(line, TOOL_BLANKS)
     return (F.size(parts) == 2) & (field(parts, 1) == size)
 
 
+# Fixed value: what separates the fields of tool output.
+TOOL_BLANKS = " \t\n"
+
 # Result files of a run below its own folder.
 STREAM_FILE, IOR_FILE, COMMAND_FILE = "stream.txt", "ior.txt", "cmd.txt"
 LATENCY_FILE, BANDWIDTH_FILE = "osu/latency.txt", "osu/bandwidth.txt"
@@ -67,43 +70,65 @@ def benchmark_summary(
 ) -> DataFrame:
     """One row per run with every metric of the report; absent tests are NULL.
 
-    All metrics are conditional aggregates of one pass, so the lines are shuffled once,
-    reduced to one partial row per run and task.
+    Each line is told once which metric it states, if any, and keeps only that value; all
+    metrics are then conditional aggregates of one pass, reduced to a row per run and task
+    before the shuffle.
     """
     parsed, path, text = _parsed(lines, [*key, relpath, pos], line), F.col(relpath), F.col("_line")
-    pair, number = F.col("_nf") == 2, F.col("_number")
-
-    def earliest(condition: Column, value: str | Column, order: Column | None = None) -> Column:
-        place = F.col(pos) if order is None else order
-        return F.min_by(F.when(condition, value if isinstance(value, Column) else F.col(value)), F.when(condition, place))
-
-    def latency(file: str) -> Column:
-        return earliest((path == file) & pair & (F.col("_first") == "8"), "_second").try_cast("double")
-
-    def peak_of(file: str, name: str) -> list[Column]:
-        row = (path == file) & pair & (number > 0)
-        best = F.max_by(F.when(row, F.struct("_number", "_first")), F.when(row, F.struct(number, -F.col(pos))))
-        return [best["_number"].alias(f"{name}_mbs"), best["_first"].alias(f"{name}_size")]
-
-    hpcg = path.rlike(HPCG_FILE_PATTERN) & F.contains(text, F.lit("GFLOP/s rating"))
+    pair = F.col("_nf") == 2
+    eight, positive = pair & (F.col("_first") == "8"), pair & (F.col("_number") > 0)
+    kind = F
+    for kernel in STREAM_KERNELS:
+        kind = kind.when((path == STREAM_FILE) & F.startswith(text, F.lit(f"{kernel}:")), f"stream_{kernel.lower()}_mbs")
+    for operation in ("write", "read"):
+        kind = kind.when((path == IOR_FILE) & F.startswith(text, F.lit(operation)), f"ior_{operation}_mibs")
+    kind = (
+        kind.when((path == LATENCY_FILE) & eight, "latency_us")
+        .when((path == LATENCY_GPU_FILE) & eight, "latency_gpu_us")
+        .when((path == BANDWIDTH_FILE) & positive, "bandwidth")
+        .when((path == BANDWIDTH_GPU_FILE) & positive, "bandwidth_gpu")
+        .when(path == COMMAND_FILE, "command")
+        .when(F.contains(text, F.lit("GFLOP/s rating")) & path.rlike(HPCG_FILE_PATTERN), "hpcg_rating")
+    )
+    told = parsed.withColumn("_kind", kind)
     rating = F.try_element_at(F.split(text, "="), F.lit(2))
-    metrics = [
-        *[
-            earliest((path == STREAM_FILE) & (F.startswith(text, F.lit(f"{k}:"))), "_second").try_cast("double").alias(f"stream_{k.lower()}_mbs")
-            for k in STREAM_KERNELS
-        ],
-        latency(LATENCY_FILE).alias("latency_us"),
-        *peak_of(BANDWIDTH_FILE, "bandwidth"),
-        latency(LATENCY_GPU_FILE).alias("latency_gpu_us"),
-        *peak_of(BANDWIDTH_GPU_FILE, "bandwidth_gpu"),
-        *[
-            earliest((path == IOR_FILE) & F.startswith(text, F.lit(op)), "_second").try_cast("double").alias(f"ior_{op}_mibs")
-            for op in ("write", "read")
-        ],
-        earliest(hpcg, rating, F.struct(path, F.col(pos))).alias("hpcg_rating"),
-        earliest(path == COMMAND_FILE, "_line").alias("command"),
-    ]
-    return parsed.groupBy(*key).agg(*metrics)
+    narrow = told.select(
+        *key,
+        pos,
+        "_kind",
+        F.when(F.col("_kind") == "hpcg_rating", path).alias("_file"),
+        F.when(F.col("_kind") == "hpcg_rating", rating)
+        .when(F.col("_kind") == "command", text)
+        .when(F.startswith("_kind", F.lit("bandwidth")), F.col("_first"))
+        .when(F.col("_kind").isNotNull(), F.col("_second"))
+        .alias("_text"),
+        F.when(F.startswith("_kind", F.lit("bandwidth")), F.col("_number")).alias("_number"),
+    )
+
+    def earliest(name: str, *order: str) -> Column:
+        states = F.col("_kind") == name
+        place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+        return F.min_by("_text", F.when(states, place))
+
+    def peak_of(name: str) -> list[Column]:
+        row = F.col("_kind") == name
+        best = F.max_by(F.struct("_number", "_text"), F.when(row, F.struct(F.col("_number"), -F.col(pos))))
+        return [best["_number"].alias(f"{name}_mbs"), best["_text"].alias(f"{name}_size")]
+
+    def measured(name: str) -> Column:
+        return earliest(name, pos).try_cast("double").alias(name)
+
+    return narrow.groupBy(*key).agg(
+        *[measured(f"stream_{kernel.lower()}_mbs") for kernel in STREAM_KERNELS],
+        measured("latency_us"),
+        *peak_of("bandwidth"),
+        measured("latency_gpu_us"),
+        *peak_of("bandwidth_gpu"),
+        measured("ior_write_mibs"),
+        measured("ior_read_mibs"),
+        earliest("hpcg_rating", "_file", pos).alias("hpcg_rating"),
+        earliest("command", pos).alias("command"),
+    )
 
 
 def run_facts(commands: DataFrame, command: str = "command") -> DataFrame:

@@ -122,56 +122,61 @@ def track_transitions_live(
     keys = [key] if isinstance(key, str) else list(key)
     watched = stream.withWatermark(ts, lateness)
     samples = _samples(watched, keys, ts, request_ts, success, failure, call_failed, timeout_seconds)
-    types = {f.name: f.dataType for f in samples.schema.fields}
+    packed = samples.select(
+        *keys,
+        F.unix_micros("request_ts").alias("request_us"),
+        "ts",
+        (F.col("verdict") * 2 + F.col("broken").cast("int")).alias("code"),
+    )
+    types = {f.name: f.dataType for f in packed.schema.fields}
     output = T.StructType(
         [T.StructField(k, types[k]) for k in keys]
-        + [
-            T.StructField("request_ts", T.TimestampType()),
-            T.StructField("outcome", T.StringType()),
-            T.StructField("outcome_ts", T.TimestampType()),
-        ]
+        + [T.StructField("request_us", T.LongType()), T.StructField("outcome", T.StringType()), T.StructField("outcome_us", T.LongType())]
     )
-    state_type = "done boolean, last_us long, last_broken boolean, deadline_us long"
+    state_type = "done boolean, last_us long, last_broken boolean"
     reached, aborted, timed_out, call_broken = labels
-
     names = [f.name for f in output.fields]
+    wait_us = timeout_seconds * 1_000_000
 
     def row(group: tuple, outcome: str, at_us: int) -> pd.DataFrame:
-        values = [*group, outcome, pd.Timestamp(at_us, unit="us")]
-        return pd.DataFrame({name: [value] for name, value in zip(names, values)})
+        return pd.DataFrame({name: [value] for name, value in zip(names, (*group, outcome, at_us))})
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        deadline_us = int(group[-1]) + wait_us
         if state.hasTimedOut:
-            done, _, last_broken, deadline_us = state.get
+            done, _, last_broken = state.get
             state.remove()
             if not done:
                 yield row(group, call_broken if last_broken else timed_out, deadline_us)
             return
-        done, last_us, last_broken, deadline_us = state.get if state.exists else (False, -1, False, 0)
+        done, last_us, last_broken = state.get if state.exists else (False, -1, False)
         best: tuple[int, int] | None = None
         for frame in frames:
-            at, verdict = frame["ts_us"].to_numpy(), frame["verdict"].to_numpy()
-            deadline_us = int(frame["deadline_us"].iat[0])
+            at = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            code = frame["code"].to_numpy()
             newest = int(at.argmax())
             if at[newest] > last_us:
-                last_us, last_broken = int(at[newest]), bool(frame["broken"].iat[newest])
+                last_us, last_broken = int(at[newest]), bool(code[newest] % 2)
             for value in (_SUCCESS, _FAILURE):
-                hits = at[verdict == value]
+                hits = at[code // 2 == value]
                 if hits.size:
                     found = (int(hits.min()), -value)
                     best = found if best is None else min(best, found)
         if best is not None and not done:
             done = True
             yield row(group, reached if -best[1] == _SUCCESS else aborted, best[0])
-        state.update((done, last_us, last_broken, deadline_us))
+        state.update((done, last_us, last_broken))
         state.setTimeoutTimestamp(deadline_us // 1000 + 1)
 
-    packed = samples.select(
-        *keys, "request_ts", "ts", F.unix_micros("ts").alias("ts_us"), "verdict", "broken", F.unix_micros("deadline").alias("deadline_us")
-    )
-    return packed.groupBy(*keys, "request_ts").applyInPandasWithState(
+    outcomes = packed.groupBy(*keys, "request_us").applyInPandasWithState(
         step, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return outcomes.select(
+        *keys,
+        F.timestamp_micros("request_us").alias("request_ts"),
+        "outcome",
+        F.timestamp_micros("outcome_us").alias("outcome_ts"),
+    )
 
 
 def track_history(
