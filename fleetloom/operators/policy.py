@@ -82,18 +82,22 @@ def coverage_diff(a: DataFrame, b: DataFrame, *, keys: Sequence[str], names: tup
     return flags.select(*keys, one.alias("side")).where(F.col("side").isNotNull())
 
 
-def prefix_status(prefixes: DataFrame, listing: DataFrame, *, bucket: str = "bucket", prefix: str = "prefix", object_key: str = "key", required: str = "required") -> DataFrame:
+def prefix_status(prefixes: DataFrame, listing: DataFrame, *, bucket: str = "bucket", prefix: str = "prefix", object_key: str = "key", required: str = "required", salts: int = 64) -> DataFrame:
     """Each prefix with ``exempt``, ``nonempty`` or ``empty``.
 
     An object's key is cut to the prefix lengths asked for in its bucket and the cuts are
-    deduplicated before they meet the prefixes, so no key is compared with every prefix
-    and a full bucket shrinks to its distinct cuts map-side.
+    deduplicated before they meet the prefixes, so no key is compared with every prefix.
+    The listing is spread over ``salts`` parts of each bucket: a bucket that holds most
+    objects is cut in many tasks and shrinks to its distinct cuts before the next shuffle.
     """
     asked = prefixes.where(F.col(required))
     lengths = asked.groupBy(bucket).agg(F.collect_set(F.length(prefix)).alias("_lengths"))
-    cuts = F.transform(F.filter("_lengths", lambda n: n <= F.length(object_key)), lambda n: F.substring(F.col(object_key), F.lit(1), n))
+    spread = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = listing.select(bucket, object_key, F.pmod(F.xxhash64(object_key), F.lit(salts)).cast("int").alias("_salt"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length(object_key))
+    cuts = F.transform(fitting, lambda n: F.substring(F.col(object_key), F.lit(1), n))
     seen = (
-        listing.join(lengths, bucket)
+        salted.join(spread, [bucket, "_salt"])
         .select(bucket, F.explode(cuts).alias(prefix))
         .distinct()
         .withColumn("_seen", F.lit(True))

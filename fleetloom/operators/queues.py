@@ -169,23 +169,33 @@ def queue_apply(queues: DataFrame, changes: DataFrame, *, cluster: str = "cluste
     """Apply ``add`` and ``remove`` changes; returns the new queues and the rejected changes.
 
     Adding an existing queue, removing an unknown one and removing the last one are
-    rejected with a reason. A cluster's queues are counted by aggregation, not collected.
+    rejected with a reason. Queues and changes are reduced together to one row per queue;
+    a cluster's queues are counted, never collected.
     """
-    existing = queues.select(cluster, queue, F.lit(True).alias("_exists"))
+    nothing = F.lit(None).cast("string")
+    present = queues.select(cluster, queue, F.lit(True).alias("_there"), nothing.alias("action"))
+    wanted = changes.select(cluster, queue, F.lit(False).alias("_there"), "action")
+    there, add, remove = F.col("_there"), F.col("_add"), F.col("_remove")
+    state = present.unionByName(wanted).groupBy(cluster, queue).agg(
+        F.bool_or("_there").alias("_there"),
+        F.coalesce(F.bool_or(F.col("action") == "add"), F.lit(False)).alias("_add"),
+        F.coalesce(F.bool_or(F.col("action") == "remove"), F.lit(False)).alias("_remove"),
+    )
     sizes = queues.groupBy(cluster).agg(F.count("*").alias("_queues"))
-    judged = changes.join(existing, [cluster, queue], "left").join(sizes, cluster, "left")
-    there = F.col("_exists").isNotNull()
-    reason = (
-        F.when((F.col("action") == "add") & there, "already exists")
-        .when((F.col("action") == "remove") & ~there, "not found")
-        .when((F.col("action") == "remove") & (F.col("_queues") == 1), "last queue")
+    judged = state.join(sizes, cluster, "left")
+    last = F.col("_queues") == 1
+    applied = judged.where((there & ~(remove & ~last)) | (~there & add)).select(cluster, queue)
+
+    def rejected(action: str, reason: str, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason")))
+
+    reasons = F.array(
+        rejected("add", "already exists", there & add),
+        rejected("remove", "not found", ~there & remove),
+        rejected("remove", "last queue", there & remove & last),
     )
-    judged = judged.withColumn("reason", reason).drop("_exists", "_queues")
-    accepted = judged.where(F.col("reason").isNull())
-    removed = accepted.where(F.col("action") == "remove").select(cluster, queue)
-    added = accepted.where(F.col("action") == "add").select(cluster, queue)
-    kept = queues.join(removed, [cluster, queue], "left_anti").select(cluster, queue)
-    return kept.unionByName(added), judged.where(F.col("reason").isNotNull())
+    refused = judged.select(cluster, queue, F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("r"))
+    return applied, refused.select(cluster, queue, "r.*")
 
 
 def first_subnets(requests: DataFrame, subnets: DataFrame, **names: str) -> DataFrame:

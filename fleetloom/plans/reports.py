@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions.values import age_label, epoch_ms_text
 from fleetloom.operators import benchmarks, cost, health, inventory, logs, pricing, quality, queues
+from fleetloom.operators.kernels import latest_per_key
 from fleetloom.sources.readers import normalize_records
 
 
@@ -79,11 +80,16 @@ def recent_log_lines(
 
 
 def benchmark_report(lines: DataFrame, *, latest_only: bool = True) -> DataFrame:
-    """Metrics of every run, or of the newest run per cluster and build."""
+    """Metrics of every run, or of the newest run per cluster and build.
+
+    Lines are reduced to one row per run first; the newest run is picked among those.
+    """
+    summary = benchmarks.benchmark_summary(lines)
     if latest_only:
-        runs = lines.select("cluster", "serial", "run_id").distinct()
-        lines = lines.join(benchmarks.latest_run(runs, key=["cluster", "serial"]), ["cluster", "serial", "run_id"], "left_semi")
-    return benchmarks.run_facts(benchmarks.benchmark_summary(lines))
+        build = ["cluster", "serial"]
+        rest = [c for c in summary.columns if c not in build]
+        summary = latest_per_key(summary.where(F.col("run_id").rlike("^[0-9]")), key=build, order="run_id", value=rest)
+    return benchmarks.run_facts(summary)
 
 
 def build_estimate(

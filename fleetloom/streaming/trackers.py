@@ -56,7 +56,7 @@ def _decide(grouped: DataFrame, keys: Sequence[str], labels: tuple[str, str, str
         F.when(good_first, reached)
         .when(bad.isNotNull(), aborted)
         .when(~over, PENDING)
-        .when(F.col("_last.broken"), call_broken)
+        .when(F.col("_last") % 2 == 1, call_broken)
         .otherwise(timed_out)
     )
     at = F.when(good_first, good).when(bad.isNotNull(), bad).when(over, F.col("_deadline"))
@@ -67,7 +67,8 @@ def _facts() -> list[Column]:
     return [
         F.min(F.when(F.col("verdict") == _SUCCESS, F.col("ts"))).alias("_good"),
         F.min(F.when(F.col("verdict") == _FAILURE, F.col("ts"))).alias("_bad"),
-        F.max(F.struct("ts", "broken")).alias("_last"),
+        # time and flag of the last sample in one number, which a hash aggregate can hold
+        F.max(F.unix_micros("ts") * 2 + F.col("broken").cast("int")).alias("_last"),
         F.max("deadline").alias("_deadline"),
     ]
 
