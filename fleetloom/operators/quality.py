@@ -12,15 +12,20 @@ from fleetloom.functions.text import as_col, has_prefix
 from fleetloom.operators.inventory import valid_key
 
 
-def rule_violations(df: DataFrame, rules: Mapping[str, Column], *, key: str | Sequence[str]) -> DataFrame:
-    """One row per entity and rule it breaks. A rule is the condition that must hold.
+def broken_rules(rules: Mapping[str, Column]) -> Column:
+    """Names of the rules a row breaks. A rule is the condition that must hold.
 
-    All rules are evaluated in one projection; a rule that cannot be evaluated (NULL) is
-    broken, because an absent value is not evidence that it is legal.
+    A rule that cannot be evaluated (NULL) is broken, because an absent value is not
+    evidence that it is legal.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     broken = F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules.items()])
-    return df.select(*keys, F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("rule"))
+    return F.filter(broken, lambda r: r.isNotNull())
+
+
+def rule_violations(df: DataFrame, rules: Mapping[str, Column], *, key: str | Sequence[str]) -> DataFrame:
+    """One row per entity and rule it breaks; all rules are evaluated in one projection."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.select(*keys, F.explode(broken_rules(rules)).alias("rule"))
 
 
 # --- single rules: each returns the condition that must hold ---------------------------
@@ -158,12 +163,8 @@ def volume_violation(size: Column, kind: Column, iops: Column, throughput: Colum
     )
 
 
-def volume_bounds(configs: DataFrame, *, key: str) -> DataFrame:
-    """Volumes that break a limit, with the first limit they break.
-
-    The four volumes of a configuration become rows inside the row; a queue's volume
-    counts only when the queue is enabled.
-    """
+def volume_entries() -> Column:
+    """The four volumes of a configuration as an array; a queue's volume only when it is enabled."""
     enabled = {"compute": F.col("enable_cpu_queue"), "gpu": F.col("enable_gpu_queue")}
     entries = [
         F.when(
@@ -176,11 +177,27 @@ def volume_bounds(configs: DataFrame, *, key: str) -> DataFrame:
         )
         for v in VOLUMES
     ]
-    rows = configs.select(key, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_v")).select(key, "_v.*")
+    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+
+
+def volume_bounds(configs: DataFrame, *, key: str) -> DataFrame:
+    """Volumes that break a limit, with the first limit they break."""
+    rows = configs.select(key, F.explode(volume_entries()).alias("_v")).select(key, "_v.*")
     first = volume_violation(F.col("size"), F.col("type"), F.col("iops"), F.col("throughput"))
     return rows.withColumn("violation", first).where(F.col("violation").isNotNull())
 
 
+def broken_volumes() -> Column:
+    """``volume_<name>_<limit>`` for every volume of a row that breaks a limit."""
+    labels = F.transform(
+        volume_entries(),
+        lambda v: F.concat(
+            F.lit("volume_"), v["volume"], F.lit("_"), volume_violation(v["size"], v["type"], v["iops"], v["throughput"])
+        ),
+    )
+    return F.filter(labels, lambda label: label.isNotNull())
+
+
 # --- bucket pairs and layers -------------------------------------------------------------
 
 

@@ -106,12 +106,9 @@ def build_estimate(
 
 
 def configuration_findings(configs: DataFrame, rules: dict[str, Column], *, key: str) -> DataFrame:
-    """Broken rules and broken volume limits of each configuration in one list."""
-    broken = quality.rule_violations(configs, rules, key=key)
-    volumes = quality.volume_bounds(configs, key=key).select(
-        key, F.concat_ws("_", F.lit("volume"), "volume", "violation").alias("rule")
-    )
-    return broken.unionByName(volumes)
+    """Broken rules and broken volume limits of each configuration in one list and one pass."""
+    findings = F.concat(quality.broken_rules(rules), quality.broken_volumes())
+    return configs.select(key, F.explode(findings).alias("rule"))
 
 
 def queue_overview(configs: DataFrame, types: DataFrame) -> DataFrame:
