@@ -116,6 +116,18 @@ POLICY_PLACEHOLDERS = (
     "<CLUSTER_NAME>", "<CLUSTER_OWNER>", "<CLUSTER_SERIAL_DATESTAMP>",
 )
 
+# --- fixed values: texts of reports ----------------------------------------------------
+TEXT_CALL_FAILED = "sinfo returned rc="
+TEXT_NO_PARTITIONS = "sinfo reported no partitions"
+TEXT_NONE_USABLE = ("no usable nodes: ", " node(s) down/drained/unknown")
+TEXT_SOME_USABLE = (" node(s) usable, ", " down/drained")
+TEXT_TYPES_MISSING = " type(s) unavailable"
+TEXT_COST_UNAVAILABLE = "unavailable — "
+TEXT_COST_ZERO = "$0.00 *"
+TEXT_STATUS_UNKNOWN, TEXT_STATUS_ERROR, TEXT_STATUS_LOCAL = "?", "ERR", "LOCAL"
+TEXT_NO_RECORD = "unknown"
+TEXT_UNDEFINED = "UNDEFINED"
+
 # --- fixed values: expected benchmark bands (metric, label, low, high; high excluded) --
 BENCHMARK_BANDS = (
     ("latency_us", "efa", 0.0, 2.0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.functions import fixed_values as fixed
 from fleetloom.functions.text import as_col
 from fleetloom.functions.values import as_instant, to_money
 
@@ -80,7 +81,7 @@ def cost_report(
     join. ``status`` is ``unavailable`` (source error), ``zero`` or ``value``.
     """
     known = names.join(inventory.select(key, "owner", "region"), key, "left").withColumns(
-        {"owner": F.coalesce("owner", F.lit("unknown")), "region": F.coalesce("region", F.lit("unknown"))}
+        {"owner": F.coalesce("owner", F.lit(fixed.TEXT_NO_RECORD)), "region": F.coalesce("region", F.lit(fixed.TEXT_NO_RECORD))}
     )
     if owner is not None:
         known = known.where(F.col("owner") == owner)
@@ -105,8 +106,8 @@ def cost_label(total: str | Column, error: str | Column) -> Column:
     """Printed form of a cost: reason, ``$0.00 *`` for nothing, or dollars with two decimals."""
     amount = as_col(total).cast("double")
     return (
-        F.when(as_col(error).isNotNull(), F.concat(F.lit("unavailable — "), as_col(error)))
-        .when(F.coalesce(amount, F.lit(0.0)) == 0, F.lit("$0.00 *"))
+        F.when(as_col(error).isNotNull(), F.concat(F.lit(fixed.TEXT_COST_UNAVAILABLE), as_col(error)))
+        .when(F.coalesce(amount, F.lit(0.0)) == 0, F.lit(fixed.TEXT_COST_ZERO))
         .otherwise(F.format_string("$%.2f", amount))
     )
 

@@ -62,6 +62,7 @@ def node_state_counts(lines: DataFrame, *, key: str | Sequence[str], line: str =
 
 def slurm_verdict(counts: DataFrame) -> DataFrame:
     """PASS or FAIL per snapshot with the reason or the degradation note."""
+    none_text, some_text = fixed.TEXT_NONE_USABLE, fixed.TEXT_SOME_USABLE
     n_bad = F.col("unusable").cast("string")
     n_ok = F.col("usable").cast("string")
     failed_call = F.col("rc") != 0
@@ -70,10 +71,10 @@ def slurm_verdict(counts: DataFrame) -> DataFrame:
     return counts.withColumns(
         {
             "verdict": F.when(failed_call | silent | none_usable, "FAIL").otherwise("PASS"),
-            "detail": F.when(failed_call, F.concat(F.lit("sinfo returned rc="), F.col("rc").cast("string")))
-            .when(silent, F.lit("sinfo reported no partitions"))
-            .when(none_usable, F.concat(F.lit("no usable nodes: "), n_bad, F.lit(" node(s) down/drained/unknown")))
-            .when(F.col("unusable") > 0, F.concat(n_ok, F.lit(" node(s) usable, "), n_bad, F.lit(" down/drained"))),
+            "detail": F.when(failed_call, F.concat(F.lit(fixed.TEXT_CALL_FAILED), F.col("rc").cast("string")))
+            .when(silent, F.lit(fixed.TEXT_NO_PARTITIONS))
+            .when(none_usable, F.concat(F.lit(none_text[0]), n_bad, F.lit(none_text[1])))
+            .when(F.col("unusable") > 0, F.concat(n_ok, F.lit(some_text[0]), n_bad, F.lit(some_text[1]))),
         }
     )
 

@@ -44,13 +44,13 @@ def with_live_status(
     never answered, ``LOCAL`` when nobody asked (``snapshots`` is None).
     """
     if snapshots is None:
-        return inventory.withColumn("status", F.lit("LOCAL"))
+        return inventory.withColumn("status", F.lit(fixed.TEXT_STATUS_LOCAL))
     latest = latest_per_key(snapshots, key=key, order=[ts, *tiebreak], value=["rc", "cluster_status", "stack_status"])
     joined = inventory.join(latest, key, "left")
     text = F.concat(
-        F.coalesce("cluster_status", F.lit("?")), F.lit(" / "), F.coalesce("stack_status", F.lit("?"))
+        F.coalesce("cluster_status", F.lit(fixed.TEXT_STATUS_UNKNOWN)), F.lit(" / "), F.coalesce("stack_status", F.lit(fixed.TEXT_STATUS_UNKNOWN))
     )
-    status = F.when(F.coalesce(F.col("rc"), F.lit(1)) != 0, F.lit("ERR")).otherwise(text)
+    status = F.when(F.coalesce(F.col("rc"), F.lit(1)) != 0, F.lit(fixed.TEXT_STATUS_ERROR)).otherwise(text)
     return joined.withColumn("status", status).drop("rc", "cluster_status", "stack_status")
 
 
@@ -95,7 +95,7 @@ def record_tags(df: DataFrame, *, key: str, stack_type: str, tags: Mapping[str,
     pairs = [F.lit(STACK_TYPE_TAG), F.lit(stack_type)]
     for tag, column in tags.items():
         pairs += [F.lit(tag), F.col(column).cast("string")]
-    kept = F.map_filter(F.create_map(*pairs), lambda k, v: (k != "ProjectID") | (v != "UNDEFINED"))
+    kept = F.map_filter(F.create_map(*pairs), lambda k, v: (k != "ProjectID") | (v != fixed.TEXT_UNDEFINED))
     return df.select(key, F.explode(kept).alias("tag_key", "tag_value"))
 
 

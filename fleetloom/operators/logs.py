@@ -44,12 +44,11 @@ def match_streams(
 def log_tail(
     events: DataFrame, *, key: str | Sequence[str], ts: str, n: int, tiebreak: str | Sequence[str], salts: int = 64
 ) -> DataFrame:
-    """Last ``n`` (1..500) events per stream; ``line_no`` counts from the oldest kept."""
+    """Last ``n`` (1..500) events per stream; ``rank`` 1 is the newest, so a report sorts it downwards."""
     keep = min(max(n, 1), MAX_LINES)
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     order = [F.col(ts).desc(), *[F.col(t).desc() for t in ties]]
-    kept = top_n_per_key(events, key=key, order=order, n=keep, spread=[ts, *ties], salts=salts)
-    return kept
+    return top_n_per_key(events, key=key, order=order, n=keep, spread=[ts, *ties], salts=salts)
 
 
 def tail_nonblank(lines: DataFrame, *, key: str | Sequence[str], n: int, line: str = "line", pos: str = "line_no", salts: int = 64) -> DataFrame:

@@ -82,8 +82,21 @@ def coverage_diff(a: DataFrame, b: DataFrame, *, keys: Sequence[str], names: tup
     return flags.select(*keys, one.alias("side")).where(F.col("side").isNotNull())
 
 
-def prefix_status(prefixes: DataFrame, listing: DataFrame, *, bucket: str = "bucket", prefix: str = "prefix", object_key: str = "key", required: str = "required", salts: int = 64) -> DataFrame:
-    """Each prefix with ``exempt``, ``nonempty`` or ``empty``.
+def prefix_status(
+    prefixes: DataFrame,
+    listing: DataFrame,
+    buckets: DataFrame | None = None,
+    *,
+    bucket: str = "bucket",
+    prefix: str = "prefix",
+    object_key: str = "key",
+    required: str = "required",
+    salts: int = 64,
+) -> DataFrame:
+    """Status of each prefix: an undefined bucket is ``skipped``, an export prefix ``exempt``, others ``nonempty`` or ``empty``.
+
+    ``buckets`` optionally lists ``(bucket, code)`` answers; a code other than NULL makes
+    every prefix of that bucket ``access_denied`` (403) or ``bucket_not_found``.
 
     An object's key is cut to the prefix lengths asked for in its bucket and the cuts are
     deduplicated before they meet the prefixes, so no key is compared with every prefix.
@@ -103,5 +116,16 @@ def prefix_status(prefixes: DataFrame, listing: DataFrame, *, bucket: str = "buc
         .withColumn("_seen", F.lit(True))
     )
     joined = prefixes.join(seen, [bucket, prefix], "left")
-    status = F.when(~F.col(required), "exempt").when(F.col("_seen").isNotNull(), "nonempty").otherwise("empty")
-    return joined.withColumn("status", status).drop("_seen")
+    if buckets is None:
+        joined = joined.withColumn("_code", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(buckets.select(bucket, F.col("code").cast("string").alias("_code")), bucket, "left")
+    status = (
+        F.when(F.coalesce(F.col(bucket), F.lit("")).isin("", fixed.TEXT_UNDEFINED), "skipped")
+        .when(F.col("_code") == "403", "access_denied")
+        .when(F.col("_code").isNotNull(), "bucket_not_found")
+        .when(~F.col(required), "exempt")
+        .when(F.col("_seen").isNotNull(), "nonempty")
+        .otherwise("empty")
+    )
+    return joined.withColumn("status", status).drop("_seen", "_code")

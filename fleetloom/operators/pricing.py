@@ -122,7 +122,7 @@ def queue_price_range(
     )
     partial = (F.col("types_failed") > 0) & (F.col("types_found") > 0)
     return totals.withColumn(
-        "note", F.when(partial, F.concat(F.col("types_failed").cast("string"), F.lit(" type(s) unavailable")))
+        "note", F.when(partial, F.concat(F.col("types_failed").cast("string"), F.lit(fixed.TEXT_TYPES_MISSING)))
     )
 
 

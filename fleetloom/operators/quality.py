@@ -207,8 +207,8 @@ def bucket_pair_status(df: DataFrame) -> DataFrame:
     Expects ``import_bucket, export_bucket, import_path, export_path``; ``UNDEFINED`` marks
     an absent bucket.
     """
-    no_import = F.col("import_bucket") == "UNDEFINED"
-    no_export = F.col("export_bucket") == "UNDEFINED"
+    no_import = F.col("import_bucket") == fixed.TEXT_UNDEFINED
+    no_export = F.col("export_bucket") == fixed.TEXT_UNDEFINED
     differ = F.col("import_bucket") != F.col("export_bucket")
     same_path = F.col("import_path") == F.col("export_path")
     status = (

@@ -633,6 +633,11 @@ def test_prefixes(spark):
         [("b", "in/", True), ("b", "in/12345", True), ("b", "out/", False), ("c", "in/", True), ("d", "x", True), ("c", "", True)],
         "bucket string, prefix string, required boolean",
     )
+    answers = spark.createDataFrame([("x", "403"), ("y", "404"), ("b", None)], "bucket string, code string")
+    more = spark.createDataFrame([("x", "in/", True), ("y", "out/", False), ("UNDEFINED", "in/", True)], "bucket string, prefix string, required boolean")
+    judged = policy.prefix_status(more.unionByName(prefixes), listing, answers, salts=4)
+    assert values(judged.where("bucket in ('x', 'y', 'UNDEFINED')"), "bucket", "status") == [("UNDEFINED", "skipped"), ("x", "access_denied"), ("y", "bucket_not_found")]
+    assert judged.where("bucket = 'b' and status = 'nonempty'").count() == 1
     got = policy.prefix_status(prefixes, listing, salts=4)
     assert values(got, "bucket", "prefix", "status") == [
         ("b", "in/", "nonempty"), ("b", "in/12345", "empty"), ("b", "out/", "exempt"), ("c", "", "nonempty"), ("c", "in/", "empty"), ("d", "x", "empty"),
