@@ -84,13 +84,22 @@ def magnitude(value: Column) -> Column:
 
 
 def range_match(
-    df: DataFrame, ranges: DataFrame, *, key: str | Sequence[str], value: str, low: str = "low", high: str = "high"
+    df: DataFrame,
+    ranges: DataFrame,
+    *,
+    key: str | Sequence[str],
+    value: str,
+    low: str = "low",
+    high: str = "high",
+    few: int = 200,
 ) -> DataFrame:
     """Rows joined to the ranges ``low <= value < high`` of their key; an absent ``high`` is open.
 
     The range side is spread over the powers of two it touches (at most about 2,100 rows per
     range) and the join is an equi-join on key and power, so it neither compares all pairs
-    nor needs a small side; the exact bounds are checked after it.
+    nor needs a small side; the exact bounds are checked after it. The planner does not see
+    that spreading, so the ranges are counted up to ``few`` first: only that many may be
+    broadcast, more are joined by sort-merge with skew splitting.
     """
     keys = _names(key)
     number = as_col(value).cast("double")
@@ -98,6 +107,8 @@ def range_match(
     first_bin = magnitude(F.coalesce(lo, F.lit(0.0))) - 1
     last_bin = F.when(hi.isNull(), F.lit(MAX_MAGNITUDE + 1)).otherwise(magnitude(hi) + 1)
     binned = ranges.where(hi.isNull() | (lo < hi)).withColumn("_bin", F.explode(F.sequence(first_bin, last_bin)))
+    if ranges.limit(few + 1).count() > few:
+        binned = binned.hint("merge")
     left = df.where(number.isNotNull() & ~F.isnan(number)).withColumn("_bin", magnitude(number))
     joined = left.join(binned, [*keys, "_bin"])
     inside = (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) < F.col(high)))

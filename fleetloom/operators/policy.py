@@ -91,7 +91,7 @@ def prefix_status(
     prefix: str = "prefix",
     object_key: str = "key",
     required: str = "required",
-    salts: int = 64,
+    salts: int = 16,
 ) -> DataFrame:
     """Status of each prefix: an undefined bucket is ``skipped``, an export prefix ``exempt``, others ``nonempty`` or ``empty``.
 
@@ -102,6 +102,7 @@ def prefix_status(
     deduplicated before they meet the prefixes, so no key is compared with every prefix.
     The listing is spread over ``salts`` parts of each bucket: a bucket that holds most
     objects is cut in many tasks and shrinks to its distinct cuts before the next shuffle.
+    Should the lengths be broadcast, they are at most ``salts`` times the broadcast limit.
     """
     asked = prefixes.where(F.col(required))
     lengths = asked.groupBy(bucket).agg(F.collect_set(F.length(prefix)).alias("_lengths"))

@@ -412,12 +412,15 @@ def test_bands_match_brute_force(spark):
     assert got == sorted(expected, key=repr)
 
 
-def test_range_match_with_many_overlapping_ranges(spark):
+@pytest.mark.parametrize("few", [10, 200])
+def test_range_match_with_many_overlapping_ranges(spark, few):
     points = spark.range(400).select(F.lit("k").alias("k"), (F.col("id") * 1.7 - 100).alias("value"))
     ranges = spark.range(60).select(
         F.lit("k").alias("k"), (F.col("id") * 9.3 - 120).alias("low"), F.when(F.col("id") % 7 != 0, F.col("id") * 11.1 - 90).alias("high"), F.col("id").alias("n")
     )
-    got = {(r["value"], r["n"]) for r in kernels.range_match(points, ranges, key="k", value="value").collect()}
+    matched = kernels.range_match(points, ranges, key="k", value="value", few=few)
+    assert ("SortMergeJoin" in matched._jdf.queryExecution().executedPlan().toString()) == (few == 10)
+    got = {(r["value"], r["n"]) for r in matched.collect()}
     spans = [(r["low"], r["high"], r["n"]) for r in ranges.collect()]
     assert got == {(v, n) for (v,) in points.select("value").collect() for lo, hi, n in spans if v >= lo and (hi is None or v < hi)}
 
