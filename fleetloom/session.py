@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Settings that may change after the session has started; results and plans of the operators count on them.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # samples of one wait are merged in the task that read them, before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
 
 def build_session(app_name: str = "fleetloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators assume (UTC, adaptive execution).
+    """A session with ``SETTINGS``.
 
     Cluster-level settings (executors, memory, ``spark.checkpoint.dir``) come from
     ``spark-submit``; only ``master`` and explicit ``conf`` entries are set here.
@@ -17,34 +26,18 @@ def build_session(app_name: str = "fleetloom", master: str | None = None, **conf
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # samples of one wait are merged in the task that read them, before the shuffle
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    }
-    settings.update({k.replace("__", "."): v for k, v in conf.items()})
-    for key, value in settings.items():
+    for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Only a local-mode session without the setting gets a folder of its own, because
-    there driver and executors are one process; on a cluster the setting is required.
+    The warehouse is shared by driver and executors as well. No setting of the session is changed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="fleetloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
