@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetloom.llm import packing, tokenfiles
+from fleetloom.llm import packing, simhash, tokenfiles
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +23,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document: three words, 64 bits, radius 3."""
+    classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3, sizes_within=None)
+    return classes.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     path = scratch_path(spark, "tokens")
@@ -33,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_best_fit_packing,
+        op5_simhash_near_duplicates,
         op9_token_files,
     )
 }
