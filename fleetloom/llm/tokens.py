@@ -10,66 +10,97 @@ inside its word and is left to the library.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
+from tokenizers.pre_tokenizers import ByteLevel
 
 END_ID = 1
 CACHE_WORDS = 700_000
 CACHE_LETTERS = 64
 #: Marks behind a word that the vocabulary's pattern always cuts from the letter or digit before them.
-TAIL = ".,!?;:"
+TAIL = ".,!?;:#$%&*|"
+#: Letters up to U+00FF: composed, one pre-token in any run, one letter when lowered.
+LATIN = "".join(c for c in map(chr, range(256)) if c.isalpha())
+#: A full stop or comma right behind a mark belongs to that mark's run.
+_IN_A_RUN = re.compile("[" + re.escape("".join(c for c in map(chr, range(33, 256)) if not c.isalnum() and not c.isspace())) + "][.,]")
 
 
 class WordIds:
     """Keeps the bytes of a word's ids (little-endian unsigned 32-bit) once the library has stated them.
 
-    Words as they stand are looked up first. One that is missing is cut into its body, in lower case
-    where it is plain ASCII, and the marks behind it; only bodies and marks that are missing too go
-    to the library. Both tables are emptied when full, so a worker's memory is bounded.
+    A text of Latin letters and marks is lowered as a whole and its stops and commas are set apart
+    first, so that fewer words are told apart. A word that is missing is cut into its body and
+    the marks behind it, and what is still missing goes to the library. A body of Latin letters
+    alone needs no normaliser and no splitting and is handed to the library's model directly, if
+    that is seen to give the same ids. The table is emptied when full, so memory is bounded.
     """
 
     def __init__(self, tokenizer):
-        self._encode_batch = tokenizer.encode_batch_fast
+        self._encode, self._model = tokenizer.encode, tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._letters = {ord(c): as_bytes(c)[0][0] for c in LATIN}
+        trial = [c.lower() + "e" + c.lower() for c in LATIN]
+        self._direct = list(map(self._by_model, trial)) == list(map(self._by_library, trial))
         self._words: dict[str, bytes] = {"": b""}
-        self._parts: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str | None, end_id: int | None = END_ID) -> bytes:
         """The ids of ``text`` (null: empty) and ``end_id`` behind them, as little-endian unsigned 32-bit integers."""
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         if not text:
             return end
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if self._direct and _up_to_latin(text):
+            text = text.lower()
+            if not _IN_A_RUN.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+        words = text.split(" ")
         found = list(map(self._words.get, words))
         if None in found:
-            new = self._fill({w for w, b in zip(words, found) if b is None})
+            new = {w: self._state(w) for w in {w for w, b in zip(words, found) if b is None}}
             found = [new[w] if b is None else b for w, b in zip(words, found)]
         return b"".join(found) + end
 
-    def _fill(self, words: set[str]) -> dict[str, bytes]:
-        cut = {}
-        for word in words:
-            body = word.rstrip(TAIL)
-            if body and body[-1].isalnum() and len(body[-1].lower()) == 1:  # some capitals end in a mark when lowered
-                cut[word] = (body.lower() if body.isascii() else body, word[len(body) :])
-            else:
-                cut[word] = (word, "")
-        parts = {p: self._parts.get(p) for pair in cut.values() for p in pair}
-        missing = [p for p, b in parts.items() if b is None]
-        for p, e in zip(missing, self._encode_batch(missing, add_special_tokens=False)):
-            parts[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        new = {w: parts[body] + parts[tail] for w, (body, tail) in cut.items()}
-        self._parts = _added(self._parts, {p: parts[p] for p in missing})
-        self._words = _added(self._words, new)
-        return new
-
-
-def _added(kept: dict[str, bytes], new: dict[str, bytes]) -> dict[str, bytes]:
-    if len(kept) + len(new) > CACHE_WORDS:
-        kept = {"": b""}
-    if len(new) < CACHE_WORDS:
-        kept.update((w, b) for w, b in new.items() if len(w) <= CACHE_LETTERS)  # one-off long strings are not worth it
-    return kept
+    def _state(self, word: str) -> bytes:
+        body = word.rstrip(TAIL)
+        if body != word and body and body[-1].isalnum() and len(body[-1].lower()) == 1:  # some capitals end in a mark when lowered
+            ids = self._part(body) + self._part(word[len(body) :])
+        else:
+            ids = self._part(word)
+        self._keep(word, ids)
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        ids = self._words.get(part)
+        if ids is None:
+            ids = self._by_model(part.lower()) if self._direct and part.isalpha() and _up_to_latin(part) else self._by_library(part)
+            self._keep(part, ids)
+        return ids
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(self._words) >= CACHE_WORDS:
+            self._words = {"": b""}
+        if len(word) <= CACHE_LETTERS:  # one-off long strings are not worth their memory
+            self._words[word] = ids
+
+    def _by_model(self, part: str) -> bytes:
+        return _as_bytes([t.id for t in self._model.tokenize(part.translate(self._letters))])
+
+    def _by_library(self, part: str) -> bytes:
+        return _as_bytes(self._encode(part, add_special_tokens=False).ids)
+
+
+def _up_to_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)
