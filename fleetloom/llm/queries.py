@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import packing, simhash, tokenfiles
+from fleetloom.llm import packing, quality, simhash, tokenfiles, warc
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a ranking learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    ranking = quality.learn(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, ranking)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document: three words, 64 bits, radius 3."""
     classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3, sizes_within=None)
@@ -36,12 +44,29 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, path)
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; digest and length of a response are those of the payload that was read."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path)
+    response = F.col("record_type") == "response"
+    return read.select(
+        "page_id",
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_best_fit_packing,
+        op4_pairwise_quality,
         op5_simhash_near_duplicates,
         op9_token_files,
+        op10_warc_archives,
     )
 }
 
