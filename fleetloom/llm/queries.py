@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import packing, quality, simhash, tokenfiles, warc
+from fleetloom.llm import packing, quality, secrets, simhash, tokenfiles, urlgraph, warc
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,24 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rule, else by its host's trust and distrust."""
+    return urlgraph.judge(_table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, those of the fixed patterns counted and digested apart."""
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.learn(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(F.encode(secrets.stated("base"), "UTF-8"), 256).alias("base_sha256"),
+        secrets.stated("spans").alias("spans"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     path = scratch_path(spark, "tokens")
@@ -65,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op4_pairwise_quality,
         op5_simhash_near_duplicates,
+        op6_host_trust,
+        op8_secret_scan,
         op9_token_files,
         op10_warc_archives,
     )
