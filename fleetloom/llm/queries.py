@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import packing, quality, secrets, simhash, tokenfiles, urlgraph, warc
+from fleetloom.llm import decontaminate, packing, quality, secrets, simhash, tokenfiles, urlgraph, warc
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the share of the item and its changed slots."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -80,6 +85,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_template_leaks,
         op2_best_fit_packing,
         op4_pairwise_quality,
         op5_simhash_near_duplicates,
