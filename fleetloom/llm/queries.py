@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import decontaminate, packing, quality, secrets, simhash, tokenfiles, urlgraph, warc
+from fleetloom.llm import ann, decontaminate, packing, quality, secrets, simhash, tokenfiles, urlgraph, warc
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -47,6 +47,12 @@ def op6_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge(_table(spark, sf_dir, "pages"))
 
 
+def op7_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, those of the fixed patterns counted and digested apart."""
     docs = _table(spark, sf_dir, "documents")
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_pairwise_quality,
         op5_simhash_near_duplicates,
         op6_host_trust,
+        op7_multi_index_neighbours,
         op8_secret_scan,
         op9_token_files,
         op10_warc_archives,
