@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import ann, decontaminate, packing, quality, secrets, simhash, tokenfiles, urlgraph, warc
+from fleetloom.llm import ann, decontaminate, packing, quality, secrets, simhash, substrings, tokenfiles, urlgraph, warc
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +28,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no repeated window of 35 words covers, counted and digested."""
+    digest = lambda kept: F.sha2(F.encode(kept, "UTF-8"), 256)
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), of_kept=digest).withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a ranking learned from labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_template_leaks,
         op2_best_fit_packing,
+        op3_repeated_passages,
         op4_pairwise_quality,
         op5_simhash_near_duplicates,
         op6_host_trust,
