@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,6 +32,17 @@ def build_session(app_name: str = "fleetloom", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of Python workers that are started from now on.
+
+    Harmless where the package is installed or shipped; needed where it only lies beside the driver's script.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    given = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in given:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *[p for p in given if p]])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse.
 
