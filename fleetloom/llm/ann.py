@@ -23,6 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetloom.llm.common import map_arrow
 from fleetloom.session import durable_copy
 
 SAMPLE_ROWS = 10_000
@@ -131,7 +132,7 @@ def _blocks(rows: DataFrame, hashing: Hashing, size: int) -> DataFrame:
         if held:
             yield block()
 
-    return rows.mapInArrow(build, "ids binary, vectors binary, codes binary")
+    return map_arrow(rows, build, "ids binary, vectors binary, codes binary")
 
 
 def _probe(q_codes: np.ndarray, codes: np.ndarray, reach: list[int], radius: int) -> np.ndarray:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetloom.session import let_workers_import
+
 #: Rows handed to a Python worker at once. Texts can be long, so a batch is kept far below Spark's 10,000 rows.
 BATCH_ROWS = "500"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch, unless the session has chosen a number of its own."""
+def ready_workers(spark: SparkSession) -> None:
+    """Let workers import this package; lower the rows of an Arrow batch, unless the session has chosen a number of its own."""
+    let_workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, BATCH_ROWS)
@@ -21,7 +24,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches small enough for long texts."""
-    small_batches(df.sparkSession)
+    ready_workers(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -29,8 +32,3 @@ def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """``doc_id`` (long) and ``text`` (null becomes empty); no other column of ``docs`` is read."""
     text = F.coalesce(docs[text_column], F.lit(""))
     return docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"))
-
-
-def salt(parts: int, *columns: str | Column) -> Column:
-    """A number below ``parts`` that depends on ``columns`` only, so a retried task deals alike."""
-    return F.pmod(F.xxhash64(*columns), F.lit(parts))

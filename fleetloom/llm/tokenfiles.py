@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetloom.llm.common import id_and_text, map_arrow
+from fleetloom.llm.common import id_and_text, map_arrow, ready_workers
 from fleetloom.llm.tokens import END_ID, word_ids
 
 MAGIC = b"PFOR1\x01\x00\x00"
@@ -195,6 +195,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it; the checksum is over the decoded ids as
     little-endian unsigned 32-bit integers. Files are decoded block by block.
     """
+    ready_workers(spark)
     files = spark.read.parquet(path)
     sizes = files.select("part", "seq", "n_ids")
     # one row per write task; the sum over these is the only step that one task takes alone

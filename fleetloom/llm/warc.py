@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from fleetloom.session import let_workers_import
+
 VERSION = b"WARC/1.1"
 SCHEMA = (
     "page_id long, record_type string, target_uri string, record_id string, refers_to string, "
@@ -286,6 +288,7 @@ class WarcDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make ``format("warc")`` known, and let Spark push filters into it."""
+    let_workers_import(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
