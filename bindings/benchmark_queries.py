@@ -66,18 +66,20 @@ def first_match(t: Tables):
 
 def tool_lines(t: Tables):
     """Every order is a run; each of its lines is one line of one tool's output."""
-    kind = F.col("l_linenumber")
+    kind, device = F.col("l_linenumber"), F.col("l_discount") >= 0.05
     price, quantity = F.format_string("%.2f", F.col("l_extendedprice")), F.format_string("%.1f", F.col("l_quantity"))
+    file = lambda name: F.when(device, f"osu/{name}_cuda.txt").otherwise(f"osu/{name}.txt")
     relpath = (
-        F.when(kind <= 2, "stream.txt").when(kind == 3, "osu/latency.txt").when(kind == 4, "osu/bandwidth.txt")
+        F.when(kind <= 2, "stream.txt").when(kind == 3, file("latency")).when(kind == 4, file("bandwidth"))
         .when(kind == 5, "ior.txt").when(kind == 6, F.format_string("hpcg/HPCG-Benchmark_%05d.txt", F.col("l_suppkey"))).otherwise("cmd.txt")
     )
     line = (
-        F.when(kind == 1, F.concat(F.lit("Copy:    "), price, F.lit("  0.1 0.1 0.1")))
-        .when(kind == 2, F.concat(F.lit("Triad:   "), price, F.lit("  0.1 0.1 0.1")))
+        F.when(kind == 1, F.concat(F.when(device, "Add:     ").otherwise("Copy:    "), price, F.lit("  0.1 0.1 0.1")))
+        .when(kind == 2, F.concat(F.when(device, "Scale:   ").otherwise("Triad:   "), price, F.lit("  0.1 0.1 0.1")))
         .when(kind == 3, F.concat(F.when(F.col("l_returnflag") == "N", F.lit("16 ")).otherwise(F.lit("8   ")), quantity))
         .when(kind == 4, F.concat(quantity, F.lit("  "), price))
         .when(kind == 5, F.concat(F.when(F.col("l_returnflag") == "N", F.lit("write ")).otherwise(F.lit("read  ")), price, F.lit(" MiB")))
+        .when((kind == 6) & device, F.concat(F.lit("Setup time="), price))  # a file that states no rating
         .when(kind == 6, F.concat(F.lit("Final: VALID with a GFLOP/s rating of="), price, F.lit("=x")))
         .otherwise(
             F.format_string(
@@ -94,18 +96,21 @@ def tool_lines(t: Tables):
 
 RUN_LINES = f"""
 SELECT l_orderkey AS cluster, l_returnflag AS serial, l_linestatus AS run_id, l_linenumber AS kind, l_extendedprice AS price, l_quantity AS quantity,
-  l_suppkey, {POSITION} + l_suppkey * 1000000 AS pos FROM lineitem
+  l_suppkey, l_discount >= 0.05 AS device, {POSITION} + l_suppkey * 1000000 AS pos FROM lineitem
 """
 
 
 def summary_sql(where: str = "true", keys: str = "cluster, serial, run_id") -> str:
     first = lambda kind, value="price": f"arg_min({value}, pos) FILTER (WHERE {kind})"
     return f"""
-SELECT {keys}, {first('kind = 1')} AS stream_copy_mbs, {first('kind = 2')} AS stream_triad_mbs,
-  {first("kind = 3 AND serial <> 'N'", 'quantity')} AS latency_us, max(price) FILTER (WHERE kind = 4) AS bandwidth_mbs,
-  printf('%.1f', arg_max(quantity, (price, -pos)) FILTER (WHERE kind = 4)) AS bandwidth_size,
+SELECT {keys}, {first('kind = 1 AND NOT device')} AS stream_copy_mbs, {first('kind = 1 AND device')} AS stream_add_mbs,
+  {first('kind = 2 AND NOT device')} AS stream_triad_mbs, {first('kind = 2 AND device')} AS stream_scale_mbs,
+  {first("kind = 3 AND serial <> 'N' AND NOT device", 'quantity')} AS latency_us, {first("kind = 3 AND serial <> 'N' AND device", 'quantity')} AS latency_gpu_us,
+  max(price) FILTER (WHERE kind = 4 AND NOT device) AS bandwidth_mbs, max(price) FILTER (WHERE kind = 4 AND device) AS bandwidth_gpu_mbs,
+  printf('%.1f', arg_max(quantity, (price, -pos)) FILTER (WHERE kind = 4 AND NOT device)) AS bandwidth_size,
+  printf('%.1f', arg_max(quantity, (price, -pos)) FILTER (WHERE kind = 4 AND device)) AS bandwidth_gpu_size,
   {first("kind = 5 AND serial = 'N'")} AS ior_write_mibs, {first("kind = 5 AND serial <> 'N'")} AS ior_read_mibs,
-  printf('%.2f', arg_min(price, (l_suppkey, pos)) FILTER (WHERE kind = 6)) AS hpcg_rating,
+  (arg_min([CASE WHEN NOT device THEN printf('%.2f', price) END], (l_suppkey, device, pos)) FILTER (WHERE kind = 6))[1] AS hpcg_rating,
   arg_min((l_suppkey, quantity), pos) FILTER (WHERE kind = 7) AS cmd
 FROM ({RUN_LINES}) WHERE {where} GROUP BY {keys}
 """
@@ -114,10 +119,7 @@ FROM ({RUN_LINES}) WHERE {where} GROUP BY {keys}
 @query("benchmark_summary", f"SELECT * EXCLUDE (cmd), cmd IS NOT NULL AS has_command FROM ({summary_sql()})")
 def benchmark_summary(t: Tables):
     summary = benchmarks.benchmark_summary(tool_lines(t))
-    return summary.select(
-        "cluster", "serial", "run_id", "stream_copy_mbs", "stream_triad_mbs", "latency_us", "bandwidth_mbs", "bandwidth_size",
-        "ior_write_mibs", "ior_read_mibs", "hpcg_rating", F.col("command").isNotNull().alias("has_command"),
-    )
+    return summary.withColumn("has_command", F.col("command").isNotNull()).drop("command")
 
 
 @query(
@@ -182,5 +184,5 @@ SELECT event_id, m.metric, value, band FROM m JOIN bands b ON m.metric = b.metri
 def expected_band(t: Tables):
     metric = F.when(F.col("event_type").isin("click", "view"), "latency_us").otherwise("bandwidth_gbs")
     measured = t.events.select("event_id", metric.alias("metric"), "value")
-    matched = benchmarks.expected_band(measured, benchmarks.documented_bands(t.spark))
+    matched = benchmarks.expected_band(measured)
     return matched.select("event_id", "metric", "value", "band")

@@ -186,8 +186,9 @@ def verdict(expr: str) -> str:
     return f"CASE WHEN {expr} THEN 'PASS' ELSE 'FAIL' END"
 
 
-GATED = f"""
-WITH c AS ({RAW_CHECKS}),
+def gated(checks: str) -> str:
+    return f"""
+WITH {checks},
 g AS (SELECT cluster, {verdict('c_record')} AS record,
   CASE WHEN c_record THEN {verdict('c_stack')} END AS stack,
   CASE WHEN c_record THEN CASE WHEN c_head_ip IS NULL THEN 'SKIP' ELSE {verdict('c_head_ip')} END END AS head_ip,
@@ -201,23 +202,51 @@ SELECT *, failures = 0 AS healthy FROM f
 """
 
 
-@query("check_rollup", GATED)
+@query("check_rollup", gated(f"c AS ({RAW_CHECKS})"))
 def check_rollup(t: Tables):
     return health.check_rollup(check_results(t), key="cluster", monitoring="monitoring")
 
 
+STACK = """
+SELECT event_id AS cluster, event_type NOT IN ('error', 'click') AND event_type = 'purchase' AS ok,
+  CASE event_type WHEN 'error' THEN 'describe call failed (rc=' || (user_id % 3 + 1) || ')' WHEN 'click' THEN 'unexpected describe response'
+    WHEN 'purchase' THEN 'clusterStatus=CREATE_COMPLETE' WHEN 'view' THEN 'clusterStatus=CREATE_FAILED cloudFormationStackStatus=ROLLBACK_COMPLETE'
+    ELSE 'clusterStatus=UNKNOWN cloudFormationStackStatus=UNKNOWN' END AS detail,
+  CASE event_type WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN '3.0.0.' ELSE '10.0.0.' END || user_id WHEN 'view' THEN '10.1.1.1' WHEN 'signup' THEN '' END AS head_ip
+FROM events
+"""
+
+
+def describes(t: Tables):
+    """An answer for each event: a failed call, no JSON, a finished stack with one address or two, a failed one, an empty answer."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    public = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("3.0.0."), user)).otherwise("")
+    done = F.concat(
+        F.lit('{"clusterStatus": "CREATE_COMPLETE", "headNode": {"publicIpAddress": "'), public,
+        F.lit('", "privateIpAddress": "10.0.0.'), user, F.lit('"}, "other": [1]}'),
+    )
+    failed = '{"clusterStatus": "CREATE_FAILED", "cloudFormationStackStatus": "ROLLBACK_COMPLETE", "headNode": {"privateIpAddress": "10.1.1.1"}}'
+    text = F.when(kind == "purchase", done).when(kind == "view", failed).when(kind == "click", "Traceback (most recent call last)").otherwise("{}")
+    rc = F.when(kind == "error", F.col("user_id") % 3 + 1).otherwise(0)
+    return t.events.select(F.col("event_id").alias("cluster"), rc.alias("rc"), text.alias("text"))
+
+
+@query("stack_verdict", STACK)
+def stack_verdict(t: Tables):
+    return health.stack_verdict(describes(t), key="cluster")
+
+
 @query(
     "cluster_health",
-    f"""
-WITH lines AS (SELECT event_id AS cluster, rc, good FROM ({COUNTED})),
-c AS (SELECT r.* EXCLUDE (c_slurm), rc = 0 AND good > 0 AS c_slurm FROM ({RAW_CHECKS}) r JOIN lines USING (cluster)),
-g AS (SELECT cluster, c_record, CASE WHEN c_record AND coalesce(c_head_ip, false) AND c_ssh THEN {verdict('c_slurm')} WHEN c_record THEN 'SKIP' END AS slurm FROM c)
-SELECT cluster, {verdict('c_record')} AS record, slurm FROM g
-""",
+    gated(
+        f"""lines AS (SELECT event_id AS cluster, rc, good FROM ({COUNTED})), described AS ({STACK}),
+c AS (SELECT r.* EXCLUDE (c_slurm, c_stack, c_head_ip), rc = 0 AND good > 0 AS c_slurm, ok AS c_stack, head_ip <> '' AS c_head_ip
+  FROM ({RAW_CHECKS}) r JOIN lines USING (cluster) JOIN described USING (cluster))"""
+    ),
 )
 def cluster_health(t: Tables):
     lines = node_lines(t.events).withColumnRenamed("event_id", "cluster")
-    return reports.cluster_health(check_results(t), lines).select("cluster", "record", "slurm")
+    return reports.cluster_health(check_results(t), lines, describes(t))
 
 
 @query(

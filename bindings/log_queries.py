@@ -14,9 +14,9 @@ SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(
 """
 
 
-def lines(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
-        "doc_id", "line", (F.col("pos") + 1).alias("line_no")
+def lines(t: Tables, *keep: str):
+    return t.documents.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+        "doc_id", *keep, "line", (F.col("pos") + 1).alias("line_no")
     )
 
 

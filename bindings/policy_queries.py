@@ -74,7 +74,7 @@ def policy_size(t: Tables):
 SIDES = """
 e AS (SELECT DISTINCT o_custkey AS cluster, o_orderpriority AS policy FROM orders WHERE o_orderstatus = 'F'),
 a AS (SELECT DISTINCT o_custkey AS cluster, o_orderpriority AS policy FROM orders WHERE o_orderstatus = 'O'),
-k AS (SELECT DISTINCT o_custkey AS cluster, o_orderpriority AS policy FROM orders WHERE o_totalprice > 150000)
+k AS (SELECT DISTINCT o_custkey AS cluster, o_orderpriority AS policy FROM orders WHERE o_totalprice > 150000 OR o_orderstatus = 'P')
 """
 
 
@@ -89,7 +89,7 @@ UNION ALL SELECT cluster, policy, 'missing' FROM (SELECT * FROM e EXCEPT SELECT
 def drift(t: Tables):
     rows = t.orders.select(F.col("o_custkey").alias("cluster"), F.col("o_orderpriority").alias("policy"), "o_orderstatus", "o_totalprice")
     return policy.drift(
-        rows.where(F.col("o_orderstatus") == "F"), rows.where(F.col("o_orderstatus") == "O"), rows.where(F.col("o_totalprice") > 150000),
+        rows.where(F.col("o_orderstatus") == "F"), rows.where(F.col("o_orderstatus") == "O"), rows.where((F.col("o_totalprice") > 150000) | (F.col("o_orderstatus") == "P")),
         keys=["cluster", "policy"],
     )
 
@@ -97,15 +97,15 @@ def drift(t: Tables):
 @query(
     "coverage_diff",
     """
-WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'),
-b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')
+WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01'),
+b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-07-01')
 SELECT o_custkey, 'left_only' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT o_custkey, 'right_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
 """,
 )
 def coverage_diff(t: Tables):
-    recent = t.orders.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    early = t.orders.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    recent = t.orders.where(F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz"))
+    early = t.orders.where(F.col("o_orderdate") < F.lit("1998-07-01").cast("timestamp_ntz"))
     return policy.coverage_diff(recent, early, keys=["o_custkey"])
 
 
@@ -114,7 +114,7 @@ def coverage_diff(t: Tables):
     """
 WITH l AS (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS bucket, regexp_extract(url, '^https?://[^/?#]*/(.*)$', 1) AS key FROM pages),
 p AS (SELECT DISTINCT bucket, unnest(['en/', 'fr/', 'de/', 'en/6', 'export/']) AS prefix FROM l)
-SELECT bucket, prefix, prefix <> 'export/' AS required, CASE WHEN prefix = 'export/' THEN 'exempt'
+SELECT bucket, prefix, prefix <> 'export/' AS required, CASE WHEN bucket LIKE 'www.%' THEN 'access_denied' WHEN bucket LIKE 'm.%' THEN 'bucket_not_found' WHEN prefix = 'export/' THEN 'exempt'
   WHEN EXISTS (SELECT 1 FROM l WHERE l.bucket = p.bucket AND starts_with(l.key, p.prefix)) THEN 'nonempty' ELSE 'empty' END AS status FROM p
 """,
 )
@@ -125,4 +125,6 @@ def prefix_status(t: Tables):
     wanted = F.array(*[F.lit(p) for p in ("en/", "fr/", "de/", "en/6", "export/")])
     prefixes = listing.select("bucket").distinct().select("bucket", F.explode(wanted).alias("prefix"))
     prefixes = prefixes.withColumn("required", F.col("prefix") != "export/")
-    return policy.prefix_status(prefixes, listing)
+    code = F.when(F.startswith("bucket", F.lit("www.")), "403").when(F.startswith("bucket", F.lit("m.")), "404")
+    answers = listing.select("bucket").distinct().select("bucket", code.alias("code"))
+    return policy.prefix_status(prefixes, listing, answers)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
 from fleetloom.functions import values
+from fleetloom.functions.fixed_values import REGION_LOCATIONS
 from fleetloom.operators import pricing
 from fleetloom.plans import reports
 
@@ -41,7 +42,7 @@ SELECT instance_type, spot_price FROM (
 
 @query("latest_spot_price", latest_sql("true"))
 def latest_spot_price(t: Tables):
-    return pricing.latest_spot_price(history(t), tiebreak=TIES)
+    return pricing.latest_spot_price(history(t), product=None, tiebreak=TIES)
 
 
 @query("latest_spot_price_zone", latest_sql("product = 'R' AND availability_zone = 'O'"))
@@ -74,7 +75,7 @@ FROM part WHERE p_type NOT IN ('PROMO', 'ECONOMY', 'SMALL', 'MEDIUM')
 """
 
 
-def catalog(t: Tables):
+def catalog(t: Tables, instance_type=None, location=None):
     doc = (
         F.when(F.col("p_size") == 50, F.concat(F.lit('{"terms": {"OnDemand": {"t'), F.col("p_partkey").cast("string")))
         .when(F.col("p_size") == 49, '{"terms": {"OnDemand": {}}}')
@@ -86,9 +87,9 @@ def catalog(t: Tables):
         )
     )
     return t.part.select(
-        F.col("p_name").alias("instance_type"),
+        (F.col("p_name") if instance_type is None else instance_type).alias("instance_type"),
         F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("sku"),
-        F.concat(F.lit("Site "), F.substring("p_brand", 7, 9)).alias("location"),
+        (F.concat(F.lit("Site "), F.substring("p_brand", 7, 9)) if location is None else location).alias("location"),
         F.when(F.col("p_type") == "PROMO", "Windows").otherwise("Linux").alias("operating_system"),
         F.when(F.col("p_type") == "ECONOMY", "SQL").otherwise("NA").alias("preinstalled_sw"),
         F.when(F.col("p_type") == "SMALL", "Dedicated").otherwise("Shared").alias("tenancy"),
@@ -140,11 +141,11 @@ def typed_parts(t: Tables):
 
 
 def prices_of(parts, *keys: str):
-    """On-demand prices of all types but the largest sizes, spot prices of brands and types."""
+    """On-demand prices of all types but the largest sizes, spot prices of brands and types, both for each of ``keys``."""
     exploded = parts.select(*keys, "p_size", "p_retailprice", F.explode("types").alias("instance_type"))
     cheapest = exploded.groupBy(*keys, "instance_type").agg(F.min("p_retailprice").alias("od_price"))
     ondemand = cheapest.where(~F.col("instance_type").rlike("^size:(4[0-9]|50)$"))
-    spot = exploded.where(F.col("instance_type").rlike("^(brand|type):")).groupBy("instance_type").agg(
+    spot = exploded.where(F.col("instance_type").rlike("^(brand|type):")).groupBy(*keys, "instance_type").agg(
         (F.max("p_retailprice") / 4).alias("spot_price")
     )
     return ondemand, spot
@@ -211,6 +212,7 @@ def fleet_records(t: Tables):
     "fleet_hourly_cost",
     f"""
 WITH {PRICE_CTES},
+local_spot AS (SELECT instance_type, region, max(p_retailprice) / 4 AS spot_price FROM exploded WHERE regexp_matches(instance_type, '^(brand|type):') GROUP BY 1, 2),
 od AS (SELECT instance_type, region, min(p_retailprice) AS od_price FROM exploded
        WHERE NOT regexp_matches(instance_type, '^size:(4[0-9]|50)$') GROUP BY 1, 2),
 fleet AS ({FLEET}),
@@ -223,7 +225,7 @@ agg AS (SELECT cluster_name, role, n, min(od_price) * n AS od_low, max(od_price)
   min(CASE WHEN spot AND od_price IS NOT NULL THEN spot_price END) * n AS spot_low,
   max(CASE WHEN spot AND od_price IS NOT NULL THEN spot_price END) * n AS spot_high,
   count(od_price) AS found, count(*) - count(od_price) AS failed
-  FROM r LEFT JOIN od USING (instance_type, region) LEFT JOIN spot USING (instance_type) GROUP BY 1, 2, 3)
+  FROM r LEFT JOIN od USING (instance_type, region) LEFT JOIN local_spot USING (instance_type, region) GROUP BY 1, 2, 3)
 SELECT cluster_name, role, CAST(n AS BIGINT) AS count, od_low, CASE WHEN abs(od_high - od_low) < 0.001 THEN od_low ELSE od_high END AS od_high,
   spot_low, CASE WHEN abs(spot_high - spot_low) < 0.001 THEN spot_low ELSE spot_high END AS spot_high,
   CASE WHEN found > 0 AND failed > 0 THEN concat(failed, ' type(s) unavailable') END AS note FROM agg
@@ -231,61 +233,56 @@ SELECT cluster_name, role, CAST(n AS BIGINT) AS count, od_low, CASE WHEN abs(od_
 )
 def fleet_hourly_cost(t: Tables):
     parts = typed_parts(t)
-    ondemand, _ = prices_of(parts, "region")
-    _, spot = prices_of(parts)
+    ondemand, spot = prices_of(parts, "region")
     return pricing.fleet_hourly_cost(fleet_records(t), ondemand, spot)
 
 
-@query(
-    "build_estimate",
-    f"""
-WITH hist AS ({latest_sql('true')}),
-catalog AS ({CATALOG}),
-offers AS (SELECT instance_type, location, arg_min(doc, sku) AS doc FROM catalog GROUP BY 1, 2),
-od AS (SELECT instance_type, location, CASE WHEN json_valid(doc) THEN
-  TRY_CAST(json_extract_string(doc, '$.terms.OnDemand.*.priceDimensions.*.pricePerUnit.USD')[1] AS DECIMAL(20,10)) END AS price FROM offers)
-SELECT p_partkey AS cluster_name, role, CAST(n AS BIGINT) AS count, CAST(price * n AS DOUBLE) AS od_low, CAST(price * n AS DOUBLE) AS od_high
-FROM (SELECT p_partkey, p_name, p_brand, 'head' AS role, 1 AS n FROM part
-      UNION ALL SELECT p_partkey, p_name, p_brand, 'cpu', p_size FROM part)
-LEFT JOIN od ON instance_type = p_name AND location = concat('Site ', substr(p_brand, 7))
-  AND CAST(substr(p_brand, 7) AS INT) <= 20
-""",
-)
+# Parts are types; a number of 25 is the region, of which the last five are not on the price list.
+ESTIMATE_SQL = f"""
+WITH h AS (SELECT *, CAST(instance_type AS BIGINT) + CASE WHEN availability_zone = 'F' THEN 1 ELSE 0 END AS shifted FROM ({HISTORY}) WHERE product = 'R'),
+hist AS (SELECT instance_type, region, spot_price FROM (SELECT *, shifted % 25 AS region, row_number() OVER (PARTITION BY instance_type, shifted % 25
+  ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC, spot_price DESC) AS rn FROM h) WHERE rn = 1),
+offers AS (SELECT p_partkey AS instance_type, p_partkey % 25 AS region, TRY_CAST(CASE WHEN p_size < 49 THEN printf('%.4f', p_retailprice) END AS DECIMAL(20,10)) AS price
+  FROM part WHERE p_type NOT IN ('PROMO', 'ECONOMY', 'SMALL', 'MEDIUM') AND p_partkey % 25 < 20),
+roles AS (SELECT p_partkey AS cluster_name, p_partkey % 25 AS region, 'head' AS role, 1 AS n, false AS spot, unnest([p_partkey]) AS instance_type FROM part
+  UNION ALL SELECT p_partkey, p_partkey % 25, 'cpu', p_size, p_partkey % 2 = 0, unnest([p_partkey, p_partkey + 1, p_partkey + 25]) FROM part),
+agg AS (SELECT cluster_name, role, n, min(price) * n AS od_low, max(price) * n AS od_high,
+  min(CASE WHEN spot AND price IS NOT NULL THEN CAST(spot_price AS DECIMAL(20,10)) END) * n AS spot_low,
+  max(CASE WHEN spot AND price IS NOT NULL THEN CAST(spot_price AS DECIMAL(20,10)) END) * n AS spot_high, count(price) AS found, count(*) - count(price) AS failed
+  FROM roles LEFT JOIN offers USING (instance_type, region) LEFT JOIN hist USING (instance_type, region) GROUP BY 1, 2, 3)
+SELECT cluster_name, role, CAST(n AS BIGINT) AS count, round(CAST(od_low AS DOUBLE), 4) AS od_low, round(CAST(od_high AS DOUBLE), 4) AS od_high,
+  round(CAST(spot_low AS DOUBLE), 4) AS spot_low, round(CAST(spot_high AS DOUBLE), 4) AS spot_high,
+  CASE WHEN found > 0 AND failed > 0 THEN concat(failed, ' type(s) unavailable') END AS note FROM agg
+"""
+
+
+@query("build_estimate", ESTIMATE_SQL)
 def build_estimate(t: Tables):
+    text = lambda c: c.cast("string")
+    part = F.col("p_partkey")
     records = t.part.select(
-        F.col("p_partkey").alias("cluster_name"),
-        F.element_at(region_by_brand(), F.col("p_brand")).alias("region"),
-        F.lit("ondemand").alias("cluster_type"),
-        F.col("p_name").alias("headnode_instance_type"),
-        F.array("p_name").alias("cpu_instance_types"),
+        part.alias("cluster_name"),
+        region_of(part).alias("region"),
+        F.when(part % 2 == 0, "spot").otherwise("ondemand").alias("cluster_type"),
+        text(part).alias("headnode_instance_type"),
+        F.array(text(part), text(part + 1), text(part + 25)).alias("cpu_instance_types"),
         F.array().cast("array<string>").alias("gpu_instance_types"),
         F.lit("true").alias("enable_cpu_queue"),
         F.lit("false").alias("enable_gpu_queue"),
         F.col("p_size").alias("max_cpu_queue_size"),
         F.lit(0).alias("max_gpu_queue_size"),
     )
-    spot = history(t).withColumn("instance_type", F.col("instance_type").cast("string"))
-    located = catalog(t).withColumn("location", F.try_element_at(site_location(), F.col("location")))
-    estimate = reports.build_estimate(records, located, spot)
-    return estimate.select(
-        "cluster_name", "role", "count", F.col("od_low").cast("double").alias("od_low"), F.col("od_high").cast("double").alias("od_high")
-    )
-
-
-def region_by_brand():
-    """Brands as regions of the price list: the first twenty regions, then unknown ones."""
-    from fleetloom.functions.fixed_values import REGION_LOCATIONS
-
-    regions = list(REGION_LOCATIONS)
-    pairs = [F.lit(x) for n in range(1, 26) for x in (f"Brand#{n}", regions[n - 1] if n <= 20 else f"nowhere-{n}")]
-    return F.create_map(*pairs)
-
+    located = catalog(t, text(part), F.try_element_at(F.lit(list(REGION_LOCATIONS.values())[:20]), (part % 25 + 1).cast("int")))
+    shifted = F.col("instance_type") + (F.col("availability_zone") == "F").cast("int")
+    spot = history(t).withColumn("region", region_of(shifted)).withColumn("instance_type", text(F.col("instance_type")))
+    estimate = reports.build_estimate(records, located, spot, product="R", tiebreak=TIES)
+    money = ("od_low", "od_high", "spot_low", "spot_high")
+    return estimate.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in money})
 
-def site_location():
-    from fleetloom.functions.fixed_values import REGION_LOCATIONS
 
-    places = list(REGION_LOCATIONS.values())
-    return F.create_map(*[F.lit(x) for n in range(1, 21) for x in (f"Site {n}", places[n - 1])])
+def region_of(number):
+    """The first twenty regions of the price list, then unknown ones."""
+    return F.element_at(F.lit([*list(REGION_LOCATIONS)[:20], *(f"nowhere-{n}" for n in range(5))]), (number % 25 + 1).cast("int"))
 
 
 @query(

@@ -202,21 +202,21 @@ def bucket_pair_status(t: Tables):
 @query(
     "layered_resolve",
     """
-WITH l AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'cli' WHEN '2-HIGH' THEN 'file' ELSE 'hard' END AS layer,
+WITH l AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'cli' WHEN '2-HIGH' THEN 'file' WHEN '4-NOT SPECIFIED' THEN 'elsewhere' ELSE 'hard' END AS layer,
   max(CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_totalprice > 490000 THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END END) AS value
-  FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1, 2),
+  FROM orders GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE layer WHEN 'cli' THEN 1 WHEN 'file' THEN 2 ELSE 3 END) AS rn
-  FROM l WHERE layer <> 'cli' OR value IS NOT NULL)
+  FROM l WHERE layer <> 'elsewhere' AND (layer <> 'cli' OR value IS NOT NULL))
 SELECT o_custkey, layer, value, TRY_CAST(value AS BIGINT) AS typed,
   layer <> 'cli' AND value IS NOT NULL AND TRY_CAST(value AS BIGINT) IS NULL AS invalid FROM r WHERE rn = 1
 """,
 )
 def layered_resolve(t: Tables):
-    layer = F.when(F.col("o_orderpriority") == "1-URGENT", "cli").when(F.col("o_orderpriority") == "2-HIGH", "file").otherwise("hard")
+    priority = F.col("o_orderpriority")
+    layer = F.when(priority == "1-URGENT", "cli").when(priority == "2-HIGH", "file").when(priority == "4-NOT SPECIFIED", "elsewhere").otherwise("hard")
     written = F.when(F.col("o_totalprice") > 490000, "n/a").otherwise(F.floor("o_totalprice").cast("string"))
     layers = (
-        t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
-        .groupBy("o_custkey", layer.alias("layer"))
+        t.orders.groupBy("o_custkey", layer.alias("layer"))
         .agg(F.max(F.when(F.col("o_orderstatus") == "F", written)).alias("value"))
     )
     return quality.layered_resolve(layers, key="o_custkey", cast="bigint")

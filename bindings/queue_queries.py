@@ -206,38 +206,45 @@ def inherit_first(t: Tables):
     return plain.join(gpu_first, "cluster")
 
 
+# Changes in order: each customer asks for four, among them removals of every queue there is and an add that is taken back.
 CHANGES = """
-changes AS (SELECT c_custkey AS cluster, CASE c_mktsegment WHEN 'BUILDING' THEN '1-URGENT' WHEN 'MACHINERY' THEN '5-LOW' WHEN 'FURNITURE' THEN 'brand-new' ELSE '3-MEDIUM' END AS queue,
-  CASE WHEN c_acctbal > 4500 THEN 'add' ELSE 'remove' END AS action FROM customer),
-queues AS (SELECT DISTINCT o_custkey AS cluster, o_orderpriority AS queue FROM orders WHERE o_totalprice > 300000),
-sizes AS (SELECT cluster, count(*) AS n FROM queues GROUP BY 1),
-judged AS (SELECT c.*, CASE WHEN action = 'add' AND q.queue IS NOT NULL THEN 'already exists' WHEN action = 'remove' AND q.queue IS NULL THEN 'not found'
-  WHEN action = 'remove' AND n = 1 THEN 'last queue' END AS reason FROM changes c LEFT JOIN queues q ON q.cluster = c.cluster AND q.queue = c.queue LEFT JOIN sizes s ON s.cluster = c.cluster)
+changes AS (SELECT cluster, unnest([
+    {position: 1, queue: q, action: a}, {position: 2, queue: '5-LOW', action: 'remove'}, {position: 3, queue: 'brand-new', action: 'add'},
+    {position: 4, queue: CASE WHEN a = 'add' THEN 'brand-new' ELSE '1-URGENT' END, action: 'remove'}]) AS c
+  FROM (SELECT c_custkey AS cluster, CASE c_mktsegment WHEN 'BUILDING' THEN '1-URGENT' WHEN 'MACHINERY' THEN '2-HIGH' WHEN 'FURNITURE' THEN '4-NOT SPECIFIED' ELSE '3-MEDIUM' END AS q,
+    CASE WHEN c_acctbal > 4500 THEN 'add' ELSE 'remove' END AS a FROM customer)),
+ordered AS (SELECT cluster, c.position AS position, c.queue AS queue, c.action AS action FROM changes),
+have AS (SELECT o_custkey AS cluster, list(DISTINCT o_orderpriority) AS qs FROM orders GROUP BY 1),
+start AS (SELECT c_custkey AS cluster, coalesce(qs, CAST([] AS VARCHAR[])) AS qs FROM customer LEFT JOIN have ON have.cluster = c_custkey),
+fold AS (WITH RECURSIVE f(cluster, position, qs, queue, action, reason) AS (
+  SELECT cluster, 0, qs, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM start
+  UNION ALL SELECT cluster, position, CASE WHEN reason IS NOT NULL THEN qs WHEN action = 'add' THEN list_append(qs, queue) ELSE list_filter(qs, lambda x: x <> queue) END, queue, action, reason
+  FROM (SELECT o.cluster, o.position, f.qs, o.queue, o.action,
+      CASE WHEN o.action = 'add' AND list_contains(f.qs, o.queue) THEN 'already exists' WHEN o.action = 'remove' AND NOT list_contains(f.qs, o.queue) THEN 'not found'
+        WHEN o.action = 'remove' AND len(f.qs) = 1 THEN 'last queue' END AS reason
+    FROM f JOIN ordered o ON o.cluster = f.cluster AND o.position = f.position + 1)) SELECT * FROM f)
 """
 
 
 def queue_changes(t: Tables):
     segment = F.col("c_mktsegment")
-    queue = F.when(segment == "BUILDING", "1-URGENT").when(segment == "MACHINERY", "5-LOW").when(segment == "FURNITURE", "brand-new").otherwise("3-MEDIUM")
-    changes = t.customer.select(
-        F.col("c_custkey").alias("cluster"), queue.alias("queue"), F.when(F.col("c_acctbal") > 4500, "add").otherwise("remove").alias("action")
+    queue = F.when(segment == "BUILDING", "1-URGENT").when(segment == "MACHINERY", "2-HIGH").when(segment == "FURNITURE", "4-NOT SPECIFIED").otherwise("3-MEDIUM")
+    action = F.when(F.col("c_acctbal") > 4500, "add").otherwise("remove")
+    back = F.when(action == "add", "brand-new").otherwise("1-URGENT")
+    change = lambda at, name, what: F.struct(F.lit(at).alias("position"), name.alias("queue"), what.alias("action"))
+    listed = F.array(
+        change(1, queue, action), change(2, F.lit("5-LOW"), F.lit("remove")), change(3, F.lit("brand-new"), F.lit("add")), change(4, back, F.lit("remove"))
     )
-    existing = t.orders.where(F.col("o_totalprice") > 300000).select(F.col("o_custkey").alias("cluster"), F.col("o_orderpriority").alias("queue")).distinct()
+    changes = t.customer.select(F.col("c_custkey").alias("cluster"), F.explode(listed).alias("c")).select("cluster", "c.*")
+    existing = t.orders.select(F.col("o_custkey").alias("cluster"), F.col("o_orderpriority").alias("queue")).distinct()
     return queues.queue_apply(existing, changes)
 
 
-@query(
-    "queue_apply",
-    f"""
-WITH {CHANGES}
-SELECT cluster, queue FROM queues WHERE (cluster, queue) NOT IN (SELECT cluster, queue FROM judged WHERE action = 'remove' AND reason IS NULL)
-UNION ALL SELECT cluster, queue FROM judged WHERE action = 'add' AND reason IS NULL
-""",
-)
+@query("queue_apply", f"WITH {CHANGES} SELECT cluster, unnest(qs) AS queue FROM fold WHERE position = 4")
 def queue_apply(t: Tables):
     return queue_changes(t)[0]
 
 
-@query("queue_apply_rejected", f"WITH {CHANGES} SELECT * FROM judged WHERE reason IS NOT NULL")
+@query("queue_apply_rejected", f"WITH {CHANGES} SELECT cluster, position, queue, action, reason FROM fold WHERE reason IS NOT NULL")
 def queue_apply_rejected(t: Tables):
     return queue_changes(t)[1]

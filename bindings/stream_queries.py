@@ -12,6 +12,11 @@ from fleetloom.streaming import plans, trackers
 DAY = 24 * 3600
 
 
+def request():
+    """Requests are made at six; samples of the night before them belong to no wait."""
+    return F.date_trunc("day", "ts") + F.make_dt_interval(hours=F.lit(6))
+
+
 def event_stream(t: Tables):
     rows = t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/events*.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -31,8 +36,8 @@ def waits_sql(good: str, bad: str, hours: int, labels: tuple[str, str, str, str]
     keep = {"closed": "WHERE deadline < mark", "decided": "WHERE outcome <> 'PENDING'", "all": ""}[show]
     return f"""
 WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
-s AS (SELECT *, date_trunc('day', ts) AS request FROM events),
-i AS (SELECT * FROM s WHERE ts <= request + INTERVAL {hours} HOUR),
+s AS (SELECT *, date_trunc('day', ts) + INTERVAL 6 HOUR AS request FROM events),
+i AS (SELECT * FROM s WHERE ts >= request AND ts <= request + INTERVAL {hours} HOUR),
 g AS (SELECT user_id, request, min(ts) FILTER (WHERE {good}) AS g, min(ts) FILTER (WHERE {bad}) AS b, request + INTERVAL {hours} HOUR AS deadline,
   arg_max({broken}, ts) AS broken FROM i GROUP BY 1, 2),
 o AS (SELECT user_id, request, deadline, mark, CASE WHEN g IS NOT NULL AND (b IS NULL OR g <= b) THEN '{reached}' WHEN b IS NOT NULL THEN '{aborted}'
@@ -53,21 +58,21 @@ def fleet_conditions():
 
 @query("track_transitions", waits_sql(*FLEET_SQL))
 def track_transitions(t: Tables):
-    stream = event_stream(t).withColumn("request_ts", F.date_trunc("day", "ts"))
+    stream = event_stream(t).withColumn("request_ts", request())
     tracked = trackers.track_transitions(stream, key="user_id", ts="ts", request_ts="request_ts", **fleet_conditions())
     return text_times(finish(t, tracked, "transitions"))
 
 
 @query("track_transitions_live", waits_sql(*FLEET_SQL, show="decided"))
 def track_transitions_live(t: Tables):
-    stream = event_stream(t).withColumn("request_ts", F.date_trunc("day", "ts"))
+    stream = event_stream(t).withColumn("request_ts", request())
     tracked = trackers.track_transitions_live(stream, key="user_id", ts="ts", request_ts="request_ts", **fleet_conditions())
     return text_times(finish(t, tracked, "live"))
 
 
 def history(t: Tables):
     rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.withColumn("request_ts", F.date_trunc("day", "ts"))
+    return rows.withColumn("request_ts", request())
 
 
 def mark(rows):
@@ -92,7 +97,7 @@ def update_statuses(rows):
 
 @query("track_update", waits_sql("event_type = 'error'", "event_type = 'signup'", 6, FLEET_LABELS))
 def track_update(t: Tables):
-    stream = update_statuses(event_stream(t)).withColumn("request_ts", F.date_trunc("day", "ts"))
+    stream = update_statuses(event_stream(t)).withColumn("request_ts", request())
     wait = {**trackers.update_wait("cluster_status", "stack_status"), "timeout_seconds": 6 * 3600}
     tracked = trackers.track_transitions(stream, key="user_id", ts="ts", request_ts="request_ts", **wait)
     return text_times(finish(t, tracked, "updates"))
@@ -113,7 +118,7 @@ CREATE_SQL = ("event_type = 'error'", "event_type = 'signup'", 8, ("created", "f
 
 @query("outcome_of_create", waits_sql(*CREATE_SQL, broken="event_type = 'purchase'"))
 def outcome_of_create(t: Tables):
-    stream = create_answers(event_stream(t)).withColumn("request_ts", F.date_trunc("day", "ts"))
+    stream = create_answers(event_stream(t)).withColumn("request_ts", request())
     wait = {**trackers.create_wait("text", "rc"), "timeout_seconds": 8 * 3600}
     tracked = trackers.track_transitions(stream, key="user_id", ts="ts", request_ts="request_ts", **wait)
     return text_times(finish(t, tracked, "creates"))
@@ -140,7 +145,7 @@ def outcome_of_delete(t: Tables):
         .when(kind == "signup", '{"clusterStatus": "DELETE_FAILED"}')
         .when(kind == "click", "DELETE_IN_PROGRESS")
     )
-    stream = event_stream(t).withColumns({"text": text, "request_ts": F.date_trunc("day", "ts")})
+    stream = event_stream(t).withColumns({"text": text, "request_ts": request()})
     wait = {**trackers.delete_wait("text"), "timeout_seconds": 5 * 3600}
     tracked = trackers.track_transitions(stream, key="user_id", ts="ts", request_ts="request_ts", **wait)
     return text_times(finish(t, tracked, "deletes"))

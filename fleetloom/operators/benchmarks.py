@@ -88,7 +88,7 @@ def benchmark_summary(
         .when((path == BANDWIDTH_FILE) & positive, "bandwidth")
         .when((path == BANDWIDTH_GPU_FILE) & positive, "bandwidth_gpu")
         .when(path == COMMAND_FILE, "command")
-        .when(F.contains(text, F.lit("GFLOP/s rating")) & path.rlike(HPCG_FILE_PATTERN), "hpcg_rating")
+        .when(path.rlike(HPCG_FILE_PATTERN), F.when(F.contains(text, F.lit("GFLOP/s rating")), "hpcg_rating").otherwise("hpcg_other"))
     )
     told = parsed.withColumn("_kind", kind)
     rating = F.try_element_at(F.split(text, "="), F.lit(2))
@@ -96,8 +96,9 @@ def benchmark_summary(
         *key,
         pos,
         "_kind",
-        F.when(F.col("_kind") == "hpcg_rating", path).alias("_file"),
+        F.when(F.startswith("_kind", F.lit("hpcg")), path).alias("_file"),
         F.when(F.col("_kind") == "hpcg_rating", rating)
+        .when(F.col("_kind") == "hpcg_other", None)
         .when(F.col("_kind") == "command", text)
         .when(F.startswith("_kind", F.lit("bandwidth")), F.col("_first"))
         .when(F.col("_kind").isNotNull(), F.col("_second"))
@@ -105,10 +106,13 @@ def benchmark_summary(
         F.when(F.startswith("_kind", F.lit("bandwidth")), F.col("_number")).alias("_number"),
     )
 
-    def earliest(name: str, *order: str) -> Column:
-        states = F.col("_kind") == name
-        place = F.struct(*order) if len(order) > 1 else F.col(order[0])
-        return F.min_by("_text", F.when(states, place))
+    def earliest(name: str) -> Column:
+        return F.min_by("_text", F.when(F.col("_kind") == name, F.col(pos)))
+
+    # the first file by name decides, and in it the first rating; a first file without one states nothing
+    is_hpcg = F.startswith("_kind", F.lit("hpcg"))
+    in_first_file = F.struct("_file", F.col("_kind") != "hpcg_rating", pos)
+    hpcg = F.min_by(F.struct("_text"), F.when(is_hpcg, in_first_file))["_text"]
 
     def peak_of(name: str) -> list[Column]:
         row = F.col("_kind") == name
@@ -116,7 +120,7 @@ def benchmark_summary(
         return [best["_number"].alias(f"{name}_mbs"), best["_text"].alias(f"{name}_size")]
 
     def measured(name: str) -> Column:
-        return earliest(name, pos).try_cast("double").alias(name)
+        return earliest(name).try_cast("double").alias(name)
 
     return narrow.groupBy(*key).agg(
         *[measured(f"stream_{kernel.lower()}_mbs") for kernel in STREAM_KERNELS],
@@ -126,8 +130,8 @@ def benchmark_summary(
         *peak_of("bandwidth_gpu"),
         measured("ior_write_mibs"),
         measured("ior_read_mibs"),
-        earliest("hpcg_rating", "_file", pos).alias("hpcg_rating"),
-        earliest("command", pos).alias("command"),
+        hpcg.alias("hpcg_rating"),
+        earliest("command").alias("command"),
     )
 
 
@@ -163,6 +167,17 @@ def documented_bands(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def expected_band(metrics: DataFrame, bands: DataFrame, *, metric: str = "metric", value: str = "value") -> DataFrame:
-    """Measurements with the documented band they fall into; out-of-band rows do not appear."""
-    return range_match(metrics, bands, key=metric, value=value)
+def expected_band(metrics: DataFrame, bands: DataFrame | None = None, *, metric: str = "metric", value: str = "value") -> DataFrame:
+    """Measurements with the band they fall into; out-of-band rows do not appear.
+
+    The documented bands are a handful of literals, which each row tests itself; a table of
+    ``bands`` is matched by a join.
+    """
+    if bands is not None:
+        return range_match(metrics, bands, key=metric, value=value)
+    within = lambda low, high: (F.col(value) >= low) & (F.lit(True) if high is None else F.col(value) < high)
+    tested = [
+        F.when((F.col(metric) == name) & within(low, high), F.struct(F.lit(band).alias("band"), F.lit(low).alias("low"), F.lit(high).cast("double").alias("high")))
+        for name, band, low, high in fixed.BENCHMARK_BANDS
+    ]
+    return metrics.withColumn("_b", F.explode(F.filter(F.array(*tested), lambda b: b.isNotNull()))).select(*metrics.columns, "_b.*")

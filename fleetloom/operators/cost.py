@@ -10,22 +10,22 @@ from fleetloom.functions.text import as_col
 from fleetloom.functions.values import as_instant, to_money
 
 MAX_DAYS = 365
-MAX_HOURS = 8760
 
 
-def lookback_days(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
-    """Rows of ``[as_of - days, as_of)``; the literal bounds reach the scan."""
-    if not 1 <= days <= MAX_DAYS:
-        raise ValueError(f"days must be between 1 and {MAX_DAYS}")
+def lookback_days(df: DataFrame, ts: str, days: int, as_of: str, most: int | None = MAX_DAYS) -> DataFrame:
+    """Rows of ``[as_of - days, as_of)``; the literal bounds reach the scan. More than ``most`` days (None: no limit) are an error."""
+    if days < 1 or (most is not None and days > most):
+        raise ValueError("days must be at least 1" + (f" and at most {most}" if most is not None else ""))
     end = F.to_timestamp(F.lit(as_of)).cast(df.schema[ts].dataType)
     start = (F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(days))).cast(df.schema[ts].dataType)
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
 def lookback_hours(df: DataFrame, ts: str, hours: int, as_of: str) -> DataFrame:
-    """Rows not older than ``hours`` before ``as_of``; hours are forced into 1..8760."""
-    bounded = min(max(hours, 1), MAX_HOURS)
-    start = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(0), F.lit(bounded))
+    """Rows not older than ``hours`` (at least 1) before ``as_of``."""
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
+    start = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(0), F.lit(hours))
     return df.where(F.col(ts) >= start.cast(df.schema[ts].dataType))
 
 

@@ -102,6 +102,46 @@ def annotate_nodes(lines: DataFrame, *, key: str | Sequence[str], line: str = "l
     return joined.withColumn("marked", marked).drop("_header_pos", "_state_field", "_parts")
 
 
+# What a finished stack reports.
+STACK_OK = ("CREATE_COMPLETE",)
+TEXT_DESCRIBE_FAILED, TEXT_DESCRIBE_BROKEN = "describe call failed (rc=", "unexpected describe response"
+
+DESCRIBED = "struct<clusterStatus:string,cloudFormationStackStatus:string,headNode:struct<publicIpAddress:string,privateIpAddress:string>>"
+
+
+def stack_verdict(snapshots: DataFrame, *, key: str, rc: str = "rc", text: str = "text", ok_statuses: Sequence[str] = STACK_OK) -> DataFrame:
+    """``ok``, ``detail`` and ``head_ip`` of each cluster's describe answer (one row per cluster).
+
+    A failed call and an answer that is no JSON object are not ok and leave the address unknown
+    (NULL). Otherwise the address is the public one, else the private one, else empty; the cluster
+    is ok when its status is among ``ok_statuses``. An absent status reads ``UNKNOWN``.
+    """
+    failed = F.coalesce(F.col(rc), F.lit(1)) != 0
+    doc = F.from_json(text, DESCRIBED, {"mode": "PERMISSIVE"})
+    broken = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>").isNull(), F.lit(True))
+    status = F.coalesce(doc["clusterStatus"], F.lit("UNKNOWN"))
+    stack = F.coalesce(doc["cloudFormationStackStatus"], F.lit("UNKNOWN"))
+    given = lambda c: F.nullif(c, F.lit(""))
+    address = F.coalesce(given(doc["headNode"]["publicIpAddress"]), given(doc["headNode"]["privateIpAddress"]), F.lit(""))
+    known, ok = ~failed & ~broken, status.isin(*ok_statuses)
+    detail = (
+        F.when(failed, F.concat(F.lit(TEXT_DESCRIBE_FAILED), F.coalesce(F.col(rc).cast("string"), F.lit("none")), F.lit(")")))
+        .when(broken, F.lit(TEXT_DESCRIBE_BROKEN))
+        .when(ok, F.concat(F.lit("clusterStatus="), status))
+        .otherwise(F.concat(F.lit("clusterStatus="), status, F.lit(" cloudFormationStackStatus="), stack))
+    )
+    return snapshots.select(key, (known & ok).alias("ok"), detail.alias("detail"), F.when(known, address).alias("head_ip"))
+
+
+def stack_checks(verdicts: DataFrame, *, key: str) -> DataFrame:
+    """The ``stack`` and ``head_ip`` rows of ``check_rollup`` from ``stack_verdict``: ``(key, check, ok)``."""
+    rows = F.array(
+        F.struct(F.lit("stack").alias("check"), F.col("ok").alias("ok")),
+        F.struct(F.lit("head_ip").alias("check"), (F.col("head_ip") != "").alias("ok")),
+    )
+    return verdicts.select(key, F.explode(rows).alias("c")).select(key, "c.*")
+
+
 # Checks in report order.
 CHECKS = ("record", "stack", "head_ip", "ssh", "slurm", "postinstall", "grafana", "storage")
 

@@ -43,6 +43,8 @@ def with_live_status(
     ``<cluster> / <stack>`` with ``?`` for an absent field, ``ERR`` when the call failed or
     never answered, ``LOCAL`` when nobody asked (``snapshots`` is None).
     """
+    if snapshots is not None and not tiebreak:
+        raise ValueError("snapshots of equal time need a tiebreak")
     if snapshots is None:
         return inventory.withColumn("status", F.lit(fixed.TEXT_STATUS_LOCAL))
     latest = latest_per_key(snapshots, key=key, order=[ts, *tiebreak], value=["rc", "cluster_status", "stack_status"])

@@ -1,9 +1,10 @@
 """Building blocks shared by the operators: group picks, top-n, set differences, range match.
 
-Picks are aggregations, not sorts over a group: every task reduces its own rows to one
-per key before the shuffle, so a key that holds a third of the input costs no more than
-any other. Where more than one row per key survives (``top_n_per_key``) the ranking runs
-twice, first over salted sub-groups.
+Picks are aggregations: every task reduces its own rows to one per key before the shuffle,
+so a key that holds a third of the input sends no more than any other. A pick that carries
+text or structs is aggregated over the task's rows sorted by key; picks of numbers are hashed.
+Where more than one row per key survives (``top_n_per_key``) the ranking runs twice, first
+over salted sub-groups.
 """
 
 from __future__ import annotations
@@ -91,24 +92,20 @@ def range_match(
     value: str,
     low: str = "low",
     high: str = "high",
-    few: int = 200,
 ) -> DataFrame:
     """Rows joined to the ranges ``low <= value < high`` of their key; an absent ``high`` is open.
 
     The range side is spread over the powers of two it touches (at most about 2,100 rows per
     range) and the join is an equi-join on key and power, so it neither compares all pairs
     nor needs a small side; the exact bounds are checked after it. The planner does not see
-    that spreading, so the ranges are counted up to ``few`` first: only that many may be
-    broadcast, more are joined by sort-merge with skew splitting.
+    that spreading, so the join is always a sort-merge, whose skew adaptive execution splits.
     """
     keys = _names(key)
     number = as_col(value).cast("double")
     lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
     first_bin = magnitude(F.coalesce(lo, F.lit(0.0))) - 1
     last_bin = F.when(hi.isNull(), F.lit(MAX_MAGNITUDE + 1)).otherwise(magnitude(hi) + 1)
-    binned = ranges.where(hi.isNull() | (lo < hi)).withColumn("_bin", F.explode(F.sequence(first_bin, last_bin)))
-    if ranges.limit(few + 1).count() > few:
-        binned = binned.hint("merge")
+    binned = ranges.where(hi.isNull() | (lo < hi)).withColumn("_bin", F.explode(F.sequence(first_bin, last_bin))).hint("merge")
     left = df.where(number.isNotNull() & ~F.isnan(number)).withColumn("_bin", magnitude(number))
     joined = left.join(binned, [*keys, "_bin"])
     inside = (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) < F.col(high)))

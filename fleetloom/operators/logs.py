@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from fleetloom.functions.text import is_blank
 from fleetloom.operators.kernels import first_per_key, latest_per_key, top_n_per_key
 
-MAX_LINES = 500
-
 
 def latest_log_group(groups: DataFrame, *, name: str = "name", prefix: str) -> DataFrame:
     """Newest group per cluster among names ``<prefix><cluster>-<12 digits>``."""
@@ -44,11 +42,12 @@ def match_streams(
 def log_tail(
     events: DataFrame, *, key: str | Sequence[str], ts: str, n: int, tiebreak: str | Sequence[str], salts: int = 64
 ) -> DataFrame:
-    """Last ``n`` (1..500) events per stream; ``rank`` 1 is the newest, so a report sorts it downwards."""
-    keep = min(max(n, 1), MAX_LINES)
+    """Last ``n`` events per stream; ``rank`` 1 is the newest, so a report sorts it downwards."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     order = [F.col(ts).desc(), *[F.col(t).desc() for t in ties]]
-    return top_n_per_key(events, key=key, order=order, n=keep, spread=[ts, *ties], salts=salts)
+    return top_n_per_key(events, key=key, order=order, n=n, spread=[ts, *ties], salts=salts)
 
 
 def tail_nonblank(lines: DataFrame, *, key: str | Sequence[str], n: int, line: str = "line", pos: str = "line_no", salts: int = 64) -> DataFrame:

@@ -91,31 +91,21 @@ def prefix_status(
     prefix: str = "prefix",
     object_key: str = "key",
     required: str = "required",
-    salts: int = 16,
 ) -> DataFrame:
     """Status of each prefix: an undefined bucket is ``skipped``, an export prefix ``exempt``, others ``nonempty`` or ``empty``.
 
     ``buckets`` optionally lists ``(bucket, code)`` answers; a code other than NULL makes
     every prefix of that bucket ``access_denied`` (403) or ``bucket_not_found``.
 
-    An object's key is cut to the prefix lengths asked for in its bucket and the cuts are
-    deduplicated before they meet the prefixes, so no key is compared with every prefix.
-    The listing is spread over ``salts`` parts of each bucket: a bucket that holds most
-    objects is cut in many tasks and shrinks to its distinct cuts before the next shuffle.
-    Should the lengths be broadcast, they are at most ``salts`` times the broadcast limit.
+    The task that reads an object cuts its key to all prefix lengths asked for anywhere (a
+    list no longer than the longest prefix), and only cuts that are asked for go on; whole keys
+    are never shuffled, and no key is compared with every prefix.
     """
-    asked = prefixes.where(F.col(required))
-    lengths = asked.groupBy(bucket).agg(F.collect_set(F.length(prefix)).alias("_lengths"))
-    spread = lengths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = listing.select(bucket, object_key, F.pmod(F.xxhash64(object_key), F.lit(salts)).cast("int").alias("_salt"))
-    fitting = F.filter("_lengths", lambda n: n <= F.length(object_key))
-    cuts = F.transform(fitting, lambda n: F.substring(F.col(object_key), F.lit(1), n))
-    seen = (
-        salted.join(spread, [bucket, "_salt"])
-        .select(bucket, F.explode(cuts).alias(prefix))
-        .distinct()
-        .withColumn("_seen", F.lit(True))
-    )
+    asked = prefixes.where(F.col(required)).select(bucket, prefix).distinct()
+    lengths = F.coalesce(asked.agg(F.collect_set(F.length(prefix))).scalar(), F.array().cast("array<int>"))
+    cuts = F.transform(F.filter("_lengths", lambda n: n <= F.length(object_key)), lambda n: F.substring(F.col(object_key), F.lit(1), n))
+    cut = listing.select(bucket, object_key, lengths.alias("_lengths")).select(bucket, F.explode(cuts).alias(prefix))
+    seen = cut.join(asked, [bucket, prefix], "left_semi").distinct().withColumn("_seen", F.lit(True))
     joined = prefixes.join(seen, [bucket, prefix], "left")
     if buckets is None:
         joined = joined.withColumn("_code", F.lit(None).cast("string"))

@@ -65,17 +65,26 @@ def ondemand_price(
     return joined.withColumn("reason", reason).drop("_location", "_found")
 
 
+def region_of_zone(zone: str | Column) -> Column:
+    """Region of an availability zone: its name without the letters behind the last digit."""
+    return F.regexp_extract(zone, r"^(.*[0-9])[a-z]+$", 1)
+
+
 def latest_spot_price(
     history: DataFrame,
     *,
-    product: str | None = None,
+    tiebreak: str | Sequence[str],
+    product: str | None = fixed.SPOT_PRODUCT_COST,
     zone: str | None = None,
     key: str | Sequence[str] = "instance_type",
     ts: str = "ts",
-    tiebreak: str | Sequence[str] = (),
     price: str = "spot_price",
 ) -> DataFrame:
-    """Newest price per type; the build path fixes product and zone, the cost path the product."""
+    """Newest price per ``key``, equal times told apart by ``tiebreak``.
+
+    One product is looked at (the cost path's by default, None for all); the build path fixes
+    its own and the zone. A fleet that spans regions has the region in ``key``.
+    """
     rows = history
     if product is not None:
         rows = rows.where(F.col("product") == product)
@@ -102,13 +111,13 @@ def queue_price_range(
 ) -> DataFrame:
     """Lowest and highest price over the types of a queue.
 
-    Spot prices count only for types whose on-demand price was found. ``note`` says how
+    Both price tables are joined on ``price_keys``. Spot prices count only for types whose on-demand price was found. ``note`` says how
     many types are missing when some, but not all, are. ``is_spot`` is read per row.
     """
     spot_flag = F.col(is_spot) if isinstance(is_spot, str) else is_spot
     exploded = queues.withColumn("_spot", spot_flag).withColumn("instance_type", F.explode_outer(types))
     priced = exploded.join(ondemand.select(*price_keys, "od_price"), list(price_keys), "left").join(
-        spot.select("instance_type", "spot_price"), "instance_type", "left"
+        spot.select(*price_keys, "spot_price"), list(price_keys), "left"
     )
     found = F.col("od_price").isNotNull()
     used_spot = F.when(found & F.col("_spot"), F.col("spot_price"))
@@ -131,6 +140,7 @@ def fleet_hourly_cost(inventory: DataFrame, ondemand: DataFrame, spot: DataFrame
 
     The three roles are laid out inside the row, so the inventory is read once and priced
     in one join. Queue rows appear only when the queue is enabled, has types and can grow.
+    Prices, on demand and spot, are those of the cluster's region.
     """
     spot_fleet = F.col("cluster_type") == "spot"
 

@@ -239,12 +239,13 @@ def layered_resolve(
 ) -> DataFrame:
     """Value per key from the first layer that has it.
 
-    A NULL in the first layer is absent, in a later one it is a value and wins. With
-    ``cast`` a value from a later layer that does not convert sets ``invalid``.
+    A NULL in the first layer is absent, in a later one it is a value and wins. Layers that
+    ``order`` does not name count for nothing. With ``cast`` a value from a later layer that
+    does not convert sets ``invalid``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rank = F.array_position(F.array(*[F.lit(name) for name in order]), F.col(layer))
-    present = layers.where((F.col(layer) != order[0]) | F.col(value).isNotNull())
+    present = layers.where((rank > 0) & ((F.col(layer) != order[0]) | F.col(value).isNotNull()))
     first = present.groupBy(*keys).agg(F.min_by(F.struct(F.col(layer), F.col(value)), rank).alias("r"))
     chosen = first.select(*keys, F.col("r")[layer].alias(layer), F.col("r")[value].alias(value))
     if cast is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.functions import fixed_values as fixed
@@ -78,19 +78,23 @@ def arch_consistency(types: DataFrame, *, key: str | Sequence[str], type_col: st
     keys = [key] if isinstance(key, str) else list(key)
     present = F.col(type_col).isNotNull()
     low, high = F.min(F.when(present, F.col(arch))), F.max(F.when(present, F.col(arch)))
-    labels = F.collect_set(F.when(present, F.concat(F.col(type_col), F.lit("="), F.col(arch))))
-    grouped = types.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"), F.array_sort(labels).alias("_labels"))
     mixed = F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))
-    return grouped.select(
-        *keys,
-        F.when(~mixed, F.col("_low")).alias("arch"),
-        mixed.alias("mixed"),
-        F.when(mixed, F.array_join("_labels", ", ")).alias("detail"),
-    )
+    judged = types.groupBy(*keys).agg(low.alias("_low"), high.alias("_high")).withColumn("mixed", mixed)
+    # only mixed clusters list their types, and each type once
+    of_mixed = types.where(present).join(judged.where("mixed").select(*keys), keys, "left_semi")
+    labels = F.collect_set(F.concat(F.col(type_col), F.lit("="), F.col(arch)))
+    details = of_mixed.groupBy(*keys).agg(F.array_join(F.array_sort(labels), ", ").alias("detail"))
+    return judged.join(details, keys, "left").select(*keys, F.when(~F.col("mixed"), F.col("_low")).alias("arch"), "mixed", "detail")
+
 
+def static_fabric_types(spark: SparkSession, key: str = "instance_type") -> DataFrame:
+    """The fixed list of fabric-capable types, the fallback where no live answer is at hand."""
+    return spark.range(1).select(F.explode(F.lit(list(fixed.FABRIC_TYPES))).alias(key))
 
-def not_capable(types: DataFrame, live: DataFrame, fallback: DataFrame, *, key: str = "instance_type") -> DataFrame:
-    """Types outside the capability set: the live one, or the static one when that is empty."""
+
+def not_capable(types: DataFrame, live: DataFrame, fallback: DataFrame | None = None, *, key: str = "instance_type") -> DataFrame:
+    """Types outside the capability set: the live one, or the static one (by default the fixed list) when that is empty."""
+    fallback = static_fabric_types(types.sparkSession, key) if fallback is None else fallback
     static = fallback.select(key).where(~live.exists())
     return types.join(live.select(key).unionByName(static), key, "left_anti")
 
@@ -165,37 +169,45 @@ def inherit_first(queues: DataFrame, value: Column, *, key: str, pos: str = "pos
     return queues.groupBy(key).agg(picked.alias(name))
 
 
-def queue_apply(queues: DataFrame, changes: DataFrame, *, cluster: str = "cluster", queue: str = "queue") -> tuple[DataFrame, DataFrame]:
-    """Apply ``add`` and ``remove`` changes; returns the new queues and the rejected changes.
+def queue_apply(
+    queues: DataFrame, changes: DataFrame, *, cluster: str = "cluster", queue: str = "queue", position: str = "position"
+) -> tuple[DataFrame, DataFrame]:
+    """Apply ``add`` and ``remove`` changes in order of ``position``; returns the new queues and the rejected changes.
 
-    Adding an existing queue, removing an unknown one and removing the last one are
-    rejected with a reason. Queues and changes are reduced together to one row per queue;
-    a cluster's queues are counted, never collected.
+    Each change is judged against what the ones before it left: adding an existing queue,
+    removing an unknown one and removing the last one are rejected with a reason and change
+    nothing. Changes of equal position go by queue, then action. The fold needs a cluster's queues
+    and its changes together, which people write by hand; clusters without changes are passed on
+    as they are, and every change is read once.
     """
-    nothing = F.lit(None).cast("string")
-    present = queues.select(cluster, queue, F.lit(True).alias("_there"), nothing.alias("action"))
-    wanted = changes.select(cluster, queue, F.lit(False).alias("_there"), "action")
-    there, add, remove = F.col("_there"), F.col("_add"), F.col("_remove")
-    state = present.unionByName(wanted).groupBy(cluster, queue).agg(
-        F.bool_or("_there").alias("_there"),
-        F.coalesce(F.bool_or(F.col("action") == "add"), F.lit(False)).alias("_add"),
-        F.coalesce(F.bool_or(F.col("action") == "remove"), F.lit(False)).alias("_remove"),
-    )
-    sizes = queues.groupBy(cluster).agg(F.count("*").alias("_queues"))
-    judged = state.join(sizes, cluster, "left")
-    last = F.col("_queues") == 1
-    applied = judged.where((there & ~(remove & ~last)) | (~there & add)).select(cluster, queue)
-
-    def rejected(action: str, reason: str, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason")))
-
-    reasons = F.array(
-        rejected("add", "already exists", there & add),
-        rejected("remove", "not found", ~there & remove),
-        rejected("remove", "last queue", there & remove & last),
-    )
-    refused = judged.select(cluster, queue, F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("r"))
-    return applied, refused.select(cluster, queue, "r.*")
+    listed = changes.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(position, queue, "action"))).alias("_changes"))
+    have = queues.join(listed.select(cluster), cluster, "left_semi").groupBy(cluster).agg(F.collect_set(queue).alias("_have"))
+    both = listed.join(have, cluster, "left")
+
+    def step(state: Column, change: Column) -> Column:
+        name, there = change[queue], F.array_contains(state["have"], change[queue])
+        reason = (
+            F.when((change["action"] == "add") & there, "already exists")
+            .when((change["action"] == "remove") & ~there, "not found")
+            .when((change["action"] == "remove") & (F.size(state["have"]) == 1), "last queue")
+        )
+        after = F.when(change["action"] == "add", F.array_append(state["have"], name)).when(
+            change["action"] == "remove", F.array_remove(state["have"], name)
+        ).otherwise(state["have"])
+        refused = F.struct(change[position].alias(position), name.alias(queue), change["action"].alias("action"), reason.alias("reason"))
+        return F.struct(
+            F.when(reason.isNull(), after).otherwise(state["have"]).alias("have"),
+            F.when(reason.isNull(), state["refused"]).otherwise(F.array_append(state["refused"], refused)).alias("refused"),
+        )
+
+    kinds = changes.schema
+    of = lambda name: kinds[name].dataType.simpleString()
+    none = F.array().cast(f"array<struct<{position}:{of(position)},{queue}:{of(queue)},action:string,reason:string>>")
+    start = F.struct(F.coalesce("_have", F.array().cast(f"array<{of(queue)}>")).alias("have"), none.alias("refused"))
+    done = both.select(cluster, F.aggregate("_changes", start, step).alias("_s"))
+    untouched = queues.join(listed.select(cluster), cluster, "left_anti").select(cluster, queue)
+    applied = untouched.unionByName(done.select(cluster, F.explode("_s.have").alias(queue)))
+    return applied, done.select(cluster, F.explode("_s.refused").alias("r")).select(cluster, "r.*")
 
 
 def first_subnets(requests: DataFrame, subnets: DataFrame, **names: str) -> DataFrame:

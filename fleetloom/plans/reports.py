@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.functions import fixed_values as fixed
 from fleetloom.functions.values import age_label, epoch_ms_text
 from fleetloom.operators import benchmarks, cost, health, inventory, logs, pricing, quality, queues
 from fleetloom.operators.kernels import latest_per_key
@@ -44,24 +45,30 @@ def fleet_list(
     *,
     as_of: str,
     snapshots: DataFrame | None = None,
+    tiebreak: tuple[str, ...] = (),
     region: str | None = None,
     owner: str | None = None,
 ) -> DataFrame:
-    """Inventory of active clusters with age and live status."""
+    """Inventory of active clusters with age and live status; ``tiebreak`` is required with ``snapshots``."""
     active = inventory.valid_keys(names, "cluster_name").select("cluster_name")
     records = normalize_records(raw_records).join(active, "cluster_name", "left_semi")
     filtered = inventory.equality_filters(records, region=region, owner=owner)
     aged = filtered.withColumn("age", age_label("deployment_date", as_of))
-    return inventory.with_live_status(aged, snapshots)
+    return inventory.with_live_status(aged, snapshots, tiebreak=tiebreak)
 
 
-def cluster_health(results: DataFrame, node_lines: DataFrame, *, key: str = "cluster") -> DataFrame:
-    """Check roll-up whose scheduler check comes from the node lines."""
+def cluster_health(results: DataFrame, node_lines: DataFrame, describes: DataFrame | None = None, *, key: str = "cluster") -> DataFrame:
+    """Check roll-up whose scheduler check comes from the node lines, its stack and address checks from ``describes`` where given."""
     counts = health.node_state_counts(node_lines, key=key, rc="rc")
     verdicts = health.slurm_verdict(counts).select(key, F.lit("slurm").alias("check"), (F.col("verdict") == "PASS").alias("ok"))
     flags = results.groupBy(key).agg(F.bool_or("monitoring").alias("monitoring"))
     judged = verdicts.join(flags, key).select(key, "check", "ok", "monitoring")
-    others = results.where(F.col("check") != "slurm").select(key, "check", "ok", "monitoring")
+    derived = ["slurm"]
+    if describes is not None:
+        derived += ["stack", "head_ip"]
+        stack = health.stack_checks(health.stack_verdict(describes, key=key), key=key)
+        judged = judged.unionByName(stack.join(flags, key).select(key, "check", "ok", "monitoring"))
+    others = results.where(~F.col("check").isin(derived)).select(key, "check", "ok", "monitoring")
     return health.check_rollup(others.unionByName(judged), key=key, monitoring="monitoring")
 
 
@@ -93,15 +100,26 @@ def benchmark_report(lines: DataFrame, *, latest_only: bool = True) -> DataFrame
 
 
 def build_estimate(
-    records: DataFrame, catalog: DataFrame, spot_history: DataFrame, *, zone: str | None = None, product: str | None = None
+    records: DataFrame,
+    catalog: DataFrame,
+    spot_history: DataFrame,
+    *,
+    tiebreak: str | Sequence[str],
+    zone: str | None = None,
+    product: str | None = fixed.SPOT_PRODUCT_BUILD,
 ) -> DataFrame:
-    """Hourly cost per role of every configuration from the price catalog and spot history."""
+    """Hourly cost per role of every configuration from the price catalog and spot history.
+
+    A history without a ``region`` takes it from the availability zone.
+    """
     pairs = records.select(
         "region",
         F.explode(F.concat(F.array("headnode_instance_type"), "cpu_instance_types", "gpu_instance_types")).alias("instance_type"),
     ).distinct()
     ondemand = pricing.ondemand_price(pairs, catalog).select("instance_type", "region", "od_price")
-    spot = pricing.latest_spot_price(spot_history, product=product, zone=zone)
+    if "region" not in spot_history.columns:
+        spot_history = spot_history.withColumn("region", pricing.region_of_zone("availability_zone"))
+    spot = pricing.latest_spot_price(spot_history, product=product, zone=zone, key=["instance_type", "region"], tiebreak=tiebreak)
     return pricing.fleet_hourly_cost(records, ondemand, spot.withColumn("spot_price", F.col("spot_price").try_cast("decimal(20,10)")))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", order: str | Sequence[str] | None = None) -> None:
@@ -21,10 +23,19 @@ def ordered_report(df: DataFrame, order: str | Sequence[str] | None) -> DataFram
     return df.orderBy(*([order] if isinstance(order, str) else order))
 
 
-def append_results(df: DataFrame, path: str, by: Sequence[str] = ("cluster", "serial")) -> None:
+def append_results(df: DataFrame, path: str, by: Sequence[str] = ("cluster", "serial"), run: str = "run_id") -> None:
     """Append run metrics under ``cluster=/serial=``; earlier builds are never overwritten.
 
+    Runs (``run`` within a build) that are there already are left out, so a repeated write adds nothing.
     The rebalance hint lets adaptive execution gather each build into few files and split
     one that is large, instead of one file per task and build or one task per build.
     """
+    keys = [*by, run]
+    try:
+        there = df.sparkSession.read.parquet(path).select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]).distinct()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        df = df.join(there, keys, "left_anti")
     df.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(path)

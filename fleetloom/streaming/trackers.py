@@ -30,7 +30,7 @@ _SUCCESS, _FAILURE = 2, 1
 def _samples(
     df: DataFrame, keys: Sequence[str], ts: str, request_ts: str, success: Column, failure: Column, call_failed: Column | None, seconds: int
 ) -> DataFrame:
-    """Samples that belong to a wait: at or before the deadline, with their verdict."""
+    """Samples that belong to a wait: from the request up to the deadline, with their verdict."""
     no = F.lit(False)
     verdict = (
         F.when(F.coalesce(success, no), _SUCCESS).when(F.coalesce(failure, no), _FAILURE).otherwise(0)
@@ -44,7 +44,7 @@ def _samples(
         verdict.alias("verdict"),
         broken.alias("broken"),
         deadline.alias("deadline"),
-    ).where(F.col("ts") <= F.col("deadline"))
+    ).where((F.col("ts") >= F.col("request_ts")) & (F.col("ts") <= F.col("deadline")))
 
 
 def _decide(grouped: DataFrame, keys: Sequence[str], labels: tuple[str, str, str, str], over: Column) -> DataFrame:

@@ -37,10 +37,16 @@ def test_days_out_of_range_are_an_error(spark, days):
         cost.lookback_days(cost_lines(spark), "ts", days, "2026-07-24")
 
 
-def test_hours_are_forced_into_range(spark):
+def test_days_without_a_limit(spark):
+    assert cost.lookback_days(cost_lines(spark), "ts", 10**4, "2026-07-24", most=None).count() >= 1
+
+
+def test_hours_reach_as_far_as_asked(spark):
     lines = cost_lines(spark)
-    assert cost.lookback_hours(lines, "ts", -5, "2026-07-24").count() == 1
-    assert cost.lookback_hours(lines, "ts", 10**6, "2026-07-24").count() == 8
+    with pytest.raises(ValueError):
+        cost.lookback_hours(lines, "ts", 0, "2026-07-24")
+    old = spark.createDataFrame([("2020-01-01",)], "d string").select(F.to_timestamp("d").alias("ts"))
+    assert cost.lookback_hours(old, "ts", 10**6, "2026-07-24").count() == 1
 
 
 def test_cost_report_statuses(spark):
@@ -120,7 +126,7 @@ def fleet(spark, **change):
 
 def priced(spark, inventory_df, od, spot=()):
     ondemand = spark.createDataFrame([(k, "r", p) for k, p in od.items()], "instance_type string, region string, od_price double")
-    spots = spark.createDataFrame(list(spot), "instance_type string, spot_price double")
+    spots = spark.createDataFrame([(k, "r", p) for k, p in spot], "instance_type string, region string, spot_price double")
     return {r["role"]: r for r in pricing.fleet_hourly_cost(inventory_df, ondemand, spots).collect()}
 
 
@@ -153,6 +159,20 @@ def test_queue_that_cannot_exist_has_no_row(spark, change):
     assert set(priced(spark, fleet(spark, **change), {"h": 1.0})) == {"head"}
 
 
+def test_spot_prices_are_those_of_the_region(spark):
+    both = fleet(spark, cluster_name="east", region="east", cluster_type="spot").unionByName(fleet(spark, cluster_name="west", region="west", cluster_type="spot"))
+    types = "instance_type string, region string, {} double"
+    ondemand = spark.createDataFrame([("a", "east", 1.0), ("a", "west", 1.0)], types.format("od_price"))
+    rows = [("a", "us-east-1a", "east", "0.1", 1), ("a", "us-west-1b", "west", "0.9", 1)]
+    history = spark.createDataFrame(rows, "instance_type string, availability_zone string, region string, spot_price string, ts int").withColumn("product", F.lit("Linux/UNIX"))
+    spot = pricing.latest_spot_price(history, key=["instance_type", "region"], tiebreak="availability_zone")
+    spot = spot.withColumn("spot_price", F.col("spot_price").cast("double"))
+    got = {(r["cluster_name"], r["role"]): r["spot_low"] for r in pricing.fleet_hourly_cost(both, ondemand, spot).collect()}
+    assert (got["east", "cpu"], got["west", "cpu"]) == (pytest.approx(0.8), pytest.approx(7.2))
+    zones = {r[0] for r in history.select(pricing.region_of_zone("availability_zone")).collect()}
+    assert zones == {"us-east-1", "us-west-1"}
+
+
 def test_duplicate_types_count_twice_in_the_failures(spark):
     q = spark.createDataFrame([(1, ["a", "x", "x"])], "queue int, types array<string>")
     od = spark.createDataFrame([("a", 1.0)], "instance_type string, od_price double")
@@ -164,8 +184,10 @@ def test_duplicate_types_count_twice_in_the_failures(spark):
 def test_latest_spot_price_filters_before_picking(spark):
     rows = [("a", "z1", "VPC", "0.5", 1), ("a", "z1", "VPC", "0.6", 2), ("a", "z2", "VPC", "0.7", 3), ("a", "z1", "Other", "0.8", 4)]
     h = spark.createDataFrame(rows, "instance_type string, availability_zone string, product string, spot_price string, ts int")
-    assert one(pricing.latest_spot_price(h, product="VPC", zone="z1"))["spot_price"] == "0.6"
-    assert one(pricing.latest_spot_price(h))["spot_price"] == "0.8"
+    ties = "availability_zone"
+    assert one(pricing.latest_spot_price(h, product="VPC", zone="z1", tiebreak=ties))["spot_price"] == "0.6"
+    assert one(pricing.latest_spot_price(h, product=None, tiebreak=ties))["spot_price"] == "0.8"
+    assert pricing.latest_spot_price(h, tiebreak=ties).count() == 0
 
 
 # --- node states and health --------------------------------------------------------------
@@ -294,7 +316,7 @@ def test_live_status_texts(spark):
         [("a", 1, 0, "OLD", "OLD"), ("a", 2, 0, "CREATE_COMPLETE", None), ("b", 1, 0, None, None), ("c", 1, 1, "X", "Y")],
         "cluster_name string, ts int, rc int, cluster_status string, stack_status string",
     )
-    got = dict(values(inventory.with_live_status(fleet_df, snaps), "cluster_name", "status"))
+    got = dict(values(inventory.with_live_status(fleet_df, snaps, tiebreak=("rc",)), "cluster_name", "status"))
     assert got == {"a": "CREATE_COMPLETE / ?", "b": "? / ?", "c": "ERR", "d": "ERR"}
     assert {r["status"] for r in inventory.with_live_status(fleet_df, None).collect()} == {"LOCAL"}
 
@@ -387,6 +409,50 @@ def test_summary_of_a_full_and_an_empty_run(spark):
     assert (bare["bandwidth_mbs"], bare["hpcg_rating"], bare["total_ranks"], bare["hpcg_valid"], bare["osu_possible"]) == (None, None, 1, False, False)
 
 
+def test_device_files_and_a_first_file_without_a_rating(spark):
+    files = {
+        "osu/latency_cuda.txt": ["8  2.5"], "osu/bandwidth_cuda.txt": ["1 5.0", "2 7.5", "4 7.5"], "stream.txt": ["Scale: 3.0", "Add: 4.0"],
+        "hpcg/HPCG-Benchmark_1.txt": ["Setup"], "hpcg/HPCG-Benchmark_2.txt": ["GFLOP/s rating of=9"],
+    }
+    rows = [("c", "s", "1", f, n, line) for f, lines in files.items() for n, line in enumerate(lines)]
+    got = one(benchmarks.benchmark_summary(spark.createDataFrame(rows, "cluster string, serial string, run_id string, relpath string, line_no int, line string")))
+    assert (got["latency_gpu_us"], got["bandwidth_gpu_mbs"], got["bandwidth_gpu_size"], got["hpcg_rating"]) == (2.5, 7.5, "2", None)
+    assert (got["stream_scale_mbs"], got["stream_add_mbs"], got["latency_us"]) == (3.0, 4.0, None)
+
+
+def test_stack_verdict(spark):
+    rows = [
+        ("ok", 0, '{"clusterStatus": "CREATE_COMPLETE", "headNode": {"publicIpAddress": "1.1.1.1", "privateIpAddress": "10.0.0.1"}}'),
+        ("private", 0, '{"clusterStatus": "UPDATE_COMPLETE", "cloudFormationStackStatus": "X", "headNode": {"privateIpAddress": "10.0.0.1"}}'),
+        ("bare", 0, "{}"), ("broken", 0, "oops"), ("failed", 2, None), ("mute", None, None), ("null", 0, None),
+    ]
+    verdicts = health.stack_verdict(spark.createDataFrame(rows, "cluster string, rc int, text string"), key="cluster")
+    got = {r["cluster"]: (r["ok"], r["detail"], r["head_ip"]) for r in verdicts.collect()}
+    assert got == {
+        "ok": (True, "clusterStatus=CREATE_COMPLETE", "1.1.1.1"),
+        "private": (False, "clusterStatus=UPDATE_COMPLETE cloudFormationStackStatus=X", "10.0.0.1"),
+        "bare": (False, "clusterStatus=UNKNOWN cloudFormationStackStatus=UNKNOWN", ""),
+        "broken": (False, "unexpected describe response", None), "failed": (False, "describe call failed (rc=2)", None),
+        "mute": (False, "describe call failed (rc=none)", None), "null": (False, "unexpected describe response", None),
+    }
+    both = health.stack_verdict(spark.createDataFrame(rows[:2], "cluster string, rc int, text string"), key="cluster", ok_statuses=("CREATE_COMPLETE", "UPDATE_COMPLETE"))
+    assert {r["ok"] for r in both.collect()} == {True}
+    checks = values(health.stack_checks(verdicts, key="cluster").where("cluster in ('ok', 'bare', 'failed')"), "cluster", "check", "ok")
+    assert checks == [("bare", "head_ip", False), ("bare", "stack", False), ("failed", "head_ip", None), ("failed", "stack", False), ("ok", "head_ip", True), ("ok", "stack", True)]
+
+
+def test_log_tail_is_not_cut(spark):
+    events = spark.range(2000).select(F.lit("s").alias("stream"), "id", F.col("id").alias("ts"))
+    assert logs.log_tail(events, key="stream", ts="ts", n=1000, tiebreak="id").count() == 1000
+    with pytest.raises(ValueError):
+        logs.log_tail(events, key="stream", ts="ts", n=0, tiebreak="id")
+
+
+def test_unknown_layers_do_not_count(spark):
+    df = spark.createDataFrame([("k", "elsewhere", "1"), ("k", "hard", "2"), ("only", "elsewhere", "3")], "key string, layer string, value string")
+    assert values(quality.layered_resolve(df, key="key"), "key", "layer", "value") == [("k", "hard", "2")]
+
+
 def test_peak_takes_the_first_maximum(spark):
     lines = bench_lines(spark).where("relpath = 'osu/bandwidth.txt'")
     got = one(benchmarks.peak(lines, key="run_id"))
@@ -412,14 +478,13 @@ def test_bands_match_brute_force(spark):
     assert got == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("few", [10, 200])
-def test_range_match_with_many_overlapping_ranges(spark, few):
+def test_range_match_with_many_overlapping_ranges(spark):
     points = spark.range(400).select(F.lit("k").alias("k"), (F.col("id") * 1.7 - 100).alias("value"))
     ranges = spark.range(60).select(
         F.lit("k").alias("k"), (F.col("id") * 9.3 - 120).alias("low"), F.when(F.col("id") % 7 != 0, F.col("id") * 11.1 - 90).alias("high"), F.col("id").alias("n")
     )
-    matched = kernels.range_match(points, ranges, key="k", value="value", few=few)
-    assert ("SortMergeJoin" in matched._jdf.queryExecution().executedPlan().toString()) == (few == 10)
+    matched = kernels.range_match(points, ranges, key="k", value="value")
+    assert "SortMergeJoin" in matched._jdf.queryExecution().executedPlan().toString()
     got = {(r["value"], r["n"]) for r in matched.collect()}
     spans = [(r["low"], r["high"], r["n"]) for r in ranges.collect()]
     assert got == {(v, n) for (v,) in points.select("value").collect() for lo, hi, n in spans if v >= lo and (hi is None or v < hi)}
@@ -586,8 +651,8 @@ def test_inherit_first_in_document_order(spark):
 def test_queue_changes(spark):
     have = spark.createDataFrame([("c", "q1"), ("c", "q2"), ("d", "q1")], "cluster string, queue string")
     changes = spark.createDataFrame(
-        [("c", "q3", "add"), ("c", "q1", "add"), ("c", "q2", "remove"), ("c", "q9", "remove"), ("d", "q1", "remove"), ("e", "q1", "add")],
-        "cluster string, queue string, action string",
+        [("c", 1, "q3", "add"), ("c", 2, "q1", "add"), ("c", 3, "q2", "remove"), ("c", 4, "q9", "remove"), ("d", 1, "q1", "remove"), ("e", 1, "q1", "add")],
+        "cluster string, position int, queue string, action string",
     )
     new, rejected = queues.queue_apply(have, changes)
     assert values(new, "cluster", "queue") == [("c", "q1"), ("c", "q3"), ("d", "q1"), ("e", "q1")]
@@ -596,6 +661,18 @@ def test_queue_changes(spark):
     ]
 
 
+def test_queue_changes_are_judged_in_order(spark):
+    have = spark.createDataFrame([("two", "q1"), ("two", "q2"), ("one", "q1"), ("still", "q1")], "cluster string, queue string")
+    changes = spark.createDataFrame(
+        [("two", 1, "q1", "remove"), ("two", 2, "q2", "remove"), ("one", 1, "q2", "add"), ("one", 2, "q1", "remove"), ("one", 3, "q2", "remove"),
+         ("new", 1, "q", "add"), ("new", 2, "q", "add"), ("new", 3, "r", "add"), ("new", 4, "q", "remove")],
+        "cluster string, position int, queue string, action string",
+    )
+    new, rejected = queues.queue_apply(have, changes)
+    assert values(new, "cluster", "queue") == [("new", "r"), ("one", "q2"), ("still", "q1"), ("two", "q2")]
+    assert values(rejected, "cluster", "position", "reason") == [("new", 2, "already exists"), ("one", 3, "last queue"), ("two", 2, "last queue")]
+
+
 # --- policies and sets -------------------------------------------------------------------
 
 
@@ -638,10 +715,10 @@ def test_prefixes(spark):
     )
     answers = spark.createDataFrame([("x", "403"), ("y", "404"), ("b", None)], "bucket string, code string")
     more = spark.createDataFrame([("x", "in/", True), ("y", "out/", False), ("UNDEFINED", "in/", True)], "bucket string, prefix string, required boolean")
-    judged = policy.prefix_status(more.unionByName(prefixes), listing, answers, salts=4)
+    judged = policy.prefix_status(more.unionByName(prefixes), listing, answers)
     assert values(judged.where("bucket in ('x', 'y', 'UNDEFINED')"), "bucket", "status") == [("UNDEFINED", "skipped"), ("x", "access_denied"), ("y", "bucket_not_found")]
     assert judged.where("bucket = 'b' and status = 'nonempty'").count() == 1
-    got = policy.prefix_status(prefixes, listing, salts=4)
+    got = policy.prefix_status(prefixes, listing)
     assert values(got, "bucket", "prefix", "status") == [
         ("b", "in/", "nonempty"), ("b", "in/12345", "empty"), ("b", "out/", "exempt"), ("c", "", "nonempty"), ("c", "in/", "empty"), ("d", "x", "empty"),
     ]

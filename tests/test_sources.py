@@ -88,11 +88,12 @@ def test_report_is_written_in_order_and_never_over_another(spark):
 
 def test_results_accumulate_by_build(spark):
     path = scratch_path(spark, "results")
-    first = spark.createDataFrame([("c", "s1", 1.0), ("c", "s2", 2.0)], "cluster string, serial string, v double")
+    first = spark.createDataFrame([("c", "s1", "r1", 1.0), ("c", "s2", "r1", 2.0)], "cluster string, serial string, run_id string, v double")
     sinks.append_results(first, path)
-    sinks.append_results(first.where("serial = 's2'"), path)
+    sinks.append_results(first, path)  # a repeated write adds nothing
+    sinks.append_results(first.where("serial = 's2'").withColumn("run_id", F.lit("r2")), path)
     stored = spark.read.parquet(path)
-    assert values(stored, "cluster", "serial", "v") == [("c", "s1", 1.0), ("c", "s2", 2.0), ("c", "s2", 2.0)]
+    assert values(stored, "cluster", "serial", "run_id", "v") == [("c", "s1", "r1", 1.0), ("c", "s2", "r1", 2.0), ("c", "s2", "r2", 2.0)]
     assert "PartitionFilters: [isnotnull(serial" in stored.where("serial = 's1'")._jdf.queryExecution().executedPlan().toString()
 
 

@@ -67,6 +67,13 @@ def test_history_agrees_with_the_stream(spark):
     assert values(got, "key", "request_ts", "outcome", "outcome_ts") == expected
 
 
+def test_samples_before_the_request_do_not_count(spark):
+    rows = [("k", at(60), at(30), "RUNNING", 0), ("k", at(60), at(70), "STOPPED", 0)]
+    conditions = trackers.fleet_wait("status", "RUNNING")
+    got = trackers.track_history(spark.createDataFrame(rows, SCHEMA), key="key", ts="ts", request_ts="request_ts", as_of=F.lit(at(10_000)), **conditions)
+    assert values(got, "key", "outcome") == [("k", "TIMEOUT")]
+
+
 def test_waiting_time_is_89_intervals():
     assert trackers.fixed.FLEET_WAIT_SECONDS == 89 * 30 == 44.5 * 60
 
