@@ -163,5 +163,9 @@ def redact(docs: DataFrame, models: Models, by: str = "<secret>", least_ratio: f
     finish = lambda s: F.concat(s["out"], F.substr(F.col(text_column), s["at"] + 1, F.length(text_column)))
     changed = F.size("_spans") > 0
     clean = F.when(changed, F.aggregate("_spans", start, step, finish)).otherwise(F.col(text_column))
-    out = {text_column: clean} | ({"n_chars": F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return named.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    named = named.withColumn("_clean", clean)
+    out = {text_column: F.col("_clean").alias(text_column)}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out["n_chars"] = F.when(changed, F.length("_clean").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return named.select(*[out.get(c, F.col(c)) for c in docs.columns])
