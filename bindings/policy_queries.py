@@ -46,29 +46,45 @@ def arn_scope(t: Tables):
     return policy.arn_scope(docs.unionByName(other), candidates, sid="Attach")
 
 
+# Each placeholder with its value in SQL and as a column; some customers' date stamp is not known yet.
+FILLED = {
+    "<AWS_ACCOUNT_ID>": "CAST(c_custkey AS VARCHAR)",
+    "<AWS_REGION>": "'us-east-1'",
+    "<VPC_ID>": "concat('vpc-', c_nationkey)",
+    "<PROD_LEVEL>": "'dev'",
+    "<CLUSTER_SERIAL_NUMBER>": "concat(c_name, '-1')",
+    "<CLUSTER_NAME>": "c_name",
+    "<CLUSTER_OWNER>": "c_mktsegment",
+    "<CLUSTER_SERIAL_DATESTAMP>": "CASE WHEN c_mktsegment = 'BUILDING' THEN '<CLUSTER_SERIAL_DATESTAMP>' ELSE '20260701' END",
+}
+RESOURCE = "arn:" + "/".join([*FILLED, "<CLUSTER_NAME>"])
+RENDERED = "text"
+for _name, _value in FILLED.items():
+    RENDERED = f"replace({RENDERED}, '{_name}', {_value})"
+
+
 @query(
     "policy_size",
-    """
-WITH tpl AS (SELECT n_name AS template, n_regionkey, concat('{"Statement": [ {"Sid" : "', n_name, '", "Resource": "arn:<CLUSTER_NAME>/<CLUSTER_OWNER>/<CLUSTER_NAME>"',
-  repeat(', "x": "<AWS_REGION>"', 0), ', "pad": "', repeat('y', n_nationkey * 400), '"} ]', CASE WHEN n_nationkey = 20 THEN '' ELSE '}' END) AS text FROM nation),
-a AS (SELECT c_custkey, c_name, c_mktsegment, concat('NATION_', c_nationkey) AS template FROM customer),
-r AS (SELECT c_custkey, template, replace(replace(text, '<CLUSTER_NAME>', c_name), '<CLUSTER_OWNER>', c_mktsegment) AS t FROM a JOIN tpl USING (template)),
-s AS (SELECT c_custkey, template, CASE WHEN json_valid(t) THEN octet_length(encode(CAST(json(t) AS VARCHAR))) END AS bytes FROM r)
-SELECT c_custkey, template, CAST(bytes AS BIGINT) AS bytes, coalesce(bytes <= 6144, false) AS fits FROM s
+    f"""
+WITH tpl AS (SELECT n_name AS template, concat('{{"Statement": [ {{"Sid" : "', n_name, '", "Resource": "{RESOURCE}"',
+  ', "pad": "', repeat('y', n_nationkey * 400), '"}} ]', CASE WHEN n_nationkey = 20 THEN '' ELSE '}}' END) AS text FROM nation),
+a AS (SELECT *, concat('NATION_', c_nationkey) AS template FROM customer),
+r AS (SELECT c_custkey, template, {RENDERED} AS t FROM a JOIN tpl USING (template)),
+s AS (SELECT c_custkey, template, contains(t, '<CLUSTER_SERIAL_DATESTAMP>') AS unfilled, CASE WHEN json_valid(t) THEN octet_length(encode(CAST(json(t) AS VARCHAR))) END AS bytes FROM r)
+SELECT c_custkey, template, CAST(bytes AS BIGINT) AS bytes, coalesce(bytes <= 6144, false) AS fits, unfilled FROM s
 """,
 )
 def policy_size(t: Tables):
     text = F.concat(
-        F.lit('{"Statement": [ {"Sid" : "'), F.col("n_name"), F.lit('", "Resource": "arn:<CLUSTER_NAME>/<CLUSTER_OWNER>/<CLUSTER_NAME>"'),
+        F.lit('{"Statement": [ {"Sid" : "'), F.col("n_name"), F.lit(f'", "Resource": "{RESOURCE}"'),
         F.lit(', "pad": "'), F.repeat(F.lit("y"), F.col("n_nationkey") * 400), F.lit('"} ]'),
         F.when(F.col("n_nationkey") == 20, "").otherwise("}"),
     )
     templates = t.nation.select(F.col("n_name").alias("template"), text.alias("text"))
-    attachments = t.customer.select(
-        "c_custkey", "c_name", "c_mktsegment", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("template")
-    )
-    sized = policy.policy_size(attachments, templates, {"<CLUSTER_NAME>": "c_name", "<CLUSTER_OWNER>": "c_mktsegment"})
-    return sized.drop("c_name", "c_mktsegment")
+    attachments = t.customer.withColumn("template", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")))
+    values = {name: F.expr(value.replace("VARCHAR", "STRING")) for name, value in FILLED.items()}
+    sized = policy.policy_size(attachments, templates, values)
+    return sized.select("c_custkey", "template", "bytes", "fits", "unfilled")
 
 
 SIDES = """

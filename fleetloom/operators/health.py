@@ -86,7 +86,6 @@ def annotate_nodes(lines: DataFrame, *, key: str | Sequence[str], line: str = "l
     unmarked, as do rows with fewer fields.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    split = lines.withColumn("_parts", fields(line))
     header = F.array_position(F.transform("_parts", F.upper), "STATE")
     headers = (
         lines.where(F.contains(F.upper(line), F.lit("STATE")))
@@ -95,11 +94,12 @@ def annotate_nodes(lines: DataFrame, *, key: str | Sequence[str], line: str = "l
         .where("_state_field > 0")
     )
     columns = first_per_key(headers, key=keys, order="_header_pos", value=["_header_pos", "_state_field"])
-    joined = split.join(columns, keys, "left")
-    state = field(F.col("_parts"), F.col("_state_field").cast("int"))
+    # lines are split after the join: what is shuffled, if it is, are the lines as they stand
+    joined = lines.join(columns, keys, "left")
+    state = field(fields(line), F.col("_state_field").cast("int"))
     below = F.col(pos) > F.col("_header_pos")
     marked = F.coalesce(below & ~usable_state(state), F.lit(False))
-    return joined.withColumn("marked", marked).drop("_header_pos", "_state_field", "_parts")
+    return joined.withColumn("marked", marked).drop("_header_pos", "_state_field")
 
 
 # What a finished stack reports.
@@ -222,6 +222,12 @@ def cleanup_report(steps: DataFrame, stack: DataFrame, *, key: str, label: str =
     )
 
 
+def cleanup_items(steps: DataFrame, *, key: str, label: str = "resource") -> DataFrame:
+    """What a teardown left, a row for each resource: ``kind`` is ``orphaned`` or ``retained``. For teardowns of any length."""
+    kind = F.when(F.col("failed"), "orphaned").when(F.col("retained"), "retained")
+    return steps.select(key, F.col(label), kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
+
+
 def archive_progress(actions: DataFrame, *, key: str | Sequence[str], action: str = "action", word: str = "ARCHIVE") -> DataFrame:
     """Outstanding archive actions per filesystem."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -51,16 +51,20 @@ def policy_size(
     template: str = "template",
     text: str = "text",
     limit: int = fixed.POLICY_BYTES_MAX,
+    placeholders: Sequence[str] = fixed.POLICY_PLACEHOLDERS,
 ) -> DataFrame:
     """Rendered, minified size of each attached policy and whether it fits.
 
     ``attachments`` names the template each cluster uses, so the templates come in by an
-    equi-join on their name. Text that is not JSON after rendering has no size.
+    equi-join on their name. Text that is not JSON after rendering has no size. ``unfilled`` marks
+    text in which one of ``placeholders`` is left.
     """
     joined = attachments.join(templates.select(template, F.col(text).alias("_text")), template, "left")
-    minified = F.to_json(F.try_parse_json(render_template("_text", values)))
+    joined = joined.withColumn("_text", render_template("_text", values))
+    minified = F.to_json(F.try_parse_json("_text"))
     size = F.octet_length(minified).cast("bigint")
-    return joined.withColumns({"bytes": size, "fits": F.coalesce(size <= limit, F.lit(False))}).drop("_text")
+    left = F.coalesce(F.exists(F.lit(list(placeholders)), lambda p: F.contains("_text", p)), F.lit(False))
+    return joined.withColumns({"bytes": size, "fits": F.coalesce(size <= limit, F.lit(False)), "unfilled": left}).drop("_text")
 
 
 def drift(expected: DataFrame, attached: DataFrame, known: DataFrame, *, keys: Sequence[str]) -> DataFrame:

@@ -697,6 +697,14 @@ def test_policy_size_counts_minified_bytes(spark):
     use = spark.createDataFrame([(1, "t", "é"), (2, "t", "x" * 6137), (3, "t", "x" * 6136), (4, "bad", "x"), (5, "gone", "x")], "id int, template string, name string")
     got = policy.policy_size(use, templates, {"<NAME>": "name"})
     assert values(got, "id", "bytes", "fits") == [(1, 10, True), (2, 6145, False), (3, 6144, True), (4, None, False), (5, None, False)]
+    left = spark.createDataFrame([("t", '{"a": "<NAME>", "b": "<VPC_ID>"}')], "template string, text string")
+    assert values(policy.policy_size(use, left, {"<NAME>": "name"}), "id", "unfilled") == [(1, True), (2, True), (3, True), (4, False), (5, False)]
+
+
+def test_cleanup_items_are_rows(spark):
+    rows = [("c", "r1", True, True), ("c", "r1", True, True), ("c", "r2", False, True), ("c", "r3", False, False)]
+    steps = spark.createDataFrame(rows, "cluster string, resource string, failed boolean, retained boolean")
+    assert values(health.cleanup_items(steps, key="cluster"), "resource", "kind") == [("r1", "orphaned"), ("r2", "retained")]
 
 
 def test_drift_and_coverage(spark):
