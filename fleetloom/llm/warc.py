@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from fleetloom.session import let_workers_import
+from fleetloom.session import durable_copy, let_workers_import
 
 VERSION = b"WARC/1.1"
 SCHEMA = (
@@ -308,6 +308,7 @@ def as_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     # digests alone, summed up before the shuffle; only those that repeat come back
     again = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
     again = again.agg(F.min("page_id").alias("first"), F.count("page_id").alias("n")).filter("n > 1").select("payload_digest", "first")
+    again = durable_copy(again, "digests")  # its size is known before the join: payloads are shuffled only if it is large
     joined = rows.join(again, "payload_digest", "left")
     revisit = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
