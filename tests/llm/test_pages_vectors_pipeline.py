@@ -7,6 +7,7 @@ import os
 import subprocess
 import sys
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,20 @@ def test_archive_query(spark, data):
     assert {r[0]: tuple(r)[1:] for r in QUERIES["op10_warc_archives"](spark, data).collect()} == expected
 
 
+@pytest.mark.parametrize("name", ["op3_repeated_passages", "op10_warc_archives"])
+def test_query_equals_its_sql(spark, data, name):
+    from fleetloom.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    cursor = con.execute(SQL[name])
+    columns = [d[0] for d in cursor.description]
+    got = QUERIES[name](spark, data)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(cursor.fetchall())
+
+
 # --- pipeline and entry point --------------------------------------------------------------
 
 
