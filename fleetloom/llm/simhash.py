@@ -183,7 +183,7 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int = 82, sizes_within: float | None = 0.8,
+    docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int = 88, sizes_within: float | None = 0.8,
     id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """``doc_id, fp`` (binary), ``component_id, root`` for every row of ``docs``.
@@ -191,7 +191,8 @@ def near_duplicate_classes(
     ``component_id`` is the least id of all rows whose fingerprints are linked, directly or over
     others; ``root`` is a fingerprint that stands for the class. The defaults take five words and
     a similarity of 0.8: two texts whose shingles overlap by 0.8 are expected to differ in 15 %
-    of the bits (77 of 512, standard deviation 8). Null text is an empty one; empty texts have
+    of the bits (77 of 512, standard deviation 8); the radius leaves room for nine in ten of these.
+    Null text is an empty one; empty texts have
     fingerprint zero and are linked to each other. Repeated rows share a class. A row with a null
     id takes part; a class of such rows only has a null id.
     """
