@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,20 +56,28 @@ def normalize_records(raw: DataFrame, *, name: str = "cluster_name", directory:
     return raw.select(*columns)
 
 
+# Above any value of monotonically_increasing_id, and in range of a decimal of 19 digits.
+SEQ_RANGE = Decimal(2**63)
+
+
 def scan_tool_text(spark: SparkSession, path: str, *, root: str = "") -> DataFrame:
     """Lines below ``path`` with the run keys of their file and a position within it.
 
     Files are split like any other input, so a huge one does not become one row. ``block``
-    is the start of the split and ``seq`` grows within it: together they order the lines of
-    a file. Use ``number_lines`` where a dense line number is wanted.
+    is the start of the split and ``seq`` grows within it; ``place`` is both in one number, which
+    orders the lines of a file and serves wherever an operator asks for a position. Use
+    ``number_lines`` only where a dense line number is wanted.
     """
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    return lines.select(
+    lines = lines.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
-    ).withColumn("_keys", parse_results_path("file", root)).select("*", "_keys.*").drop("_keys")
+    )
+    place = F.col("block").cast("decimal(19,0)") * F.lit(SEQ_RANGE) + F.col("seq")
+    lines = lines.withColumn("place", place.cast("decimal(38,0)"))
+    return lines.withColumn("_keys", parse_results_path("file", root)).select("*", "_keys.*").drop("_keys")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file", "block", "_first", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
     joined = stored.join(offsets, ["file", "block"])
-    return joined.withColumn("line_no", F.col("seq") - F.col("_first") + F.col("_offset") + 1).drop("_first", "_offset", "block", "seq")
+    return joined.withColumn("line_no", F.col("seq") - F.col("_first") + F.col("_offset") + 1).drop("_first", "_offset", "block", "seq", "place")
 
 
 def parse_snapshot(df: DataFrame, json_col: str, schema: str, *, into: str = "doc") -> DataFrame:

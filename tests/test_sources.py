@@ -5,6 +5,7 @@ import pytest
 from conftest import one, values
 from pyspark.sql import functions as F
 
+from fleetloom.operators import benchmarks, logs
 from fleetloom.session import scratch_path, shared_dir
 from fleetloom.sources import readers, sinks
 
@@ -47,6 +48,23 @@ def test_tool_text_lines_are_numbered_across_splits(spark, tmp_path):
     assert values(numbered, "cluster", "serial", "run_id", "relpath", "line_no", "line") == sorted(expected, key=repr)
 
 
+def test_operators_take_the_place_of_scanned_lines(spark, tmp_path):
+    folder = tmp_path / "results" / "c1" / "s1" / "20260720_1_1"
+    os.makedirs(folder / "osu")
+    (folder / "stream.txt").write_text("".join(f"noise {n}\n" for n in range(3000)) + "Copy: 5.0 x\nCopy: 7.0 x\nTriad: 8.0 x\n")
+    (folder / "osu" / "bandwidth.txt").write_text("".join(f"{n} {n % 700}.5\n" for n in range(1, 3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        scanned = readers.scan_tool_text(spark, str(tmp_path / "results"), root="results")
+        got = one(benchmarks.benchmark_summary(scanned, pos="place"))
+        last = one(logs.last_matching_line(scanned.where("relpath = 'stream.txt'"), F.col("line").startswith("Copy"), key="run_id", pos="place"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (got["stream_copy_mbs"], got["stream_triad_mbs"], got["bandwidth_mbs"], got["bandwidth_size"]) == (5.0, 8.0, 699.5, "699")
+    assert last["last_line"] == "Copy: 7.0 x"
+
+
 def test_broken_document_gives_nulls(spark):
     df = spark.createDataFrame([('{"a": {"b": 1}}',), ("{oops",), ('{"a": 5}',), (None,)], "j string")
     got = readers.parse_snapshot(df, "j", "struct<a:struct<b:int>>")
