@@ -41,17 +41,20 @@ def _words(text: Column) -> Column:
 
 def literal_words(text: str | Column) -> Column:
     """The words of ``text`` as they stand in their slots; one for each of ``template_words``."""
-    return _words(F.translate(F.col(text) if isinstance(text, str) else text, _NUMBER + _NAME + _UNIT, "xxx"))
+    return _words(F.col(text) if isinstance(text, str) else text)
 
 
 def template_words(text: str | Column) -> Column:
-    """The words of ``text`` with typed placeholders for numbers, units and names."""
-    text = F.translate(F.col(text) if isinstance(text, str) else text, _NUMBER + _NAME + _UNIT, "xxx")
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:] )\p{Lu}[\p{L}'-]*", _NAME)
-    numbered = F.when(F.rlike(named, F.lit(r"\d")), F.regexp_replace(named, r"[^\s\d]*+\d\S*", _NUMBER)).otherwise(named)
+    """The words of ``text`` with typed placeholders for numbers, units and names.
+
+    Each step is a single pass that starts at a character few words have, and no step reads the
+    one before it twice. A placeholder's own code point in a text counts as that placeholder.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})[\p{L}'-]*", _NAME)
+    numbered = F.regexp_replace(named, r"(?<!\S)[^\s\d]*+\d\S*", _NUMBER)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    has_number = F.contains(numbered, F.lit(_NUMBER))
-    return _words(F.when(has_number, F.regexp_replace(numbered, rf"(?<={_NUMBER}\s)(?i:{units})(?![\p{{L}}\p{{N}}])", _UNIT)).otherwise(numbered))
+    return _words(F.regexp_replace(numbered, rf"{_NUMBER}(\s)(?i:{units})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$1{_UNIT}"))
 
 
 def _windows(words: str, step: int) -> Column:
