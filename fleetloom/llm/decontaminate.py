@@ -4,9 +4,9 @@ Texts are canonicalised to templates: any word with a digit becomes a number, a
 behind a number a unit, a capitalised word within a sentence a name; other words lose case and
 punctuation. Windows of template words are hash-joined. Documents state a window at every
 ``STRIDE``-th word and benchmark items at every word, so a common run of ``WINDOW + STRIDE - 1``
-words is always met. What meets is then laid side by side: the share of the item that agrees
-in runs of a window or more, and whether the values in its placeholders map one to one, which
-tells a question with new parameters from chance.
+words is always met, and only such runs count (windows of mostly placeholders state nothing).
+What meets is laid side by side: the share of the item that agrees in such runs, and whether the
+values in its placeholders map one to one, which tells a question with new parameters from chance.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def template_words(text: str | Column) -> Column:
     one before it twice. A placeholder's own code point in a text counts as that placeholder.
     """
     text = F.col(text) if isinstance(text, str) else text
-    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})[\p{L}'-]*", _NAME)
+    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;:]\s\p{Lu})[\p{L}'-]*", _NAME)
     numbered = F.regexp_replace(named, r"(?<!\S)[^\s\d]*+\d\S*", _NUMBER)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     return _words(F.regexp_replace(numbered, rf"{_NUMBER}(\s)(?i:{units})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$1{_UNIT}"))
@@ -77,8 +77,9 @@ def leaks(
 ) -> DataFrame:
     """A row for each document and benchmark item that it holds: ``doc_id, item_id, share, at, slots, changed``.
 
-    ``share`` is the part of the item's template words that lie in agreeing runs of ``WINDOW`` words
-    or more, at the place ``at`` of the document where that is largest (of equal ones the first).
+    ``share`` is the part of the item's template words that lie in agreeing runs of
+    ``WINDOW + STRIDE - 1`` words or more (fewer, if the shortest item has fewer), at the place ``at``
+    of the document where that is largest (of equal ones the first).
     ``slots`` counts the item's placeholders in these runs, ``changed`` those whose value differs. A
     pair counts only if every value maps to one value and no two to the same. Items of fewer than
     ``WINDOW`` words, null and empty texts hold and meet nothing; rows with a null id are left out.
@@ -90,6 +91,7 @@ def leaks(
     windows = item_windows(items.select(F.col("key").alias("item_id"), "words")).withColumnRenamed("item_id", "key")
     few, shortest = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS, items.agg(F.min(F.size("words"))).first()[0] or WINDOW
     stride = max(1, min(STRIDE, shortest - WINDOW + 1))  # so that the shortest item is met, too
+    run = WINDOW + stride - 1
 
     rows = id_and_text(docs, id_column, text_column).filter("doc_id is not null")
     probes = rows.select("doc_id", template_words("text").alias("words")).select("doc_id", F.inline(_windows("words", stride)))
@@ -107,9 +109,9 @@ def leaks(
     laid = laid.withColumns({"first": first, "last": last}).filter("first <= last")
     agree = lambda i: F.when(F.get("words", i) == F.get("dwords", i + F.col("shift")), "1").otherwise("0")
     laid = laid.withColumn("agree", F.array_join(F.transform(F.sequence("first", "last"), agree), ""))
-    full = lambda i: F.substr("agree", i - F.col("first") + 1, F.lit(WINDOW)) == "1" * WINDOW
-    starts = F.when(F.contains("agree", F.lit("1" * WINDOW)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
-    held = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + WINDOW - 1))))
+    full = lambda i: F.substr("agree", i - F.col("first") + 1, F.lit(run)) == "1" * run
+    starts = F.when(F.contains("agree", F.lit("1" * run)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
+    held = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + run - 1))))
     is_slot = lambda i: F.get("words", i).isin(_NUMBER, _NAME, _UNIT)
     pair = lambda i: F.struct(F.get("words", i).alias("k"), F.get("values", i).alias("a"), F.get("dvalues", i + F.col("shift")).alias("b"))
     laid = laid.withColumn("held", held).withColumn("pairs", F.transform(F.filter("held", is_slot), pair))
