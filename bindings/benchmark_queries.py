@@ -147,14 +147,15 @@ def run_facts(t: Tables):
 WITH latest AS (SELECT cluster, serial, max(run_id) AS run_id FROM (SELECT DISTINCT l_orderkey AS cluster, l_returnflag AS serial,
   CASE WHEN l_linestatus = 'F' THEN '1F' ELSE '2O' END AS run_id FROM lineitem) GROUP BY 1, 2),
 s AS ({summary_sql().replace("SELECT cluster", "SELECT cluster", 1)})
-SELECT cluster, serial, latest.run_id, stream_copy_mbs, bandwidth_mbs, CAST(cmd[1] AS BIGINT) AS nodes, CAST(cmd[1] * cmd[2] AS BIGINT) AS total_ranks
+SELECT s.* EXCLUDE (run_id, cmd), latest.run_id, CAST(cmd[1] AS BIGINT) AS nodes, CAST(cmd[2] AS BIGINT) AS ppn, CAST(cmd[2] * 60 AS BIGINT) AS hpcg_seconds,
+  CAST(cmd[1] * cmd[2] AS BIGINT) AS total_ranks, cmd[2] * 60 >= 1800 AS hpcg_valid, cmd[1] * cmd[2] >= 2 AS osu_possible, CASE WHEN cmd IS NOT NULL THEN 'stream,osu' END AS tests
 FROM s JOIN latest USING (cluster, serial) WHERE substr(latest.run_id, 2) = s.run_id
 """,
 )
 def benchmark_report(t: Tables):
     numbered = F.when(F.col("run_id") == "F", "1F").otherwise("2O")
     report = reports.benchmark_report(tool_lines(t).withColumn("run_id", numbered))
-    return report.select("cluster", "serial", "run_id", "stream_copy_mbs", "bandwidth_mbs", "nodes", "total_ranks")
+    return report.drop("command")
 
 
 @query(
