@@ -246,6 +246,8 @@ def test_pipeline(spark, data):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, data)
     assert packed.select("doc_id").distinct().count() == before.count()
+    whole = corpus_pipeline.run(spark, data)
+    assert sorted(whole.select("doc_id", "piece", "ids_crc32").collect()) == sorted(packed.select("doc_id", "piece", "ids_crc32").collect())
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
 
 
