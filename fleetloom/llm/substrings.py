@@ -213,17 +213,22 @@ def _windows(texts: DataFrame, hits: DataFrame, length: int, period: int, cover:
     return map_arrow(joined, each, "h long, h2 long, k1 long, n int")
 
 
-def _kept(texts: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, n_words, n_removed, kept`` (the words that no repeated window covers, joined by one space)."""
+def _kept(texts: DataFrame, hits: DataFrame, copied: DataFrame, length: int) -> DataFrame:
+    """``k1, k2, n_words, n_removed, kept`` (the words that no repeated window covers, joined by one space).
+
+    All windows of a copied text start elsewhere, too.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for text, hs in zip(batch.column(2), batch.column(3)):
+            for text, hs, copy in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
                 raw, starts, ends = of.words(text.as_py())
                 left = np.ones(len(starts), dtype=bool)
-                if hs.is_valid and len(starts) >= length:
+                if copy and len(starts) >= length:
+                    left[:] = False
+                elif hs.is_valid and len(starts) >= length:
                     full = rolled(of.hashes(raw, starts, ends), length).view(np.int64)
                     edge = np.zeros(len(starts) + 1, dtype=np.int64)
                     here = np.flatnonzero(np.isin(full, hs.values.to_numpy(zero_copy_only=False)))
@@ -239,8 +244,9 @@ def _kept(texts: DataFrame, hits: DataFrame, length: int) -> DataFrame:
                 names=["k1", "k2", "n_words", "n_removed", "kept"],
             )
 
-    joined = texts.join(hits.hint("shuffle_hash"), "k1", "left").select("k1", "k2", "text", "hs")
-    return map_arrow(joined, each, "k1 long, k2 long, n_words long, n_removed long, kept string")
+    joined = texts.join(hits.hint("shuffle_hash"), "k1", "left").join(copied.hint("shuffle_hash"), "k1", "left")
+    is_copy = F.coalesce(F.array_contains("copies", F.col("k2")), F.lit(False))
+    return map_arrow(joined.select("k1", "k2", "text", "hs", is_copy), each, "k1 long, k2 long, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(
@@ -263,13 +269,10 @@ def remove_repeats(
     texts = distinct_texts(keyed, n)
     hits = _hits(_stated(texts, length, period, cover), ["h"])
     repeated = _hits(_windows(texts, hits, length, period, cover), ["h", "h2"])
-    made = of_kept or (lambda c: c)
-    per_text = _kept(texts, repeated, length).withColumn("kept", made(F.col("kept")))
     keys = keyed.select("doc_id", "k1", "k2")
-    copied = keys.groupBy("k1", "k2").agg((F.count(F.lit(1)) > 1).alias("_copied"))
-    whole = F.col("_copied") & (F.col("n_words") >= length)  # all windows of a copied text start elsewhere, too
-    per_text = per_text.join(copied, ["k1", "k2"]).select(
-        "k1", "k2", "n_words", F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(whole, made(F.lit(""))).otherwise(F.col("kept")).alias("kept"),
-    )
+    copied = keys.groupBy("k1", "k2").count().filter("count > 1").groupBy("k1").agg(F.collect_list("k2").alias("copies"))
+    per_text = _kept(texts, repeated, copied, length)
+    if of_kept:
+        per_text = per_text.withColumn("kept", of_kept(F.col("kept")))
+    # a join of its own, which adaptive execution can split where very many rows have one text
     return keys.join(per_text, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept")
