@@ -121,7 +121,9 @@ def links(distinct: DataFrame, radius: int, bits: int = 64, sizes_within: float
 
     tiled = distinct.select("fp", code([p.cast("long") for p in parts]).alias("tile"))
     counts = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    blocked = tiled.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # tiles are few: 17 ** 4 counts of four quarters of 16 bits, or the size classes; rows then go to their block, not to their tile
+    few = sizes_within is not None or bits <= 64
+    blocked = tiled.join(F.broadcast(counts) if few else counts, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     blocks = durable_copy(
         blocked.groupBy("tile", "block", "blocks").agg(F.array_join(F.collect_list(F.hex("fp")), "").alias("fps")), "tiles"
     ).withColumn("fps", F.unhex("fps"))
