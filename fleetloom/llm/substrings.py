@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.common import map_arrow
+from fleetloom.llm.common import kept_on_disk, map_arrow, release_shuffles
 from fleetloom.session import scratch_path
 
 LENGTH = 35
@@ -156,6 +156,8 @@ def distinct_texts(keyed: DataFrame, n: int) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     path = scratch_path(keyed.sparkSession, "texts")
     dealt.write.bucketBy(n, "k1").option("compression", "zstd").option("path", path).saveAsTable(name)
+    del dealt
+    release_shuffles(keyed.sparkSession)
     return keyed.sparkSession.table(name)
 
 
@@ -267,8 +269,8 @@ def remove_repeats(
     text = F.coalesce(docs[text_column], F.lit(""))
     keyed = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(length), text).alias("k2"), text.alias("text"))
     texts = distinct_texts(keyed, n)
-    hits = _hits(_stated(texts, length, period, cover), ["h"])
-    repeated = _hits(_windows(texts, hits, length, period, cover), ["h", "h2"])
+    hits = kept_on_disk(_hits(_stated(texts, length, period, cover), ["h"]), "anchors")
+    repeated = kept_on_disk(_hits(_windows(texts, hits, length, period, cover), ["h", "h2"]), "windows")
     keys = keyed.select("doc_id", "k1", "k2")
     copied = keys.groupBy("k1", "k2").count().filter("count > 1").groupBy("k1").agg(F.collect_list("k2").alias("copies"))
     per_text = _kept(texts, repeated, copied, length)
