@@ -204,7 +204,8 @@ def near_duplicate_classes(
     roots = connected_components(edges)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
     rooted = durable_copy(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written before it is joined: a join of two plain sides can be split where a class holds very many fingerprints
+    least = durable_copy(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
     of_fp = rooted.join(least, "root").select("fp", "component_id", "root")
     return each.join(of_fp, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
