@@ -225,6 +225,42 @@ def test_texts_at_the_similarity_are_caught_and_others_left(spark):
     assert kept == {2 * n for n in range(30)} | {2 * n + 1 for n, s in enumerate(similar) if not s}
 
 
+def sets_of(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def similarity(a, b):
+    return len(sets_of(a) & sets_of(b)) / len(sets_of(a) | sets_of(b))
+
+
+def test_a_repeated_line_does_not_link_texts(spark):
+    draw = np.random.default_rng(8)
+    line = " ".join(f"line{k}" for k in range(10))
+    texts = [" ".join([line] * 30 + [f"w{k}" for k in draw.integers(0, 10**6, 300)]) for _ in range(4)]
+    assert max(similarity(a, b) for a in texts for b in texts if a != b) < 0.1
+    assert simhash.drop_near_duplicates(rows(spark, *enumerate(texts))).count() == 4
+
+
+@pytest.mark.parametrize("nearest", [1, 16])
+def test_links_are_checked_against_the_texts(spark, monkeypatch, nearest):
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
+    draw = np.random.default_rng(9)
+    texts = []
+    for family in range(6):
+        base = [f"w{k}" for k in draw.integers(0, 10**6, 300)]
+        for n in range(8):
+            words = list(base)
+            for at in draw.choice(300, 2 + family, replace=False):
+                words[at] = f"c{family}-{n}-{at}"
+            texts.append(" ".join(words))
+    pairs = [(a, b, similarity(texts[a], texts[b])) for a in range(len(texts)) for b in range(a)]
+    assert sum(0.7 < s < 0.8 for _, _, s in pairs) > 20
+    expected = classes_of([(a, b) for a, b, s in pairs if s >= 0.8], range(len(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(rows(spark, *enumerate(texts))).collect()}
+    assert got == expected and len(set(expected.values())) > 8
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 ITEM = "If Alice has 12 apples and gives Bob 5 of them to keep, how many apples does Alice have left after 3 days?"
