@@ -2,9 +2,9 @@
 
 Texts are canonicalised to templates: any word with a digit becomes a number, a unit right
 behind a number a unit, a capitalised word within a sentence a name; other words lose case and
-punctuation. Windows of template words are hash-joined. Documents state a window at every
-``STRIDE``-th word and benchmark items at every word, so a common run of ``WINDOW + STRIDE - 1``
-words is always met, and only such runs count (windows of mostly placeholders state nothing).
+punctuation. Windows of ``WINDOW`` template words are hash-joined; documents and benchmark items
+both state one at every word, so every common run of ``WINDOW`` words is met and counts (windows
+of mostly placeholders state nothing).
 What meets is laid side by side: the share of the item that agrees in such runs, and whether the
 values in its placeholders map one to one, which tells a question with new parameters from chance.
 """
@@ -18,7 +18,6 @@ from fleetloom.llm.common import id_and_text
 from fleetloom.session import durable_copy
 
 WINDOW = 8
-STRIDE = 4
 LEAST_SHARE = 0.5
 LEAST_LITERAL = 4  # words of a window that must not be placeholders
 BROADCAST_WINDOWS = 2_000_000  # windows of the benchmark that may be broadcast; more are joined by a shuffle
@@ -57,17 +56,17 @@ def template_words(text: str | Column) -> Column:
     return _words(F.regexp_replace(numbered, rf"{_NUMBER}(\s)(?i:{units})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$1{_UNIT}"))
 
 
-def _windows(words: str, step: int) -> Column:
-    """``(at, h)`` for the window at every ``step``-th word."""
+def _windows(words: str) -> Column:
+    """``(at, h)`` for the window at every word."""
     hashed = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("h"))
-    starts = F.sequence(F.lit(0), F.size(words) - WINDOW, F.lit(step))
+    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
     return F.when(F.size(words) >= WINDOW, F.transform(starts, hashed)).otherwise(F.array().cast("array<struct<at: int, h: bigint>>"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """``h, item_id, item_at`` for every window of ``items`` (``item_id, words``) with enough literal words."""
     literal = lambda at: F.size(F.filter(F.slice("words", at + 1, WINDOW), lambda w: ~w.isin(_NUMBER, _NAME, _UNIT)))
-    rows = items.select("item_id", "words", F.inline(_windows("words", 1)))
+    rows = items.select("item_id", "words", F.inline(_windows("words")))
     return rows.filter(literal(F.col("at")) >= LEAST_LITERAL).select("h", "item_id", F.col("at").alias("item_at")).distinct()
 
 
@@ -78,8 +77,7 @@ def leaks(
     """A row for each document and benchmark item that it holds: ``doc_id, item_id, share, at, slots, changed``.
 
     ``share`` is the part of the item's template words that lie in agreeing runs of
-    ``WINDOW + STRIDE - 1`` words or more (fewer, if the shortest item has fewer), at the place ``at``
-    of the document where that is largest (of equal ones the first).
+    ``WINDOW`` words or more, at the place ``at`` of the document where that is largest (of equal ones the first).
     ``slots`` counts the item's placeholders in these runs, ``changed`` those whose value differs. A
     pair counts only if every value maps to one value and no two to the same. Items of fewer than
     ``WINDOW`` words, null and empty texts hold and meet nothing; rows with a null id are left out.
@@ -89,12 +87,10 @@ def leaks(
     items = items.select("item_id", template_words("text").alias("words"), literal_words("text").alias("values")).filter(F.size("words") >= WINDOW)
     items = durable_copy(items.withColumn("key", F.xxhash64("item_id", "words", "values")), "items")
     windows = item_windows(items.select(F.col("key").alias("item_id"), "words")).withColumnRenamed("item_id", "key")
-    few, shortest = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS, items.agg(F.min(F.size("words"))).first()[0] or WINDOW
-    stride = max(1, min(STRIDE, shortest - WINDOW + 1))  # so that the shortest item is met, too
-    run = WINDOW + stride - 1
+    few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     rows = id_and_text(docs, id_column, text_column).filter("doc_id is not null")
-    probes = rows.select("doc_id", template_words("text").alias("words")).select("doc_id", F.inline(_windows("words", stride)))
+    probes = rows.select("doc_id", template_words("text").alias("words")).select("doc_id", F.inline(_windows("words")))
     met = probes.join(F.broadcast(windows) if few else windows, "h")
     shifts = durable_copy(met.select("doc_id", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
 
@@ -109,9 +105,9 @@ def leaks(
     laid = laid.withColumns({"first": first, "last": last}).filter("first <= last")
     agree = lambda i: F.when(F.get("words", i) == F.get("dwords", i + F.col("shift")), "1").otherwise("0")
     laid = laid.withColumn("agree", F.array_join(F.transform(F.sequence("first", "last"), agree), ""))
-    full = lambda i: F.substr("agree", i - F.col("first") + 1, F.lit(run)) == "1" * run
-    starts = F.when(F.contains("agree", F.lit("1" * run)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
-    held = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + run - 1))))
+    full = lambda i: F.substr("agree", i - F.col("first") + 1, F.lit(WINDOW)) == "1" * WINDOW
+    starts = F.when(F.contains("agree", F.lit("1" * WINDOW)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
+    held = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + WINDOW - 1))))
     is_slot = lambda i: F.get("words", i).isin(_NUMBER, _NAME, _UNIT)
     pair = lambda i: F.struct(F.get("words", i).alias("k"), F.get("values", i).alias("a"), F.get("dvalues", i + F.col("shift")).alias("b"))
     laid = laid.withColumn("held", held).withColumn("pairs", F.transform(F.filter("held", is_slot), pair))

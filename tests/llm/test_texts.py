@@ -288,6 +288,16 @@ def test_new_parameters_are_caught_and_mixed_ones_are_not(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_lightly_edited_items_are_found_whatever_the_shortest_item_is(spark):
+    words = "the old mill by the river grinds corn for all farmers of that valley before winter comes again".split()
+    edited = [*words[:8], "changed", *words[9:]]  # runs of 8 and 9 words agree
+    docs = rows(spark, *[(n, " ".join(["filler"] * n + edited + ["filler"] * 9)) for n in range(4)])
+    for others in ([], [(2, "seven birds sing songs under one green tree")]):
+        benchmark = spark.createDataFrame([(1, " ".join(words)), *others], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.leaks(docs, benchmark).collect()}
+        assert got == {(n, 1): 17 / 18 for n in range(4)}
+
+
 def test_leaks_query_finds_every_passage(spark, data):
     from fleetloom.llm.queries import QUERIES
 
