@@ -4,7 +4,9 @@ Texts are canonicalised to templates: any word with a digit becomes a number, a
 behind a number a unit, a capitalised word within a sentence a name; other words lose case and
 punctuation. Windows of ``WINDOW`` template words are hash-joined; documents and benchmark items
 both state one at every word, so every common run of ``WINDOW`` words is met and counts (windows
-of mostly placeholders state nothing).
+of mostly placeholders state nothing). With ``any_case``, windows of the lower-cased literal
+words are joined as well, so that a copy in capitals, title case or lower case is met, and a
+place agrees if either its template word or its literal word does.
 What meets is laid side by side: the share of the item that agrees in such runs, and whether the
 values in its placeholders map one to one, which tells a question with new parameters from chance.
 """
@@ -72,14 +74,15 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, id_column: str = "doc_id", text_column: str = "text",
-    item_column: str = "item_id", item_text: str = "text",
+    item_column: str = "item_id", item_text: str = "text", any_case: bool = False,
 ) -> DataFrame:
     """A row for each document and benchmark item that it holds: ``doc_id, item_id, share, at, slots, changed``.
 
     ``share`` is the part of the item's template words that lie in agreeing runs of
     ``WINDOW`` words or more, at the place ``at`` of the document where that is largest (of equal ones the first).
     ``slots`` counts the item's placeholders in these runs, ``changed`` those whose value differs. A
-    pair counts only if every value maps to one value and no two to the same. Items of fewer than
+    pair counts only if every value maps to one value and no two to the same. ``any_case`` also finds
+    copies whose words stand in other case, which changes what counts as a name. Items of fewer than
     ``WINDOW`` words, null and empty texts hold and meet nothing; rows with a null id are left out.
     Repeated rows give one row; of items with one id and several texts each text is looked for.
     """
@@ -87,10 +90,14 @@ def leaks(
     items = items.select("item_id", template_words("text").alias("words"), literal_words("text").alias("values")).filter(F.size("words") >= WINDOW)
     items = durable_copy(items.withColumn("key", F.xxhash64("item_id", "words", "values")), "items")
     windows = item_windows(items.select(F.col("key").alias("item_id"), "words")).withColumnRenamed("item_id", "key")
+    if any_case:
+        literal = items.select("key", F.inline(_windows("values"))).select("h", "key", F.col("at").alias("item_at"))
+        windows = windows.unionByName(literal).distinct()
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     rows = id_and_text(docs, id_column, text_column).filter("doc_id is not null")
-    probes = rows.select("doc_id", template_words("text").alias("words")).select("doc_id", F.inline(_windows("words")))
+    stated = [template_words("text"), literal_words("text")] if any_case else [template_words("text")]
+    probes = rows.select("doc_id", F.explode(F.array(*stated)).alias("words")).select("doc_id", F.inline(_windows("words")))
     met = probes.join(F.broadcast(windows) if few else windows, "h")
     shifts = durable_copy(met.select("doc_id", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
 
@@ -103,7 +110,9 @@ def leaks(
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(F.size("words"), F.size("dwords") - F.col("shift")) - 1
     laid = laid.withColumns({"first": first, "last": last}).filter("first <= last")
-    agree = lambda i: F.when(F.get("words", i) == F.get("dwords", i + F.col("shift")), "1").otherwise("0")
+    equal = lambda a, b, i: F.get(a, i) == F.get(b, i + F.col("shift"))
+    agrees = lambda i: equal("words", "dwords", i) | equal("values", "dvalues", i) if any_case else equal("words", "dwords", i)
+    agree = lambda i: F.when(agrees(i), "1").otherwise("0")
     laid = laid.withColumn("agree", F.array_join(F.transform(F.sequence("first", "last"), agree), ""))
     full = lambda i: F.substr("agree", i - F.col("first") + 1, F.lit(WINDOW)) == "1" * WINDOW
     starts = F.when(F.contains("agree", F.lit("1" * WINDOW)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
@@ -123,7 +132,9 @@ def leaks(
     return best.select("doc_id", "item_id", "x.share", (-F.col("x.at")).alias("at"), "x.slots", "x.changed")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, id_column: str = "doc_id", text_column: str = "text", any_case: bool = False,
+) -> DataFrame:
     """Rows of ``docs`` that hold no item of ``benchmark``; columns unchanged. Rows with a null id stay."""
-    found = leaks(docs, benchmark, least_share, id_column, text_column).select(F.col("doc_id").alias("_id")).distinct()
+    found = leaks(docs, benchmark, least_share, id_column, text_column, any_case=any_case).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(found, docs[id_column].cast("long") == F.col("_id"), "left_anti")

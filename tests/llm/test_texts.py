@@ -298,6 +298,15 @@ def test_lightly_edited_items_are_found_whatever_the_shortest_item_is(spark):
         assert got == {(n, 1): 17 / 18 for n in range(4)}
 
 
+def test_copies_in_other_case_are_found(spark):
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    forms = [ITEM, ITEM.lower(), ITEM.upper(), ITEM.title(), NEW.upper(), "x " * 20_000 + ITEM.lower()]
+    docs = rows(spark, *[(n, f"so it goes {t} and on") for n, t in enumerate(forms)], (20, "NOTHING OF IT " * 30))
+    got = {r["doc_id"]: (r["share"], r["changed"]) for r in decontaminate.leaks(docs, benchmark, any_case=True).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5} and all(got[n] == (1.0, 0) for n in (0, 1, 2, 3, 5)) and got[4][1] == 6
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark, any_case=True).collect()] == [20]
+
+
 def test_leaks_query_finds_every_passage(spark, data):
     from fleetloom.llm.queries import QUERIES
 
