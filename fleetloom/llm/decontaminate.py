@@ -6,7 +6,8 @@ punctuation. Windows of ``WINDOW`` template words are hash-joined; documents and
 both state one at every word, so every common run of ``WINDOW`` words is met and counts (windows
 of mostly placeholders state nothing). With ``any_case``, windows of the lower-cased literal
 words are joined as well, so that a copy in capitals, title case or lower case is met, and a
-place agrees if either its template word or its literal word does.
+place agrees if either its template word or its literal word does. An item of fewer than
+``WINDOW`` words is looked for as one window of all its literal words.
 What meets is laid side by side: the share of the item that agrees in such runs, and whether the
 values in its placeholders map one to one, which tells a question with new parameters from chance.
 """
@@ -58,11 +59,12 @@ def template_words(text: str | Column) -> Column:
     return _words(F.regexp_replace(numbered, rf"{_NUMBER}(\s)(?i:{units})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$1{_UNIT}"))
 
 
-def _windows(words: str) -> Column:
-    """``(at, h)`` for the window at every word."""
-    hashed = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("h"))
-    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    return F.when(F.size(words) >= WINDOW, F.transform(starts, hashed)).otherwise(F.array().cast("array<struct<at: int, h: bigint>>"))
+def _windows(words: str, length: int | Column = WINDOW) -> Column:
+    """``(at, h)`` for the window of ``length`` words at every word."""
+    length = F.lit(length)
+    hashed = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + F.lit(1), length)).alias("h"))
+    starts = F.sequence(F.lit(0), F.size(words) - length)
+    return F.when(F.size(words) >= length, F.transform(starts, hashed)).otherwise(F.array().cast("array<struct<at: int, h: bigint>>"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, id_column: str = "doc_id", text_column: str = "text",
-    item_column: str = "item_id", item_text: str = "text", any_case: bool = False,
+    item_column: str = "item_id", item_text: str = "text", any_case: bool = False, null_ids: bool = False,
 ) -> DataFrame:
     """A row for each document and benchmark item that it holds: ``doc_id, item_id, share, at, slots, changed``.
 
@@ -82,59 +84,86 @@ def leaks(
     ``WINDOW`` words or more, at the place ``at`` of the document where that is largest (of equal ones the first).
     ``slots`` counts the item's placeholders in these runs, ``changed`` those whose value differs. A
     pair counts only if every value maps to one value and no two to the same. ``any_case`` also finds
-    copies whose words stand in other case, which changes what counts as a name. Items of fewer than
-    ``WINDOW`` words, null and empty texts hold and meet nothing; rows with a null id are left out.
-    Repeated rows give one row; of items with one id and several texts each text is looked for.
+    copies whose words stand in other case, which changes what counts as a name. An item of fewer than
+    ``WINDOW`` words counts if all its words stand in the document as they are, apart from case and
+    punctuation. Null and empty texts hold and meet nothing; rows with a null id are left out, or
+    with ``null_ids`` judged by their texts. Repeated rows give one row; of items with one id and several texts each text is looked for.
     """
+    found = _leaks(docs, benchmark, least_share, id_column, text_column, item_column, item_text, any_case, null_ids)
+    return found.select(F.when(F.col("known"), F.col("row")).alias("doc_id"), "item_id", "share", "at", "slots", "changed")
+
+
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """``known, row``: a row's id, or the hash of its text where it has none."""
+    return [doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.xxhash64(F.coalesce(text, F.lit("")))).alias("row")]
+
+
+def _leaks(
+    docs: DataFrame, benchmark: DataFrame, least_share: float, id_column: str, text_column: str, item_column: str, item_text: str, any_case: bool, null_ids: bool,
+) -> DataFrame:
+    """``leaks`` with ``known, row`` in place of ``doc_id``."""
     items = id_and_text(benchmark, item_column, item_text).select(F.col("doc_id").alias("item_id"), "text").dropna().distinct()
-    items = items.select("item_id", template_words("text").alias("words"), literal_words("text").alias("values")).filter(F.size("words") >= WINDOW)
+    items = items.select("item_id", template_words("text").alias("words"), literal_words("text").alias("values")).filter(F.size("words") > 0)
     items = durable_copy(items.withColumn("key", F.xxhash64("item_id", "words", "values")), "items")
     windows = item_windows(items.select(F.col("key").alias("item_id"), "words")).withColumnRenamed("item_id", "key")
     if any_case:
         literal = items.select("key", F.inline(_windows("values"))).select("h", "key", F.col("at").alias("item_at"))
         windows = windows.unionByName(literal).distinct()
+    short = items.filter(F.size("values") < WINDOW).select("key", "values", F.size("values").alias("n"))
+    lengths = sorted(x["n"] for x in short.select("n").distinct().collect())  # WINDOW - 1 at most
+    windows = windows.unionByName(short.select(F.xxhash64("values").alias("h"), "key", F.lit(0).alias("item_at")))
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
-    rows = id_and_text(docs, id_column, text_column).filter("doc_id is not null")
-    stated = [template_words("text"), literal_words("text")] if any_case else [template_words("text")]
-    probes = rows.select("doc_id", F.explode(F.array(*stated)).alias("words")).select("doc_id", F.inline(_windows("words")))
+    rows = id_and_text(docs, id_column, text_column)
+    rows = (rows if null_ids else rows.filter("doc_id is not null")).select(*_row_key(F.col("doc_id"), F.col("text")), "text")
+    of = lambda words, *n: F.struct(words.alias("words"), F.array(*map(F.lit, n)).alias("lengths"))
+    stated = [of(template_words("text"), WINDOW)]
+    if any_case or lengths:
+        stated.append(of(literal_words("text"), *lengths, *[WINDOW] * any_case))
+    probes = rows.select("known", "row", F.inline(F.array(*stated))).select("known", "row", "words", F.explode("lengths").alias("n"))
+    probes = probes.select("known", "row", F.inline(_windows("words", F.col("n"))))
     met = probes.join(F.broadcast(windows) if few else windows, "h")
-    shifts = durable_copy(met.select("doc_id", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
+    shifts = durable_copy(met.select("known", "row", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
 
-    candidates = shifts.select("doc_id").distinct()
-    sides = rows.join(candidates, "doc_id", "left_semi").select("doc_id", "text").distinct()
-    sides = sides.select("doc_id", template_words("text").alias("dwords"), literal_words("text").alias("dvalues"))
-    laid = shifts.join(items, "key").join(sides, "doc_id")
+    candidates = shifts.select("known", "row").distinct()
+    sides = rows.join(candidates, ["known", "row"], "left_semi").distinct()
+    sides = sides.select("known", "row", template_words("text").alias("dwords"), literal_words("text").alias("dvalues"))
+    laid = shifts.join(items, "key").join(sides, ["known", "row"])
 
     # 0-based places of the item that fall into the document, as a string of agreements
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(F.size("words"), F.size("dwords") - F.col("shift")) - 1
     laid = laid.withColumns({"first": first, "last": last}).filter("first <= last")
     equal = lambda a, b, i: F.get(a, i) == F.get(b, i + F.col("shift"))
-    agrees = lambda i: equal("words", "dwords", i) | equal("values", "dvalues", i) if any_case else equal("words", "dwords", i)
+    literally = F.lit(any_case) | (F.size("words") < WINDOW)
+    agrees = lambda i: equal("words", "dwords", i) | (literally & equal("values", "dvalues", i))
     agree = lambda i: F.when(agrees(i), "1").otherwise("0")
     laid = laid.withColumn("agree", F.array_join(F.transform(F.sequence("first", "last"), agree), ""))
-    full = lambda i: F.substr("agree", i - F.col("first") + 1, F.lit(WINDOW)) == "1" * WINDOW
-    starts = F.when(F.contains("agree", F.lit("1" * WINDOW)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
-    held = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + WINDOW - 1))))
+    run = F.least(F.lit(WINDOW), F.size("words"))
+    full = lambda i: F.substr("agree", i - F.col("first") + 1, run) == F.repeat(F.lit("1"), run)
+    starts = F.when(F.contains("agree", F.repeat(F.lit("1"), run)), F.filter(F.sequence("first", "last"), full)).otherwise(F.array().cast("array<int>"))
+    held = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + run - 1))))
     is_slot = lambda i: F.get("words", i).isin(_NUMBER, _NAME, _UNIT)
     pair = lambda i: F.struct(F.get("words", i).alias("k"), F.get("values", i).alias("a"), F.get("dvalues", i + F.col("shift")).alias("b"))
     laid = laid.withColumn("held", held).withColumn("pairs", F.transform(F.filter("held", is_slot), pair))
     side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["k"], p[name]))))
     both = F.size(F.array_distinct("pairs"))
     scored = laid.select(
-        "doc_id", "item_id", (F.size("held") / F.size("words")).alias("share"), F.greatest("shift", F.lit(0)).alias("at"),
+        "known", "row", "item_id", (F.size("held") / F.size("words")).alias("share"), F.greatest("shift", F.lit(0)).alias("at"),
         F.size("pairs").alias("slots"), F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("changed"),
         ((side("a") == both) & (side("b") == both)).alias("consistent"),
     )
     fit = scored.filter((F.col("share") >= least_share) & F.col("consistent"))
-    best = fit.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", (-F.col("at")).alias("at"), "slots", "changed")).alias("x"))
-    return best.select("doc_id", "item_id", "x.share", (-F.col("x.at")).alias("at"), "x.slots", "x.changed")
+    best = fit.groupBy("known", "row", "item_id").agg(F.max(F.struct("share", (-F.col("at")).alias("at"), "slots", "changed")).alias("x"))
+    return best.select("known", "row", "item_id", "x.share", (-F.col("x.at")).alias("at"), "x.slots", "x.changed")
 
 
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, id_column: str = "doc_id", text_column: str = "text", any_case: bool = False,
+    null_ids: bool = False,
 ) -> DataFrame:
-    """Rows of ``docs`` that hold no item of ``benchmark``; columns unchanged. Rows with a null id stay."""
-    found = leaks(docs, benchmark, least_share, id_column, text_column, any_case=any_case).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs[id_column].cast("long") == F.col("_id"), "left_anti")
+    """Rows of ``docs`` that hold no item of ``benchmark``; columns unchanged. Rows with a null id stay, unless ``null_ids`` has them judged, too."""
+    found = _leaks(docs, benchmark, least_share, id_column, text_column, "item_id", "text", any_case, null_ids)
+    found = found.select(F.col("known").alias("_known"), F.col("row").alias("_row")).distinct()
+    known, row = _row_key(docs[id_column].cast("long"), docs[text_column])
+    return docs.join(found, (row == F.col("_row")) & (known == F.col("_known")), "left_anti")

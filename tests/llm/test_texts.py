@@ -307,6 +307,20 @@ def test_copies_in_other_case_are_found(spark):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark, any_case=True).collect()] == [20]
 
 
+def test_short_items_lists_and_rows_without_an_id(spark):
+    items = ["What is 12 times 7?", "too short", "Then Ann, Bob, Carl, Dora, Emil, Fay, Gus, Hal and Ida", "1 2 3 4 5 6 7 8 9 10", None, "?!"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = rows(
+        spark, (1, "Tell me: what is 12 times 7?"), (2, "what is 12 times 8?"), (3, "far too short, really"), (4, "short too"), (5, f"so {items[2]} came"),
+        (6, f"0 {items[3]} 11"), (None, f"ask {items[0]}"), (None, "nothing of it"), (None, None), (7, ""),
+    )
+    how = {"any_case": True, "null_ids": True}
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.leaks(docs, benchmark, **how).collect()}
+    assert got == {(1, 0): 1.0, (3, 1): 1.0, (5, 2): 1.0, (6, 3): 1.0, (None, 0): 1.0}
+    kept = decontaminate.drop_leaks(docs, benchmark, **how).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(2, "what is 12 times 8?"), (4, "short too"), (None, "nothing of it"), (None, None), (7, "")], key=str)
+
+
 def test_leaks_query_finds_every_passage(spark, data):
     from fleetloom.llm.queries import QUERIES
 
