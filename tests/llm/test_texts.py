@@ -261,6 +261,23 @@ def test_links_are_checked_against_the_texts(spark, monkeypatch, nearest):
     assert got == expected and len(set(expected.values())) > 8
 
 
+def test_near_duplicates_of_other_repeats_and_far_fingerprints_are_compared(spark):
+    draw = np.random.default_rng(10)
+    line = " ".join(f"line{k}" for k in range(10))
+    texts, far = [], 0
+    for n in range(3):
+        words = [f"w{k}" for k in draw.integers(0, 10**6, 150)]
+        texts += [" ".join([line] * 20 + words), " ".join([line] * 40 + [*words[:70], f"c{n}", *words[71:]])]
+    for n in range(60):
+        words = [f"v{k}" for k in draw.integers(0, 10**6, 8)]  # 4 of 5 shingles
+        texts += [" ".join(words), " ".join([*words, f"end{n}"])]
+        a, b = (int.from_bytes(simhash._vote(simhash.shingle_set(t, 5)[1], 512), "big") for t in texts[-2:])
+        far += (a ^ b).bit_count() > 88
+    assert far > 20 and all(similarity(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(rows(spark, *enumerate(texts))).collect()}
+    assert kept == set(range(0, len(texts), 2))
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 ITEM = "If Alice has 12 apples and gives Bob 5 of them to keep, how many apples does Alice have left after 3 days?"
