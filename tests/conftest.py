@@ -33,14 +33,3 @@ def data():
     if not os.path.isdir(DATA):
         pytest.skip(f"no tables below {DATA}")
     return DATA
-
-
-def values(df, *columns):
-    """Rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
-
-
-def one(df):
-    rows = df.collect()
-    assert len(rows) == 1
-    return rows[0]

@@ -67,3 +67,28 @@ def test_entry_point(spark, data, monkeypatch):
     assert core <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
     monkeypatch.setattr(entry, "SMOKE_DIR", data)
     assert entry.entry(spark).columns == ["cluster", "owner", "region", "total", "status", "error"]
+
+
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_point_without_the_optional_package(tmp_path, left):
+    """Without the text operators the rest imports, whether or not their pipeline is still there."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.mkdir(tmp_path / "fleetloom")
+    pairs = [(os.path.join(root, item), tmp_path / item) for item in ("__spark_entry__.py", "bindings", *left) if os.path.exists(os.path.join(root, item))]
+    pairs += [(os.path.join(root, "fleetloom", item), tmp_path / "fleetloom" / item) for item in os.listdir(os.path.join(root, "fleetloom")) if item != "llm"]
+    for source, target in pairs:
+        os.symlink(source, target)
+    # a symbolic link would lead back to the whole repository
+    entry = tmp_path / "__spark_entry__.py"
+    code = open(entry).read()
+    entry.unlink()
+    entry.write_text(code)
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) - len(e.QUERIES), 'pipeline' in e.queries(), set(e.oracle_sql()) == set(e.queries()))"],
+        cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True,
+    )
+    assert said.stdout.split() == ["0", "False", "True"], said.stderr

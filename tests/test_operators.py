@@ -1,7 +1,7 @@
 """Operators on small tables with results worked out by hand."""
 
 import pytest
-from conftest import one, values
+from helpers import one, values
 from pyspark.sql import functions as F
 
 from fleetloom.operators import benchmarks, cost, health, inventory, kernels, logs, policy, pricing, quality, queues

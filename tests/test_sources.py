@@ -2,7 +2,7 @@ import hashlib
 import os
 
 import pytest
-from conftest import one, values
+from helpers import one, values
 from pyspark.sql import functions as F
 
 from fleetloom.operators import benchmarks, logs

@@ -4,7 +4,7 @@ import datetime as dt
 import os
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from fleetloom.session import scratch_path
