@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import ann, decontaminate, packing, quality, secrets, simhash, substrings, tokenfiles, urlgraph, warc, whitening
+from fleetloom.llm import ann, decontaminate, dialogues, packing, quality, secrets, simhash, substrings, tokenfiles, urlgraph, warc, whitening
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -94,6 +94,12 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cheapest repair of every conversation takes after rows of all were damaged by a fixed rule."""
+    given = _table(spark, sf_dir, "conversations")
+    return dialogues.audit(dialogues.damage(given), of=given)
+
+
 def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector along the eight components of largest variance; a deviation beyond 64 bits is null."""
     found = whitening.components_of(_table(spark, sf_dir, "embeddings"), components=8)
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_token_files,
         op10_warc_archives,
+        op12_conversation_repair,
         op13_refined_whitening,
     )
 }
