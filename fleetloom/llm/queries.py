@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import ann, decontaminate, dialogues, packing, quality, secrets, simhash, substrings, tokenfiles, urlgraph, warc, whitening
+from fleetloom.llm import ann, decontaminate, dialogues, ngrams, packing, quality, secrets, simhash, substrings, tokenfiles, urlgraph, warc, whitening
 from fleetloom.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -94,6 +94,13 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of word n-grams, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = ngrams.chunks(docs, F.crc32(docs["doc_id"].cast("string")) % 7 == 2)
+    return ngrams.score(found, ngrams.learn(found))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the cheapest repair of every conversation takes after rows of all were damaged by a fixed rule."""
     given = _table(spark, sf_dir, "conversations")
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_token_files,
         op10_warc_archives,
+        op11_ngram_scores,
         op12_conversation_repair,
         op13_refined_whitening,
     )
