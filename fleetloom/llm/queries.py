@@ -44,7 +44,7 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document: three words, 64 bits, radius 3."""
-    classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3, sizes_within=None)
+    classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3)
     return classes.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

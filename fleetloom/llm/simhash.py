@@ -2,17 +2,12 @@
 
 Fingerprints that differ in no bit are one row from the start, so a group of copies costs what
 one text costs. The distinct ones are dealt into tiles by the population counts of their four
-quarters (and, if asked for, by the size of the text). Two fingerprints within the radius have
+quarters. Two fingerprints within the radius have
 counts whose differences add up to at most the radius, so only tiles that near are compared:
 exclusive-or and bit counts over whole tiles with numpy. From every pair of tiles comes a
 forest of links, not all links, which connects the same fingerprints. Work within a tile grows
 with the square of its rows; a tile is cut into blocks of ``BLOCK``, so no task holds more
 than two of these.
-
-With a similarity to reach, fingerprints only propose: they are made of distinct shingles, and a
-link counts if the shingle sets themselves are that similar. From each pair of blocks a text
-proposes its nearest others first; it proposes more, sixteen times as many each round, only
-where it had to leave some out that its checked links have not yet brought into its class.
 """
 
 from __future__ import annotations
@@ -31,7 +26,6 @@ from fleetloom.session import durable_copy
 
 SEED = 42
 BLOCK = 8192
-NEAREST = 16  # others that a text proposes first, from each pair of blocks
 _AT_ONCE = 1 << 21  # comparisons held in memory at once
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,14 +79,6 @@ def fingerprint(text: str | None, shingle: int, bits: int = 64, chunk: int = 1 <
     return _vote(hashes, bits, chunk), len(hashes)
 
 
-def shingle_set(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
-    """A key of 128 bits for the set of shingles, and their distinct hashes in order."""
-    import xxhash
-
-    hashes = np.unique(shingle_hashes(text, shingle))
-    return xxhash.xxh3_128_digest(hashes.tobytes()), hashes
-
-
 def fingerprints(docs: DataFrame, shingle: int, bits: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, fp`` (binary), ``size`` (shingles) and ``text_hash`` of every row; null text is an empty one."""
 
@@ -108,20 +94,6 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64, id_column: str =
     return map_arrow(rows, each, "doc_id long, fp binary, size long, text_hash long")
 
 
-def set_fingerprints(docs: DataFrame, shingle: int, bits: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """As ``fingerprints``, but of distinct shingles: ``fp`` and ``size`` belong to the set, which ``key`` stands for."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (shingle_set(text.as_py(), shingle) for text in batch.column(1))
-            found = [(key, _vote(hashes, bits), len(hashes)) for key, hashes in sets]
-            key, fp, size = (pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, size, batch.column(2), key], names=["doc_id", "fp", "size", "text_hash", "key"])
-
-    rows = id_and_text(docs, id_column, text_column).withColumn("text_hash", F.xxhash64("text"))
-    return map_arrow(rows, each, "doc_id long, fp binary, size long, text_hash long, key binary")
-
-
 def _quarter_counts(fp: str, bits: int) -> list[Column]:
     """Population counts of the four quarters of a binary fingerprint."""
     digits = bits // 16  # hexadecimal digits in a quarter
@@ -204,115 +176,6 @@ def _forest(a: bytes, b: bytes, bits: int, radius: int) -> tuple[np.ndarray, np.
     return both[node], both[label[node]]
 
 
-def _nearest(a: bytes, b: bytes, bits: int, radius: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys of texts within ``radius`` whose groups differ, and keys of texts that had more than ``limit`` such and kept the nearest.
-
-    A row of a block is a fingerprint, a key, a group and whether it is open; only open rows of ``a`` propose.
-    """
-    width, wide = bits // 64, bits // 8
-    x, y = (np.frombuffer(t, np.uint8).reshape(-1, wide + 25) for t in (a, b))
-    words = lambda t, at, n: np.ascontiguousarray(t[:, at : at + 8 * n]).view(">u8").astype(np.uint64)
-    fx, fy, gx, gy = words(x, 0, width), words(y, 0, width), words(x, wide + 16, 1)[:, 0], words(y, wide + 16, 1)[:, 0]
-    kx, ky = x[:, wide : wide + 16], y[:, wide : wide + 16]
-    same = a == b
-    rows = np.flatnonzero(x[:, -1])
-    step = max(1, _AT_ONCE // max(1, len(y)))
-    for at in range(0, len(rows), step):
-        part = rows[at : at + step]
-        apart = np.zeros((len(part), len(y)), dtype=np.uint16)
-        for w in range(width):
-            apart += np.bitwise_count(fx[part, w][:, None] ^ fy[None, :, w])
-        i, j = np.nonzero(apart <= radius)
-        wanted = gx[part[i]] != gy[j]
-        if same:
-            wanted &= part[i] < j
-        i, j = i[wanted], j[wanted]
-        order = np.lexsort((apart[i, j], i))
-        i, j = i[order], j[order]
-        n = np.bincount(i, minlength=len(part))
-        rank = np.arange(len(i)) - (np.cumsum(n) - n)[i]
-        i, j = i[rank < limit], j[rank < limit]
-        yield kx[part[i]], ky[j], kx[part[n > limit]]
-
-
-def _proposals(nodes: DataFrame, radius: int, bits: int, similarity: float, limit: int) -> DataFrame:
-    """``u, v`` of texts within ``radius`` in different groups, at most ``limit`` of each row and block; ``u``, null for a text that left some out.
-
-    ``nodes`` has ``key, fp, size, code`` (group, 64 bits) and ``open``. Only sizes that may stand in the ratio of the similarity are compared.
-    """
-    tile = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(similarity)) + F.lit(1e-9)).cast("long")
-    flag = F.when(F.col("open"), "01").otherwise("00")
-    row = F.concat(F.hex("fp"), F.hex("key"), F.lpad(F.hex("code"), 16, "0"), flag)
-    tiled = nodes.select("key", "open", tile.alias("tile"), row.alias("row"))
-    counts = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    # size classes are few
-    blocked = tiled.join(F.broadcast(counts), "tile").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # sorted by fingerprint and key, so that in all rounds the same text of a pair proposes it
-    fused = F.array_join(F.sort_array(F.collect_list("row")), "").alias("rows")
-    blocks = durable_copy(blocked.groupBy("tile", "block").agg(fused, F.max("open").alias("open")), "tiles").withColumn("rows", F.unhex("rows"))
-    left = blocks.filter("open").select("tile", "block", F.col("rows").alias("a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
-    left = left.select((F.col("tile") + F.col("step")).alias("tile"), "block", "a", "step")
-    right = blocks.select("tile", F.col("block").alias("other"), F.col("rows").alias("b"))
-    pairs = left.join(right, "tile").filter((F.col("step") != 0) | (F.col("other") >= F.col("block")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        as_binary = lambda x: pa.FixedSizeBinaryArray.from_buffers(
-            pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]
-        ).cast(pa.binary())
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                for u, v, more in _nearest(a.as_py(), b.as_py(), bits, radius, limit):
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([as_binary(u), as_binary(v)], names=["u", "v"])
-                    if len(more):
-                        yield pa.RecordBatch.from_arrays([as_binary(more), pa.nulls(len(more), pa.binary())], names=["u", "v"])
-
-    n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("a", "b").repartition(n_parts, F.xxhash64("a", "b")).mapInArrow(compare, "u binary, v binary")
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose shingle sets are as similar; sets are made anew, for proposed texts alone."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(text.as_py(), shingle) for text in batch.column(0)]
-            sets = [pa.array(hashes.view(np.int64)) for _, hashes in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key for key, _ in found], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"]
-            )
-
-    ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    wanted = nodes.join(ends, "key", "left_semi").select("text_hash").distinct()
-    proposed = texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
-    sets = durable_copy(map_arrow(proposed, each, "key binary, hashes array<long>"), "shingle-sets")
-    laid = pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u")
-    laid = laid.join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return laid.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, radius: int, bits: int, similarity: float) -> DataFrame:
-    """Links ``u, v`` between keys of ``nodes`` (``key, fp, size, text_hash``) whose sets are as similar, enough of them to connect what all such connect.
-
-    ``texts`` has ``text_hash, text``. Of two different sets the smaller needs ``similarity / (1 - similarity)`` shingles to be that similar.
-    """
-    nodes = nodes.filter(F.col("size") * (1 - similarity) >= similarity - 1e-9)
-    seen, limit = None, NEAREST
-    now = nodes.select("key", "fp", "size", F.xxhash64("key").alias("code"), F.lit(True).alias("open"))
-    while True:
-        found = durable_copy(_proposals(now, radius, bits, similarity, limit), "proposals")
-        good = durable_copy(_similar(found.filter("v is not null").distinct(), nodes, texts, shingle, similarity), "links")
-        seen = good if seen is None else seen.unionByName(good)
-        more = found.filter("v is null").select(F.col("u").alias("key"), F.lit(True).alias("more")).distinct()
-        if more.isEmpty():
-            return seen
-        limit *= 16
-        roots = connected_components(seen).withColumnRenamed("node", "key")
-        now = nodes.join(roots, "key", "left").join(more, "key", "left")
-        now = now.select("key", "fp", "size", F.xxhash64(F.coalesce("root", "key")).alias("code"), F.coalesce("more", F.lit(False)).alias("open"))
-
-
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Give all nodes that the links ``i - j`` and the present labels connect their least label."""
     while True:
@@ -325,40 +188,25 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int | None = None, sizes_within: float | None = 0.8,
-    id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``doc_id, fp`` (binary), ``component_id, root`` for every row of ``docs``.
+    """``doc_id, fp`` (binary), ``component_id, root, text_hash`` for every row of ``docs``.
 
+    Fingerprints (of all shingles, repeats included) within ``radius`` are linked.
     ``component_id`` is the least id of all rows that are linked, directly or over others; ``root``
-    stands for the class. With ``sizes_within`` (a similarity) texts are linked if their sets of
-    shingles are that similar; fingerprints of the distinct shingles within ``radius`` propose the
-    pairs that are checked. Two texts whose shingles overlap by 0.8 are expected to differ in 15 %
-    of the bits (77 of 512, standard deviation 8; 96 for sets of 4 and 5 shingles); the radius, a
-    quarter of the bits where none is given, leaves more than three standard deviations above these. Size classes and
-    fingerprints are those of the set, so a line that repeats more often in one text changes nothing.
-    Without it, fingerprints (of all shingles) within ``radius`` are links themselves.
-    Null text is an empty one; empty texts have
+    stands for the class. Null text is an empty one; empty texts have
     fingerprint zero and are linked to each other. Repeated rows share a class. A row with a null
     id takes part; a class of such rows only has a null id.
     """
-    radius = bits // 4 if radius is None else radius
-    if sizes_within is None:
-        each = durable_copy(fingerprints(docs, shingle, bits, id_column, text_column), "fingerprints").withColumn("key", F.col("fp"))
-        nodes = each.groupBy("key").agg(F.min("doc_id").alias("least"))
-        edges = durable_copy(links(nodes.withColumnRenamed("key", "fp"), radius, bits).distinct(), "links")
-    else:
-        each = durable_copy(set_fingerprints(docs, shingle, bits, id_column, text_column), "fingerprints")
-        nodes = durable_copy(each.groupBy("key", "fp", "size").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "sets")
-        texts = id_and_text(docs, id_column, text_column).select(F.xxhash64("text").alias("text_hash"), "text")
-        edges = similar_links(nodes, texts, shingle, radius, bits, sizes_within)
-    roots = connected_components(edges)
-    rooted = nodes.join(roots, nodes["key"] == roots["node"], "left")
-    rooted = durable_copy(rooted.select("key", "least", F.coalesce("root", "key").alias("root")), "roots")
+    each = durable_copy(fingerprints(docs, shingle, bits, id_column, text_column), "fingerprints")
+    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(durable_copy(links(nodes, radius, bits).distinct(), "links"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    rooted = durable_copy(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     # written before it is joined: a join of two plain sides can be split where a class holds very many fingerprints
     least = durable_copy(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
-    of_key = rooted.join(least, "root").select("key", "component_id", "root")
-    return each.join(of_key, "key").select("doc_id", "fp", "component_id", "root", "text_hash")
+    of_fingerprint = rooted.join(least, "root").select("fp", "component_id", "root")
+    return each.join(of_fingerprint, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:

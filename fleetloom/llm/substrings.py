@@ -14,7 +14,6 @@ one word cost no more than others.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -29,29 +28,22 @@ from fleetloom.session import scratch_path
 LENGTH = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
-_CHUNK = 1 << 20  # bytes hashed at once
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd
+_PACKED = 7  # bytes of a word that fit into a number beside its length
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(_PACKED + 1)], dtype=np.uint64)
 
 
 def _white(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class WordHashes:
-    """64-bit hashes of the words of a text, without a Python object for each word.
+    """64-bit hashes of the words of a text.
 
-    A word's hash is a polynomial of its bytes, read off running sums over the whole chunk.
+    A word of up to seven bytes is a number by itself, made of its bytes and its length, and is only
+    mixed, which keeps different ones different. Longer words are hashed one by one.
     """
 
-    def __init__(self) -> None:
-        self._tables = [(_powers(b, _CHUNK + 1), _powers(pow(b, -1, 1 << 64), _CHUNK + 1)) for b in _BASES]
-
     def words(self, text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The text's bytes, and where each word starts and ends; words are runs of anything but ASCII white space."""
         raw = (text or "").encode("utf-8", "replace")
@@ -61,23 +53,20 @@ class WordHashes:
         return raw, turn[0::2], turn[1::2]
 
     def hashes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        up, down = self._tables[which]
-        data, out, at = np.frombuffer(raw, np.uint8), np.zeros(len(starts), np.uint64), 0
-        while at < len(starts):
-            first = int(starts[at])
-            n = int(np.searchsorted(ends, first + _CHUNK, side="right")) - at
-            if not n:  # one word longer than a chunk
-                out[at] = np.frombuffer(hashlib.sha256(raw[first : int(ends[at])]).digest()[8 * which : 8 * which + 8], "<u8")[0]
-                at += 1
-                continue
-            a, b = starts[at : at + n] - first, ends[at : at + n] - first
-            sums = np.zeros(int(b[-1]) + 1, dtype=np.uint64)
-            part = data[first : first + int(b[-1])].astype(np.uint64) + np.uint64(1)
-            np.cumsum(part * down[: len(part)], out=sums[1:])
-            h = (sums[b] - sums[a]) * up[a]
-            out[at : at + n] = h ^ (h >> np.uint64(29))
-            at += n
-        return out
+        import xxhash
+
+        size = ends - starts
+        # the eight bytes from each place on
+        eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+        out = (eights[starts] & _MASKS[np.minimum(size, _PACKED)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+        with np.errstate(over="ignore"):
+            for shift in (31, 27, 33):  # each step can be undone
+                out = (out ^ (out >> np.uint64(shift))) * np.uint64(_BASES[which])
+        long = np.flatnonzero(size > _PACKED)
+        if len(long):
+            digest = (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)[which]
+            out[long] = np.fromiter((digest(raw[a:b], which) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+        return out ^ (out >> np.uint64(29))
 
 
 def rolled(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:

@@ -23,8 +23,8 @@ CACHE_LETTERS = 64
 TAIL = ".,!?;:#$%&*|"
 #: Letters up to U+00FF: composed, one pre-token in any run, one letter when lowered.
 LATIN = "".join(c for c in map(chr, range(256)) if c.isalpha())
-#: A full stop or comma right behind a mark belongs to that mark's run.
-_IN_A_RUN = re.compile("[" + re.escape("".join(c for c in map(chr, range(33, 256)) if not c.isalnum() and not c.isspace())) + "][.,]")
+#: A full stop or comma right behind a mark belongs to that mark's run. Whatever is neither letter, digit nor blank may be one, control characters too.
+_IN_A_RUN = re.compile("[" + re.escape("".join(c for c in map(chr, range(256)) if not c.isalnum() and c != " ")) + "][.,]")
 
 
 class WordIds:

@@ -59,12 +59,17 @@ def test_word_hashes_tell_words_apart(text):
         assert len(set(substrings.rolled(found, width).tolist())) == len(set(windows))
 
 
-def test_a_word_longer_than_a_chunk(monkeypatch):
-    monkeypatch.setattr(substrings, "_CHUNK", 16)
+def test_words_made_to_collide_are_told_apart(spark):
+    """Words whose polynomials agree modulo 2 ** 64 for every odd base, and words that are one another's beginning."""
+    thue = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{k}" for k in range(34))
+    got = substrings.remove_repeats(rows(spark, (1, f"{thue} {common}"), (2, f"{other} {common}")))
+    assert [(r["n_words"], r["n_removed"]) for r in got.collect()] == [(35, 0)] * 2
     of = substrings.WordHashes()
-    text = "x" * 50 + " a bb " + "y" * 40 + " a " + "x" * 50
-    found = of.hashes(*of.words(text)).tolist()
-    assert found[0] == found[-1] and found[1] == found[4] and len(set(found)) == 4
+    words = ["a" * n for n in range(1, 40)] + ["\x00" * n for n in range(1, 12)] + ["a\x00", "a\x00\x00", "b" * 300, "b" * 256 + "c" * 44]
+    for which in (0, 1):
+        assert len(set(of.hashes(*of.words(" ".join(words)), which).tolist())) == len(words)
 
 
 def test_repeats_equal_brute_force(spark):
@@ -197,10 +202,15 @@ def test_near_duplicates_query_equals_brute_force(spark, data):
     assert {r[0]: (r[1], r[2]) for r in QUERIES["op5_simhash_near_duplicates"](spark, data).collect()} == expected
 
 
+def apart(a, b):
+    x, y = (int.from_bytes(simhash.fingerprint(" ".join(t), 3)[0], "big") for t in (a, b))
+    return (x ^ y).bit_count()
+
+
 def test_one_document_of_each_class_stays(spark):
     draw = np.random.default_rng(3)
     base = [f"w{k}" for k in draw.integers(0, 5000, 400)]
-    near = [*base[:200], "changed", *base[201:]]
+    near = next(n for n in ([*base[:at], "changed", *base[at + 1 :]] for at in range(400)) if 0 < apart(base, n) <= 3)
     other = " ".join(f"v{k}" for k in draw.integers(0, 5000, 300))
     docs = rows(spark, (5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (4, other), (4, other), (7, None), (8, ""), (None, other), (None, "alone here"))
     kept = simhash.drop_near_duplicates(docs)
@@ -211,73 +221,6 @@ def test_one_document_of_each_class_stays(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_texts_at_the_similarity_are_caught_and_others_left(spark):
-    draw = np.random.default_rng(4)
-    pairs, similar = [], []
-    for n in range(30):
-        words = [f"w{k}" for k in draw.integers(0, 10**6, 300)]
-        changed = list(words)
-        for at in draw.choice(300, 4 if n % 2 else 60, replace=False):  # shingles in common: about 0.88, about 0.2
-            changed[at] = f"c{n}-{at}"
-        pairs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed))]
-        similar.append(bool(n % 2))
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(rows(spark, *pairs)).collect()}
-    assert kept == {2 * n for n in range(30)} | {2 * n + 1 for n, s in enumerate(similar) if not s}
-
-
-def sets_of(text, n=5):
-    words = text.lower().split()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-
-
-def similarity(a, b):
-    return len(sets_of(a) & sets_of(b)) / len(sets_of(a) | sets_of(b))
-
-
-def test_a_repeated_line_does_not_link_texts(spark):
-    draw = np.random.default_rng(8)
-    line = " ".join(f"line{k}" for k in range(10))
-    texts = [" ".join([line] * 30 + [f"w{k}" for k in draw.integers(0, 10**6, 300)]) for _ in range(4)]
-    assert max(similarity(a, b) for a in texts for b in texts if a != b) < 0.1
-    assert simhash.drop_near_duplicates(rows(spark, *enumerate(texts))).count() == 4
-
-
-@pytest.mark.parametrize("nearest", [1, 16])
-def test_links_are_checked_against_the_texts(spark, monkeypatch, nearest):
-    monkeypatch.setattr(simhash, "NEAREST", nearest)
-    draw = np.random.default_rng(9)
-    texts = []
-    for family in range(6):
-        base = [f"w{k}" for k in draw.integers(0, 10**6, 300)]
-        for n in range(8):
-            words = list(base)
-            for at in draw.choice(300, 2 + family, replace=False):
-                words[at] = f"c{family}-{n}-{at}"
-            texts.append(" ".join(words))
-    pairs = [(a, b, similarity(texts[a], texts[b])) for a in range(len(texts)) for b in range(a)]
-    assert sum(0.7 < s < 0.8 for _, _, s in pairs) > 20
-    expected = classes_of([(a, b) for a, b, s in pairs if s >= 0.8], range(len(texts)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(rows(spark, *enumerate(texts))).collect()}
-    assert got == expected and len(set(expected.values())) > 8
-
-
-def test_near_duplicates_of_other_repeats_and_far_fingerprints_are_compared(spark):
-    draw = np.random.default_rng(10)
-    line = " ".join(f"line{k}" for k in range(10))
-    texts, far = [], 0
-    for n in range(3):
-        words = [f"w{k}" for k in draw.integers(0, 10**6, 150)]
-        texts += [" ".join([line] * 20 + words), " ".join([line] * 40 + [*words[:70], f"c{n}", *words[71:]])]
-    for n in range(60):
-        words = [f"v{k}" for k in draw.integers(0, 10**6, 8)]  # 4 of 5 shingles
-        texts += [" ".join(words), " ".join([*words, f"end{n}"])]
-        a, b = (int.from_bytes(simhash._vote(simhash.shingle_set(t, 5)[1], 512), "big") for t in texts[-2:])
-        far += (a ^ b).bit_count() > 88
-    assert far > 20 and all(similarity(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(rows(spark, *enumerate(texts))).collect()}
-    assert kept == set(range(0, len(texts), 2))
-
-
 # --- decontamination ----------------------------------------------------------------------
 
 ITEM = "If Alice has 12 apples and gives Bob 5 of them to keep, how many apples does Alice have left after 3 days?"

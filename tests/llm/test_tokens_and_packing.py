@@ -32,6 +32,19 @@ def test_words_one_by_one_give_the_ids_of_the_text(vocabulary, library, text):
     assert ids_of(text, vocabulary) == library(text)
 
 
+def test_every_character_before_a_stop_or_comma(vocabulary, library):
+    """A mark, a control character among them, forms one run with the stop behind it."""
+    for c in map(chr, range(256)):
+        for text in (f"a{c}. b", f"a{c}, b", f"{c}. b", f"one{c}.", f"{c},{c}. x", f"a.{c} b", f"a {c}, b"):
+            assert ids_of(text, vocabulary) == library(text), repr(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("ab1 .,")), st.characters(max_codepoint=255)), max_size=30))
+def test_any_text_of_the_first_characters(vocabulary, library, text):
+    assert ids_of(text, vocabulary) == library(text)
+
+
 def test_documents_give_the_ids_of_the_library(spark, data, vocabulary, library):
     for row in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect():
         assert ids_of(row["text"], vocabulary) == library(row["text"])
