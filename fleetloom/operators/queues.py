@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,6 +170,61 @@ def inherit_first(queues: DataFrame, value: Column, *, key: str, pos: str = "pos
     return queues.groupBy(key).agg(picked.alias(name))
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """Present queues (``reason`` null) and refused changes of rows ``(cluster, change, position, queue, action)`` that come in order."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = None
+        started = False
+        present: set = set()
+        out: list[tuple] = []
+        schema: pa.Schema | None = None
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(values, field.type) for values, field in zip(zip(*out), schema)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        def close() -> None:
+            out.extend((now, True, None, queue, None, None) for queue in sorted(present))
+
+        for batch in batches:
+            if schema is None:
+                of = batch.schema
+                schema = pa.schema([of.field(0), ("kept", pa.bool_()), of.field(2), of.field(3), ("action", pa.string()), ("reason", pa.string())])
+            for cluster, change, position, queue, action in zip(*[c.to_pylist() for c in batch.columns]):
+                if not started or cluster != now:
+                    close()
+                    now, started, present = cluster, True, set()
+                if not change:
+                    present.add(queue)
+                    continue
+                reason = None
+                if action == "add":
+                    if queue in present:
+                        reason = "already exists"
+                    present.add(queue)
+                elif action == "remove":
+                    if queue not in present:
+                        reason = "not found"
+                    elif len(present) == 1:
+                        reason = "last queue"
+                    else:
+                        present.remove(queue)
+                if reason:
+                    out.append((cluster, False, position, queue, action, reason))
+                if len(out) >= 10_000:
+                    yield flushed()
+        close()
+        if out:
+            yield flushed()
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = rows.columns
+    columns = [f"`{names[0]}` {kinds[names[0]]}", "kept boolean", *[f"`{n}` {kinds[n]}" for n in names[2:4]], "action string", "reason string"]
+    return rows.mapInArrow(fold, ", ".join(columns))
+
+
 def queue_apply(
     queues: DataFrame, changes: DataFrame, *, cluster: str = "cluster", queue: str = "queue", position: str = "position"
 ) -> tuple[DataFrame, DataFrame]:
@@ -176,38 +232,23 @@ def queue_apply(
 
     Each change is judged against what the ones before it left: adding an existing queue,
     removing an unknown one and removing the last one are rejected with a reason and change
-    nothing. Changes of equal position go by queue, then action. The fold needs a cluster's queues
-    and its changes together, which people write by hand; clusters without changes are passed on
-    as they are, and every change is read once.
-    """
-    listed = changes.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(position, queue, "action"))).alias("_changes"))
-    have = queues.join(listed.select(cluster), cluster, "left_semi").groupBy(cluster).agg(F.collect_set(queue).alias("_have"))
-    both = listed.join(have, cluster, "left")
-
-    def step(state: Column, change: Column) -> Column:
-        name, there = change[queue], F.array_contains(state["have"], change[queue])
-        reason = (
-            F.when((change["action"] == "add") & there, "already exists")
-            .when((change["action"] == "remove") & ~there, "not found")
-            .when((change["action"] == "remove") & (F.size(state["have"]) == 1), "last queue")
-        )
-        after = F.when(change["action"] == "add", F.array_append(state["have"], name)).when(
-            change["action"] == "remove", F.array_remove(state["have"], name)
-        ).otherwise(state["have"])
-        refused = F.struct(change[position].alias(position), name.alias(queue), change["action"].alias("action"), reason.alias("reason"))
-        return F.struct(
-            F.when(reason.isNull(), after).otherwise(state["have"]).alias("have"),
-            F.when(reason.isNull(), state["refused"]).otherwise(F.array_append(state["refused"], refused)).alias("refused"),
-        )
+    nothing. Changes of equal position go by queue, then action; rows without a cluster or a queue
+    count for nothing, nor do other actions. Clusters without changes are passed on as they are.
 
-    kinds = changes.schema
-    of = lambda name: kinds[name].dataType.simpleString()
-    none = F.array().cast(f"array<struct<{position}:{of(position)},{queue}:{of(queue)},action:string,reason:string>>")
-    start = F.struct(F.coalesce("_have", F.array().cast(f"array<{of(queue)}>")).alias("have"), none.alias("refused"))
-    done = both.select(cluster, F.aggregate("_changes", start, step).alias("_s"))
-    untouched = queues.join(listed.select(cluster), cluster, "left_anti").select(cluster, queue)
-    applied = untouched.unionByName(done.select(cluster, F.explode("_s.have").alias(queue)))
-    return applied, done.select(cluster, F.explode("_s.refused").alias("r")).select(cluster, "r.*")
+    A cluster's queues and then its changes pass through one task as a sorted stream, which holds
+    the names of the queues that are present and nothing else, however many changes there are.
+    """
+    named = lambda df: df.where(F.col(cluster).isNotNull() & F.col(queue).isNotNull())
+    asked = named(changes)
+    touched = asked.select(cluster).distinct()
+    have = named(queues).select(cluster, queue)
+    kind = changes.schema[position].dataType
+    start = have.join(touched, cluster, "left_semi").distinct().select(cluster, F.lit(False).alias("change"), F.lit(None).cast(kind).alias(position), queue, F.lit(None).cast("string").alias("action"))
+    rows = start.unionByName(asked.select(cluster, F.lit(True).alias("change"), position, queue, "action"))
+    done = _folded(rows.repartition(cluster).sortWithinPartitions(cluster, "change", position, queue, "action"))
+    untouched = have.join(touched, cluster, "left_anti").select(cluster, queue)
+    applied = untouched.unionByName(done.where("kept").select(cluster, queue))
+    return applied, done.where("NOT kept").select(cluster, position, queue, "action", "reason")
 
 
 def first_subnets(requests: DataFrame, subnets: DataFrame, **names: str) -> DataFrame:

@@ -5,19 +5,19 @@ turns bad, or until its waiting time is over.
 
 ``track_transitions`` treats a wait as a session that ends at its deadline and emits each
 outcome once, when the watermark passes that end; it runs on built-in operators alone.
-``track_transitions_live`` emits an outcome as soon as it is known, at the price of Python
-state per request. ``track_history`` computes the same outcomes over a history table.
+``track_transitions_live`` emits an outcome as soon as it is known: typed value state for each
+request, a timer at its deadline, and waits that are already open as initial state.
+``track_history`` computes the same outcomes over a history table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetloom.functions import fixed_values as fixed
 from fleetloom.operators.health import deletion_outcome
@@ -102,6 +102,56 @@ def track_transitions(
     return _decide(sessions.agg(*_facts()), keys, labels, F.lit(True))
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Wait(StatefulProcessor):
+    """One open request: whether its outcome is out, and when and how its last sample came."""
+
+    def __init__(self, names: list[str], wait_us: int, labels: tuple[str, str, str, str]):
+        self._row = Row(*names)
+        self._wait_us, self._labels = wait_us, labels
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("wait", "done boolean, last_us long, last_broken boolean")
+
+    def _deadline(self, key: tuple) -> int:
+        return key[-1] + self._wait_us
+
+    def _due(self, key: tuple) -> None:
+        self._handle.registerTimer(self._deadline(key) // 1000 + 1)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        self._state.update((bool(initialState["done"]), initialState["last_us"], bool(initialState["last_broken"])))
+        self._due(key)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self._state.get() if self._state.exists() else None
+        done, last_us, last_broken = known or (False, -1, False)
+        best: tuple[int, int] | None = None
+        for at, code in ((r["at_us"], r["code"]) for r in rows):
+            if at > last_us:
+                last_us, last_broken = at, bool(code % 2)
+            if code // 2:
+                best = min(best or (at, -(code // 2)), (at, -(code // 2)))
+        if known is None:
+            self._due(key)
+        if best is not None and not done:
+            done = True
+            yield self._row(*key, self._labels[0] if best[1] == -_SUCCESS else self._labels[1], best[0])
+        self._state.update((done, last_us, last_broken))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        done, _, last_broken = self._state.get() if self._state.exists() else (True, -1, False)
+        self._state.clear()
+        if not done:
+            yield self._row(*key, self._labels[3] if last_broken else self._labels[2], self._deadline(key))
+
+    def close(self) -> None:
+        pass
+
+
 def track_transitions_live(
     stream: DataFrame,
     *,
@@ -114,12 +164,16 @@ def track_transitions_live(
     timeout_seconds: int = fixed.FLEET_WAIT_SECONDS,
     lateness: str = LATENESS,
     labels: tuple[str, str, str, str] = (REACHED, ABORTED, TIMEOUT, TIMEOUT),
+    open_waits: DataFrame | None = None,
 ) -> DataFrame:
     """Outcome of every request on a stream, emitted once and as soon as it is known.
 
-    State is one small row per open request, dropped when the watermark passes the
-    deadline. A request has at most as many samples as polls fit into its waiting time.
+    State is one small typed row per open request, dropped by a timer when the watermark passes the
+    deadline. ``open_waits`` (see there) carries over what was known before the stream began.
+    The session is set to the state store that timers need; a request has at most as many samples
+    as polls fit into its waiting time.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     keys = [key] if isinstance(key, str) else list(key)
     watched = stream.withWatermark(ts, lateness)
     samples = _samples(watched, keys, ts, request_ts, success, failure, call_failed, timeout_seconds)
@@ -127,6 +181,7 @@ def track_transitions_live(
         *keys,
         F.unix_micros("request_ts").alias("request_us"),
         "ts",
+        F.unix_micros("ts").alias("at_us"),
         (F.col("verdict") * 2 + F.col("broken").cast("int")).alias("code"),
     )
     types = {f.name: f.dataType for f in packed.schema.fields}
@@ -134,43 +189,11 @@ def track_transitions_live(
         [T.StructField(k, types[k]) for k in keys]
         + [T.StructField("request_us", T.LongType()), T.StructField("outcome", T.StringType()), T.StructField("outcome_us", T.LongType())]
     )
-    state_type = "done boolean, last_us long, last_broken boolean"
-    reached, aborted, timed_out, call_broken = labels
-    names = [f.name for f in output.fields]
-    wait_us = timeout_seconds * 1_000_000
-
-    def row(group: tuple, outcome: str, at_us: int) -> pd.DataFrame:
-        return pd.DataFrame({name: [value] for name, value in zip(names, (*group, outcome, at_us))})
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deadline_us = int(group[-1]) + wait_us
-        if state.hasTimedOut:
-            done, _, last_broken = state.get
-            state.remove()
-            if not done:
-                yield row(group, call_broken if last_broken else timed_out, deadline_us)
-            return
-        done, last_us, last_broken = state.get if state.exists else (False, -1, False)
-        best: tuple[int, int] | None = None
-        for frame in frames:
-            at = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-            code = frame["code"].to_numpy()
-            newest = int(at.argmax())
-            if at[newest] > last_us:
-                last_us, last_broken = int(at[newest]), bool(code[newest] % 2)
-            for value in (_SUCCESS, _FAILURE):
-                hits = at[code // 2 == value]
-                if hits.size:
-                    found = (int(hits.min()), -value)
-                    best = found if best is None else min(best, found)
-        if best is not None and not done:
-            done = True
-            yield row(group, reached if -best[1] == _SUCCESS else aborted, best[0])
-        state.update((done, last_us, last_broken))
-        state.setTimeoutTimestamp(deadline_us // 1000 + 1)
-
-    outcomes = packed.groupBy(*keys, "request_us").applyInPandasWithState(
-        step, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
+    known = None
+    if open_waits is not None:
+        known = open_waits.select(*keys, F.unix_micros("request_ts").alias("request_us"), "done", "last_us", "last_broken").groupBy(*keys, "request_us")
+    outcomes = packed.groupBy(*keys, "request_us").transformWithState(
+        _Wait(output.names, timeout_seconds * 1_000_000, labels), output, "Append", "EventTime", initialState=known
     )
     return outcomes.select(
         *keys,
@@ -180,6 +203,36 @@ def track_transitions_live(
     )
 
 
+def open_waits(
+    history: DataFrame,
+    *,
+    key: str | Sequence[str],
+    ts: str,
+    request_ts: str,
+    success: Column,
+    failure: Column,
+    as_of: Column,
+    call_failed: Column | None = None,
+    timeout_seconds: int = fixed.FLEET_WAIT_SECONDS,
+    labels: tuple[str, str, str, str] = (REACHED, ABORTED, TIMEOUT, TIMEOUT),
+) -> DataFrame:
+    """Waits of a history table whose deadline is not before ``as_of``: ``key.., request_ts, done, last_us, last_broken``.
+
+    A stream that goes on from there takes them as initial state and repeats no outcome that
+    ``track_history`` has stated already.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    samples = _samples(history, keys, ts, request_ts, success, failure, call_failed, timeout_seconds)
+    grouped = samples.groupBy(*keys, "request_ts").agg(*_facts()).where(F.col("_deadline") >= as_of)
+    return grouped.select(
+        *keys,
+        "request_ts",
+        (F.col("_good").isNotNull() | F.col("_bad").isNotNull()).alias("done"),
+        F.shiftright("_last", 1).alias("last_us"),
+        (F.pmod("_last", F.lit(2)) == 1).alias("last_broken"),
+    )
+
+
 def track_history(
     history: DataFrame,
     *,

@@ -673,6 +673,34 @@ def test_queue_changes_are_judged_in_order(spark):
     assert values(rejected, "cluster", "position", "reason") == [("new", 2, "already exists"), ("one", 3, "last queue"), ("two", 2, "last queue")]
 
 
+def test_a_million_changes_of_one_cluster(spark):
+    """One cluster holds all changes: they stream past the names that are present. Queues 0 to 999 are added, added again and removed, in turn."""
+    n = 1_000_000
+    turn = F.col("id") / 3
+    changes = spark.range(n).select(
+        F.lit("c").alias("cluster"), F.col("id").alias("position"), F.concat(F.lit("q"), F.pmod(F.floor(turn), F.lit(1000))).alias("queue"),
+        F.element_at(F.array(*map(F.lit, ("add", "add", "remove"))), (F.col("id") % 3 + 1).cast("int")).alias("action"),
+    )
+    have = spark.createDataFrame([("c", "first"), ("c", "first"), ("d", "alone"), ("c", None)], "cluster string, queue string")
+    new, rejected = queues.queue_apply(have, changes)
+    # the last change adds the queue of its turn
+    assert values(new, "cluster", "queue") == [("c", "first"), ("c", f"q{n // 3 % 1000}"), ("d", "alone")]
+    assert values(rejected.groupBy("reason").count(), "reason", "count") == [("already exists", n // 3)]
+
+
+def test_odd_changes(spark):
+    have = spark.createDataFrame([], "cluster int, queue string")
+    changes = spark.createDataFrame(
+        [(1, 2, "b", "add"), (1, None, "a", "add"), (1, 2, "a", "remove"), (1, 3, "b", "rename"), (1, 4, None, "add"), (None, 1, "x", "add"), (1, 5, "a", "remove")],
+        "cluster int, position int, queue string, action string",
+    )
+    new, rejected = queues.queue_apply(have, changes)
+    assert values(new, "cluster", "queue") == [(1, "b")]  # without a position first; of equal ones by queue
+    assert values(rejected, "position", "queue", "reason") == [(2, "a", "last queue")]
+    none = changes.limit(0)
+    assert [d.count() for d in queues.queue_apply(have, none)] == [0, 0]
+
+
 # --- policies and sets -------------------------------------------------------------------
 
 

@@ -133,3 +133,36 @@ def test_node_states_per_window(spark, tmp_path):
     stream = feed(spark, f"{tmp_path}/in", batches).withColumnRenamed("status", "line")
     got = run(spark, plans.node_state_stream(stream, key="key", ts="ts", window="1 hour"))
     assert values(got, "window_start", "usable", "unusable") == sorted([(at(0), 3, 3), (at(60), 5, 0)], key=repr)
+
+
+def test_a_live_tracker_goes_on_after_a_restart(spark, tmp_path):
+    """Two batches, a stop, and the rest from the same checkpoint: every outcome once."""
+    feed(spark, f"{tmp_path}/in", BATCHES)
+    os.makedirs(f"{tmp_path}/now")
+    out, log = scratch_path(spark, "out"), scratch_path(spark, "log")
+    for first, last in ((0, 2), (2, len(BATCHES))):
+        for n in range(first, last):
+            os.link(f"{tmp_path}/in/batch{n}.parquet", f"{tmp_path}/now/batch{n}.parquet")
+            os.utime(f"{tmp_path}/now/batch{n}.parquet", (1_800_000_000 + n, 1_800_000_000 + n))
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/now/batch*.parquet")
+        tracked = trackers.track_transitions_live(stream, key="key", ts="ts", request_ts="request_ts", **trackers.fleet_wait("status", "RUNNING"))
+        got = values(plans.run_to_files(tracked, out, log), "key", "request_ts", "outcome", "outcome_ts")
+        if last == 2:
+            assert got == sorted([("reached", at(0), "REACHED", at(20)), ("again", at(0), "REACHED", at(10)), ("tie", at(0), "REACHED", at(4))], key=repr)
+    assert got == sorted(FINAL, key=repr)
+
+
+def test_open_waits_are_carried_over(spark, tmp_path):
+    """What a history table knows is the initial state of the stream behind it."""
+    conditions = trackers.fleet_wait("status", "RUNNING")
+    names = {"key": "key", "ts": "ts", "request_ts": "request_ts"}
+    before = [(k, at(r), at(s), status, rc) for batch in BATCHES[:2] for k, r, s, status, rc in batch] + [("gone", at(-100), at(-99), "STARTING", 0)]
+    history = spark.createDataFrame(before, SCHEMA)
+    as_of = F.lit(at(11))
+    stated = trackers.track_history(history, **names, as_of=as_of, **conditions).where("outcome <> 'PENDING'")
+    waits = trackers.open_waits(history, **names, as_of=as_of, **conditions)
+    assert values(waits, "key", "done") == [("aborted", False), ("again", True), ("reached", True), ("slow", False), ("tie", True)]
+    stream = feed(spark, f"{tmp_path}/in", BATCHES[2:])
+    tracked = trackers.track_transitions_live(stream, **names, **conditions, open_waits=waits)
+    columns = ("key", "request_ts", "outcome", "outcome_ts")
+    assert sorted(values(stated, *columns) + values(run(spark, tracked), *columns), key=repr) == sorted([*FINAL, ("gone", at(-100), "TIMEOUT", at(-55.5))], key=repr)
