@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings.log_queries import LINES, lines
@@ -81,6 +82,100 @@ def paged_union(t: Tables):
     )
 
 
+def record_files(t: Tables) -> str:
+    """One file for each supplier, some of them broken; every thirteenth has none."""
+    key, number = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    fields = {
+        "cluster_name": F.when(key % 5 != 0, F.col("s_name")), "cluster_owner": F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")), "region": F.lit("us-east-1"),
+        "max_cpu_queue_size": F.when(key % 4 == 0, "many").otherwise(number),
+        "cpu_instance_types": F.when(key % 2 == 0, F.array(F.lit("a.large"), F.concat(F.lit("b."), number))),
+    }
+    whole = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    text = (
+        F.when(key % 7 == 3, F.left(whole, F.length(whole) - 3)).when(key % 11 == 5, F.concat(F.lit("["), whole, F.lit("]"))).when(key % 17 == 4, F.lit(" "))
+        .when(key % 19 == 6, F.lit('"text"')).otherwise(whole)
+    )
+    path = scratch_path(t.spark, "records")
+    rows = t.supplier.where(key % 13 != 2).select(text.alias("value"), F.concat(F.lit("s"), number).alias("cluster"))
+    rows.repartition("cluster").write.partitionBy("cluster").text(path)
+    return path
+
+
+RECORDS = """
+SELECT s_suppkey AS k, CASE WHEN s_suppkey % 13 = 2 THEN 'missing' WHEN s_suppkey % 7 = 3 OR s_suppkey % 11 = 5 OR s_suppkey % 17 = 4 OR s_suppkey % 19 = 6 THEN 'unreadable' END AS problem, * FROM supplier
+"""
+
+
+@query(
+    "scan_inventory",
+    f"""
+SELECT concat('s', k) AS cluster, problem, CASE WHEN problem IS NULL AND k % 5 <> 0 THEN s_name ELSE concat('s', k) END AS cluster_name,
+  CASE WHEN problem IS NULL THEN concat('nation-', s_nationkey) ELSE '' END AS cluster_owner, CASE WHEN problem IS NULL THEN 'us-east-1' ELSE '' END AS region,
+  'ubuntu' AS ec2_user, CAST(CASE WHEN problem IS NULL AND k % 4 <> 0 THEN k ELSE 0 END AS BIGINT) AS max_cpu_queue_size,
+  CASE WHEN problem IS NULL AND k % 2 = 0 THEN concat('a.large,b.', k) ELSE '' END AS cpu_types FROM ({RECORDS})
+""",
+)
+def scan_inventory(t: Tables):
+    """Records and broken or absent files of all suppliers, from one read."""
+    names = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("cluster_name"))
+    scan = readers.scan_inventory(t.spark, record_files(t), names, stem=r"cluster=([^/]+)/[^/]+$")
+    kept = ("cluster", "problem", "cluster_name", "cluster_owner", "region", "ec2_user", "max_cpu_queue_size")
+    return scan.select(*kept, F.array_join("cpu_instance_types", ",").alias("cpu_types"))
+
+
+def event_pages(t: Tables):
+    """Every event is a page of its user's chain and names the next one by time; chains are damaged by user."""
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = F.row_number().over(by_time)
+    pages = t.events.select("user_id", "event_id", n.alias("n"), F.lead("event_id").over(by_time).alias("after"), F.first("event_id").over(by_time).alias("first"))
+    kind = F.col("user_id") % 6
+    last = F.col("after").isNull()
+    follows = F.when((kind == 1) & last, F.col("event_id")).when((kind == 2) & last, F.col("first") * -1).otherwise(F.col("after"))
+    pages = pages.where(~((kind == 3) & (F.col("n") % 20 == 7)))
+    named = pages.select(
+        "user_id", "event_id", F.when((F.col("n") > 1) | (kind == 4), F.col("event_id").cast("string")).alias("token"),
+        F.when(follows < 0, "").otherwise(follows.cast("string")).alias("next_token"),
+    )
+    again = named.where((F.col("user_id") % 6 == 5) & (F.col("event_id") % 4 == 1))
+    return named.unionByName(again)
+
+
+PAGES = """
+o AS (SELECT user_id, event_id, row_number() OVER w AS n, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT user_id, event_id, CASE WHEN n > 1 OR user_id % 6 = 4 THEN CAST(event_id AS VARCHAR) ELSE '' END AS token,
+  coalesce(CASE WHEN after IS NULL AND user_id % 6 = 1 THEN CAST(event_id AS VARCHAR) ELSE CAST(after AS VARCHAR) END, '') AS next
+  FROM o WHERE NOT (user_id % 6 = 3 AND n % 20 = 7)),
+walk AS (SELECT user_id, token, next, 1 AS page_no FROM p WHERE token = ''
+  UNION ALL SELECT p.user_id, p.token, p.next, page_no + 1 FROM walk JOIN p ON p.user_id = walk.user_id AND p.token = walk.next AND walk.next <> '' AND walk.next <> walk.token)
+"""
+
+
+@query(
+    "order_pages",
+    f"""
+WITH RECURSIVE {PAGES}
+SELECT p.user_id, p.event_id, CAST(page_no AS BIGINT) AS page_no, CASE WHEN page_no IS NULL THEN 'unreached' END AS defect FROM p LEFT JOIN walk USING (user_id, token)
+UNION ALL SELECT user_id, event_id, NULL, 'repeated' FROM p WHERE user_id % 6 = 5 AND event_id % 4 = 1
+""",
+)
+def order_pages(t: Tables):
+    return readers.order_pages(event_pages(t), chain="user_id").select("user_id", "event_id", "page_no", "defect")
+
+
+@query(
+    "page_walks",
+    f"""
+WITH RECURSIVE {PAGES},
+e AS (SELECT user_id, count(*) AS n, arg_max(next, page_no) AS next, arg_max(token, page_no) AS token FROM walk GROUP BY 1),
+a AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE user_id % 6 = 5 AND event_id % 4 = 1) AS again FROM p GROUP BY 1)
+SELECT user_id, CAST(coalesce(e.n, 0) AS BIGINT) AS pages, CASE WHEN e.n IS NULL THEN 'no_start' WHEN next = '' THEN 'complete' WHEN next = token THEN 'cyclic' ELSE 'missing' END AS ending,
+  CASE WHEN next <> '' THEN next END AS stopped, CAST(again AS BIGINT) AS repeated, CAST(a.n - coalesce(e.n, 0) AS BIGINT) AS unreached FROM a LEFT JOIN e USING (user_id)
+""",
+)
+def page_walks(t: Tables):
+    return readers.page_walks(readers.order_pages(event_pages(t), chain="user_id"), chain="user_id")
+
+
 @query(
     "verify_manifest",
     """

@@ -117,3 +117,78 @@ def test_results_accumulate_by_build(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_records_and_broken_files_come_from_one_read(spark, tmp_path):
+    files = {
+        "alpha": '{"cluster_name": "alpha", "region": "eu", "max_cpu_queue_size": 7, "cpu_instance_types": ["a", "b"], "extra": {"x": 1}}',
+        "beta": '{\n  "cluster_owner": "ann",\n  "cpu_instance_types": "c, d"\n}', "cut": '{"cluster_name": "cut", "region": "e', "list": '[{"cluster_name": "list"}]',
+        "text": '"words"', "number": "5", "empty": "", "blank": " \n", "two": '{"region": "a"} {"region": "b"', "other": "{}",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    names = spark.createDataFrame([(n,) for n in [*files, "gone", "alpha"] if n != "other"], "cluster_name string")
+    scan = readers.scan_inventory(spark, str(tmp_path), names)
+    assert str(scan._jdf.queryExecution().executedPlan()).count("FileScan") == 1
+    good = {r["cluster_name"]: r for r in readers.records_of(scan).collect()}
+    assert set(good) == {"alpha", "beta"} and len(readers.records_of(scan).columns) == 19
+    assert (good["alpha"]["region"], good["alpha"]["max_cpu_queue_size"], good["alpha"]["cpu_instance_types"]) == ("eu", 7, ["a", "b"])
+    assert (good["beta"]["cluster_owner"], good["beta"]["cpu_instance_types"], good["beta"]["ec2_user"]) == ("ann", ["c", "d"], "ubuntu")
+    broken = {"cut", "list", "text", "number", "blank", "two"}
+    assert values(readers.unreadable_names(scan), "cluster", "problem") == sorted([(n, "unreadable") for n in broken] + [("gone", "missing"), ("empty", "missing")])
+    every = readers.scan_inventory(spark, str(tmp_path))
+    assert readers.records_of(every).count() == 3 and readers.unreadable_names(every).count() == len(broken)
+
+
+def walk(pages):
+    """Pages of one chain by a sequential walk: number of each token, and how it ends."""
+    by_token = {}
+    for token, after in pages:
+        by_token[token] = min(after, by_token.get(token, after))
+    numbers, token = {}, ""
+    while token in by_token and token not in numbers:
+        numbers[token] = len(numbers) + 1
+        token = by_token[token]
+        if not token:
+            break
+    if not numbers:
+        return numbers, "no_start", None
+    return numbers, "complete" if not token else "cyclic" if token in numbers else "missing", token or None
+
+
+def test_pages_are_ordered_as_a_walk_goes(spark):
+    import random
+
+    rng = random.Random(4)
+    chains = {
+        "long": [(str(k) if k else "", str(k + 1) if k < 200 else "") for k in range(201)], "one": [("", "")], "loop": [("", "a"), ("a", "b"), ("b", "a")], "self": [("", "a"), ("a", "a")],
+        "lost": [("", "a"), ("a", "x"), ("b", "")], "headless": [("a", "b"), ("b", "")], "twice": [("", "a"), ("a", "b"), ("a", "b"), ("b", "")], "home": [("", "a"), ("a", "")],
+        **{f"r{n}": [(rng.choice(["", *"abcdefgh"]), rng.choice(["", *"abcdefgh"])) for _ in range(9)] for n in range(30)},
+    }
+    rows = [(c, t or rng.choice([None, ""]), a or rng.choice([None, ""]), n) for c, pages in chains.items() for n, (t, a) in enumerate(pages)]
+    rng.shuffle(rows)
+    pages = spark.createDataFrame(rows, "c string, token string, next_token string, body int")
+    ordered = readers.order_pages(pages, chain="c").cache()
+    got = {}
+    for r in ordered.collect():
+        got.setdefault(r["c"], []).append((r["token"] or "", r["page_no"], r["defect"]))
+    ends = {r["c"]: (r["pages"], r["ending"], r["stopped"], r["repeated"], r["unreached"]) for r in readers.page_walks(ordered, chain="c").collect()}
+    for chain, of in chains.items():
+        numbers, ending, stopped = walk(of)
+        first = {t: n for t, n, d in got[chain] if d != "repeated"}
+        assert first == {t: numbers.get(t) for t, _ in of}, chain
+        assert len(got[chain]) == len(of) and all((d == "unreached") == (n is None) for _, n, d in got[chain] if d != "repeated")
+        unreached = sum(n is None for n in first.values())
+        assert ends[chain] == (len(numbers), ending, stopped, len(of) - len(first), unreached), chain
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    written = []
+    plain = readers.durable_copy
+    monkeypatch.setattr(readers, "durable_copy", lambda df, label: (written.append(label), plain(df, label))[1])
+    n = 3000
+    pages = spark.range(n).select(F.lit(1).alias("c"), F.when(F.col("id") > 0, F.col("id")).alias("token"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("next_token"))
+    ordered = readers.order_pages(pages, chain="c")
+    assert ordered.where("page_no = coalesce(token, 0) + 1").count() == n
+    assert written.count("reached") <= 15
+    assert readers.order_pages(pages.limit(0), chain="c").count() == 0
