@@ -71,6 +71,48 @@ def glob_to_regex(c: str | Column) -> Column:
     return F.concat(F.lit("^(?s:"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(")$"))
 
 
+def glob_parts(c: str | Column) -> Column:
+    """A wildcard pattern (``*`` any run, ``?`` one character) as its ``literal`` beginning and the ``segments`` between its runs."""
+    pattern = as_col(c)
+    return F.struct(F.regexp_extract(pattern, r"^[^*?]*", 0).alias("literal"), F.split(pattern, r"\*").alias("segments"))
+
+
+def glob_match(c: str | Column, parts: Column) -> Column:
+    """Whether a text fits a pattern of ``glob_parts``, without an expression that is compiled for each pattern.
+
+    The literal beginning decides most rows. The rest is a search for one segment after the other, each at
+    the first place behind the one before it; the first segment stands at the start, the last at the end.
+    """
+    value, segments = as_col(c), parts["segments"]
+    length, n = F.length(value), F.size(segments)
+    one = lambda text, at: F.substr(text, at, F.lit(1))
+
+    def fits(at: Column, segment: Column) -> Column:
+        """Whether the segment stands ``at`` characters into the value."""
+        size = F.length(segment)
+        same = lambda i: (one(segment, i) == "?") | (one(segment, i) == one(value, at + i))
+        wild = F.forall(F.sequence(F.lit(1), size), same)
+        there = F.substr(value, at + 1, size) == segment
+        return (at >= 0) & (at + size <= length) & ((size == 0) | F.when(F.contains(segment, F.lit("?")), wild).otherwise(there))
+
+    def behind(at: Column, segment: Column) -> Column:
+        """Where the first place of the segment from ``at`` on ends; -1 without one."""
+        size = F.length(segment)
+        literal = F.position(segment, value, at + 1) - 1
+        places = F.filter(F.sequence(at, length - size), lambda i: fits(i, segment))
+        wild = F.when(length - size >= at, F.coalesce(F.get(places, F.lit(0)), F.lit(-1))).otherwise(F.lit(-1))
+        found = F.when(F.contains(segment, F.lit("?")), wild).otherwise(literal)
+        return F.when(at < 0, -1).when(size == 0, at).when(found < 0, -1).otherwise(found + size)
+
+    first, last = F.get(segments, F.lit(0)), F.element_at(segments, -1)
+    start = F.when(fits(F.lit(0), first), F.length(first)).otherwise(F.lit(-1))
+    middle = F.slice(segments, F.lit(2), F.greatest(n - 2, F.lit(0)))
+    reached = F.aggregate(middle, start, behind)
+    ends = (reached >= 0) & (reached <= length - F.length(last)) & fits(length - F.length(last), last)
+    whole = F.when(n == 1, fits(F.lit(0), first) & (length == F.length(first))).otherwise(ends)
+    return F.startswith(value, parts["literal"]) & whole
+
+
 def has_prefix(c: str | Column, prefixes: Sequence[str]) -> Column:
     """True when the value starts with one of a fixed, short list of prefixes."""
     alternatives = "|".join(p.replace(".", r"\.") for p in prefixes)

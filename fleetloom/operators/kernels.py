@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions.text import as_col
 
-MIN_MAGNITUDE, MAX_MAGNITUDE = -1075, 1024  # base-2 exponents of a double
+BINS = 64  # parts of the values of a key that ranges are matched in
 
 
 def _names(value: str | Sequence[str]) -> list[str]:
@@ -78,12 +78,6 @@ def side_flags(sides: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     return tagged.groupBy(*keys).agg(*[F.max(F.col("_side") == name).alias(name) for name in sides])
 
 
-def magnitude(value: Column) -> Column:
-    """Base-2 exponent of a positive number, one bin below all of them for the rest."""
-    exponent = F.least(F.log2(value), F.lit(float(MAX_MAGNITUDE)))
-    return F.when(value > 0, F.floor(exponent).cast("int")).otherwise(F.lit(MIN_MAGNITUDE - 1))
-
-
 def range_match(
     df: DataFrame,
     ranges: DataFrame,
@@ -92,21 +86,32 @@ def range_match(
     value: str,
     low: str = "low",
     high: str = "high",
+    bins: int = BINS,
 ) -> DataFrame:
-    """Rows joined to the ranges ``low <= value < high`` of their key; an absent ``high`` is open.
-
-    The range side is spread over the powers of two it touches (at most about 2,100 rows per
-    range) and the join is an equi-join on key and power, so it neither compares all pairs
-    nor needs a small side; the exact bounds are checked after it. The planner does not see
-    that spreading, so the join is always a sort-merge, whose skew adaptive execution splits.
+    """Rows joined to the ranges ``low <= value < high`` of their key; an absent ``high`` is open, an absent ``low`` matches nothing.
+
+    The values of each key are cut into ``bins`` parts of about equal size, at quantiles of the data, so
+    values of like size do not gather in one part. A closed range goes to the parts that it
+    touches, each of which holds values. An open range makes no copies: it stands in the part of its
+    beginning, and a row asks for that part and for the earlier ones with open ranges, all of which
+    match. So copies are bounded by the parts or by the rows that come out. Parts are equi-joined with
+    an exact check behind; the planner does not see how far ranges spread, so the joins are
+    always sort-merge, whose skew adaptive execution splits.
     """
     keys = _names(key)
     number = as_col(value).cast("double")
     lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
-    first_bin = magnitude(F.coalesce(lo, F.lit(0.0))) - 1
-    last_bin = F.when(hi.isNull(), F.lit(MAX_MAGNITUDE + 1)).otherwise(magnitude(hi) + 1)
-    binned = ranges.where(hi.isNull() | (lo < hi)).withColumn("_bin", F.explode(F.sequence(first_bin, last_bin))).hint("merge")
-    left = df.where(number.isNotNull() & ~F.isnan(number)).withColumn("_bin", magnitude(number))
-    joined = left.join(binned, [*keys, "_bin"])
-    inside = (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) < F.col(high)))
-    return joined.where(inside).drop("_bin")
+    usable = df.where(number.isNotNull() & ~F.isnan(number))
+    cuts = F.array_distinct(F.percentile_approx(number, [i / bins for i in range(1, bins)], 10 * bins)).alias("_cuts")
+    edges = usable.groupBy(*keys).agg(cuts).hint("merge")
+    part = lambda x: F.size(F.filter("_cuts", lambda e: e <= x))
+    left = usable.join(edges, keys).withColumn("_part", part(number)).drop("_cuts")
+    placed = ranges.where(lo.isNotNull()).join(edges, keys).withColumn("_part", part(lo))
+    closed = placed.where(lo < hi).withColumn("_part", F.explode(F.sequence("_part", part(hi)))).drop("_cuts").hint("merge")
+    inside = (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
+    within = left.join(closed, [*keys, "_part"]).where(inside).drop("_part")
+    open_ = placed.where(hi.isNull()).drop("_cuts")
+    begins = open_.groupBy(*keys).agg(F.collect_set("_part").alias("_begins"))  # at most as many as bins
+    asking = left.join(begins.hint("merge"), keys).withColumn("_part", F.explode(F.filter("_begins", lambda b: b <= F.col("_part")))).drop("_begins")
+    above = asking.join(open_.hint("merge"), [*keys, "_part"]).where(F.col(value) >= F.col(low)).drop("_part")
+    return within.unionByName(above)

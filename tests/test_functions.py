@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -104,6 +106,16 @@ def test_keys_in_names(spark):
 def test_wildcards(spark, pattern, value, hit):
     df = spark.createDataFrame([(pattern, value)], "p string, v string")
     assert df.select(F.rlike("v", text.glob_to_regex("p"))).first()[0] is hit
+    assert df.select(text.glob_match("v", text.glob_parts("p"))).first()[0] is hit
+
+
+def test_wildcards_equal_their_expressions(spark):
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    rows = [(draw("ab*?é\n", 7), draw("abé\n", 9).rstrip("\n")) for _ in range(3000)]  # an expression lets a last line feed pass + [("", ""), ("*", ""), ("?", ""), ("**", "a"), ("a**b", "ab"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "p string, v string")
+    both = df.select("p", "v", F.rlike("v", text.glob_to_regex("p")).alias("regex"), text.glob_match("v", text.glob_parts("p")).alias("glob"))
+    assert both.where("NOT (regex <=> glob)").collect() == [] and both.where("glob").count() > 200
 
 
 @pytest.mark.parametrize(

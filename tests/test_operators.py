@@ -483,13 +483,28 @@ def test_range_match_with_many_overlapping_ranges(spark):
     ranges = spark.range(60).select(
         F.lit("k").alias("k"), (F.col("id") * 9.3 - 120).alias("low"), F.when(F.col("id") % 7 != 0, F.col("id") * 11.1 - 90).alias("high"), F.col("id").alias("n")
     )
-    matched = kernels.range_match(points, ranges, key="k", value="value")
+    matched = kernels.range_match(points, ranges, key="k", value="value", bins=8)
     assert "SortMergeJoin" in matched._jdf.queryExecution().executedPlan().toString()
     got = {(r["value"], r["n"]) for r in matched.collect()}
     spans = [(r["low"], r["high"], r["n"]) for r in ranges.collect()]
     assert got == {(v, n) for (v,) in points.select("value").collect() for lo, hi, n in spans if v >= lo and (hi is None or v < hi)}
 
 
+def test_ranges_of_skewed_values_and_open_ends(spark):
+    """Most values lie close together; open ranges are never copied, closed ones at most once for each part."""
+    rows = [("a", 1000.0 + k / 1000) for k in range(500)] + [("a", v) for v in (-5.0, 0.0, 1e12, float("nan"), None)] + [("b", 7.0)] * 3 + [("c", 1.0)]
+    spans = [("a", 1000.1, 1000.2, 0), ("a", 1000.0, None, 1), ("a", -1e300, None, 2), ("a", 3.0, 3.0, 3), ("a", 5.0, 4.0, 4), ("a", None, 9.0, 5), ("a", 2000.0, None, 6), ("b", 7.0, 7.5, 7), ("b", 7.1, None, 8), ("d", 0.0, None, 9)]
+    spans += [("a", 1000.0 + k / 100, 1000.0 + k / 100 + 0.05, 10 + k) for k in range(50)]
+    points = spark.createDataFrame(rows, "k string, value double")
+    ranges = spark.createDataFrame(spans, "k string, low double, high double, n int")
+    matched = kernels.range_match(points, ranges, key="k", value="value")
+    assert "CartesianProduct" not in (plan := matched._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    got = sorted((r["k"], r["value"], r["n"]) for r in matched.collect())
+    assert got == sorted((k, v, n) for k, v in rows if v is not None and v == v for of, lo, hi, n in spans if of == k and lo is not None and v >= lo and (hi is None or v < hi))
+    assert kernels.range_match(points.limit(0), ranges, key="k", value="value").count() == 0
+    assert kernels.range_match(points, ranges.limit(0), key="k", value="value").count() == 0
+
+
 # --- quality ---------------------------------------------------------------------------
 
 
@@ -720,6 +735,27 @@ def test_scope_of_a_statement(spark):
     assert dict(values(got, "arn", "allowed")) == dict(zip(names, [True, False, True, False]))
 
 
+def test_no_pattern_of_a_column_is_compiled(spark):
+    docs = spark.createDataFrame([("p", "s", ["a*", "?"])], "doc string, sid string, actions array<string>")
+    for df in (policy.action_grants(docs, ["ab"]), policy.arn_scope(docs.withColumnRenamed("actions", "condition_patterns"), spark.createDataFrame([("p", "ab")], "doc string, arn string"), sid="s")):
+        assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_prefixes_of_many_lengths(spark, monkeypatch):
+    """Five hundred lengths: a task passes on each prefix that it meets once, whatever the number of keys."""
+    asked = [("b", "x" * n, True) for n in range(1, 501)] + [("b", "x" * 3 + "y", True), ("b", "zz", True), ("c", "", True), ("b", "é", True), (None, "x", True), ("b", None, True)]
+    prefixes = spark.createDataFrame(asked, "bucket string, prefix string, required boolean")
+    keys = [("b", "x" * 40 + "y"), ("b", "x" * 3 + "yes"), ("b", "zy"), ("b", "zzz"), ("c", "any"), ("b", "ép"), ("b", None), (None, "x")] * 50
+    listing = spark.createDataFrame(keys, "bucket string, key string").repartition(3)
+    expected = {(b, p, "nonempty" if any(k is not None and b == o and k.startswith(p) for o, k in keys[:8]) else "empty") for b, p, _ in asked if b and p is not None}
+    for size in (policy.DICTIONARY_BYTES, 0):
+        monkeypatch.setattr(policy, "DICTIONARY_BYTES", size)
+        got = policy.prefix_status(prefixes, listing)
+        assert {(r["bucket"], r["prefix"], r["status"]) for r in got.collect() if r["bucket"] and r["prefix"] is not None} == expected
+    met = policy._met(listing, [r[:2] for r in asked if r[0] and r[1] is not None])
+    assert met.count() <= 3 * sum(s == "nonempty" for *_, s in expected) == 3 * 44
+
+
 def test_policy_size_counts_minified_bytes(spark):
     templates = spark.createDataFrame([("t", '{ "a" :  "<NAME>" }'), ("bad", "{ <NAME>")], "template string, text string")
     use = spark.createDataFrame([(1, "t", "é"), (2, "t", "x" * 6137), (3, "t", "x" * 6136), (4, "bad", "x"), (5, "gone", "x")], "id int, template string, name string")

@@ -115,6 +115,25 @@ def test_results_accumulate_by_build(spark):
     assert "PartitionFilters: [isnotnull(serial" in stored.where("serial = 's1'")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_an_append_reads_only_builds_of_its_batch(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/results"
+    kind = "cluster string, serial string, run_id string, v double"
+    everything = spark.createDataFrame([(f"c{k % 3}", f"00{k}", f"r{n}", float(n)) for k in range(6) for n in range(4)], kind)
+    sinks.append_results(everything.where("run_id < 'r2'"), path)  # a job that was cut short
+    os.makedirs(f"{path}/_temporary/0")  # and left this behind
+    sinks.append_results(everything, path)
+    sinks.append_results(everything, path)
+    assert values(spark.read.schema(kind).parquet(path), "cluster", "serial", "run_id", "v") == values(everything, "cluster", "serial", "run_id", "v")
+    batch = everything.where("cluster = 'c1' AND serial = '001'")
+    there = sinks.stored_runs(batch, path)
+    plan = there._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cluster" in (filters := plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]) and "001" in filters
+    assert values(there, "serial", "run_id") == [("001", f"r{n}") for n in range(4)]  # its folder name is text
+    monkeypatch.setattr(sinks, "NAMED_BUILDS", 2)
+    sinks.append_results(everything.withColumn("v", F.col("v") + 1), path)
+    assert spark.read.parquet(path).count() == everything.count()
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
