@@ -24,6 +24,7 @@ WINDOW = 8
 LEAST_SHARE = 0.5
 LEAST_LITERAL = 4  # words of a window that must not be placeholders
 BROADCAST_WINDOWS = 2_000_000  # windows of the benchmark that may be broadcast; more are joined by a shuffle
+LISTED_PAIRS = 50_000  # beginnings of windows that are listed in the plan to rule others out; with more, every window is joined
 
 _NUMBER, _NAME, _UNIT = "\ue010", "\ue011", "\ue012"  # of the private-use area
 # fixed values: units of measure and money
@@ -59,19 +60,43 @@ def template_words(text: str | Column) -> Column:
     return _words(F.regexp_replace(numbered, rf"{_NUMBER}(\s)(?i:{units})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$1{_UNIT}"))
 
 
+def _hashes(words: Column) -> Column:
+    """A hash of each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _windows(words: str, length: int | Column = WINDOW) -> Column:
-    """``(at, h)`` for the window of ``length`` words at every word."""
+    """``(at, h)`` for the window of ``length`` words at every word of ``words``, an array of hashes."""
     length = F.lit(length)
     hashed = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + F.lit(1), length)).alias("h"))
     starts = F.sequence(F.lit(0), F.size(words) - length)
     return F.when(F.size(words) >= length, F.transform(starts, hashed)).otherwise(F.array().cast("array<struct<at: int, h: bigint>>"))
 
 
+def _first(words: str, at: str, length: int) -> str:
+    """What is told of the first two words of a window (of the only word, where it has one), as SQL."""
+    return f"xxhash64(get({words}, {at}), get({words}, {at} + 1))" if length > 1 else f"get({words}, {at})"
+
+
+def _met_windows(words: str, length: int, wanted: list[int] | None) -> Column:
+    """``_windows`` whose first words are among ``wanted``; all, where no list is given.
+
+    A look at two words rules most windows out before one is cut and hashed.
+    """
+    if wanted is None:
+        return _windows(words, length)
+    if not wanted:
+        return F.array().cast("array<struct<at: int, h: bigint>>")
+    starts = f"CASE WHEN size({words}) >= {length} THEN sequence(0, size({words}) - {length}) ELSE array() END"
+    met = F.expr(f"filter({starts}, i -> {_first(words, 'i', length)} IN ({', '.join(f'{w}L' if w > -(1 << 63) else 'bigint(-9223372036854775807) - 1L' for w in wanted)}))")
+    return F.transform(met, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + F.lit(1), F.lit(length))).alias("h")))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """``h, item_id, item_at`` for every window of ``items`` (``item_id, words``) with enough literal words."""
+    """``h, key, item_at, first`` for every window of ``items`` (``key, words``, ``hashes`` of these) with enough literal words."""
     literal = lambda at: F.size(F.filter(F.slice("words", at + 1, WINDOW), lambda w: ~w.isin(_NUMBER, _NAME, _UNIT)))
-    rows = items.select("item_id", "words", F.inline(_windows("words")))
-    return rows.filter(literal(F.col("at")) >= LEAST_LITERAL).select("h", "item_id", F.col("at").alias("item_at")).distinct()
+    rows = items.select("key", "words", "hashes", F.inline(_windows("hashes")))
+    return rows.filter(literal(F.col("at")) >= LEAST_LITERAL).select("h", "key", F.col("at").alias("item_at"), F.expr(_first("hashes", "at", WINDOW)).alias("first"))
 
 
 def leaks(
@@ -87,12 +112,18 @@ def leaks(
     copies whose words stand in other case, which changes what counts as a name. An item of fewer than
     ``WINDOW`` words counts if all its words stand in the document as they are, apart from case and
     punctuation. Null and empty texts hold and meet nothing; rows with a null id are left out, or
-    with ``null_ids`` judged by their texts. Repeated rows give one row; of items with one id and several texts each text is looked for.
+    with ``null_ids`` judged by their texts. Repeated rows give one row; of items with one id and several texts each text is looked for. Items without an id are one item, whose id is null.
     """
     found = _leaks(docs, benchmark, least_share, id_column, text_column, item_column, item_text, any_case, null_ids)
     return found.select(F.when(F.col("known"), F.col("row")).alias("doc_id"), "item_id", "share", "at", "slots", "changed")
 
 
+def _listed(windows: DataFrame) -> list[int] | None:
+    """The beginnings of ``windows``, if they are few enough to list."""
+    found = windows.select("first").distinct().limit(LISTED_PAIRS + 1).collect()
+    return sorted(r["first"] for r in found) if len(found) <= LISTED_PAIRS else None
+
+
 def _row_key(doc_id: Column, text: Column) -> list[Column]:
     """``known, row``: a row's id, or the hash of its text where it has none."""
     return [doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.xxhash64(F.coalesce(text, F.lit("")))).alias("row")]
@@ -102,26 +133,30 @@ def _leaks(
     docs: DataFrame, benchmark: DataFrame, least_share: float, id_column: str, text_column: str, item_column: str, item_text: str, any_case: bool, null_ids: bool,
 ) -> DataFrame:
     """``leaks`` with ``known, row`` in place of ``doc_id``."""
-    items = id_and_text(benchmark, item_column, item_text).select(F.col("doc_id").alias("item_id"), "text").dropna().distinct()
+    items = id_and_text(benchmark, item_column, item_text).select(F.col("doc_id").alias("item_id"), "text").distinct()
     items = items.select("item_id", template_words("text").alias("words"), literal_words("text").alias("values")).filter(F.size("words") > 0)
     items = durable_copy(items.withColumn("key", F.xxhash64("item_id", "words", "values")), "items")
-    windows = item_windows(items.select(F.col("key").alias("item_id"), "words")).withColumnRenamed("item_id", "key")
-    if any_case:
-        literal = items.select("key", F.inline(_windows("values"))).select("h", "key", F.col("at").alias("item_at"))
-        windows = windows.unionByName(literal).distinct()
-    short = items.filter(F.size("values") < WINDOW).select("key", "values", F.size("values").alias("n"))
+    of = lambda name: items.select("key", name, _hashes(F.col(name)).alias("hashes"))
+    templates = item_windows(of("words"))
+    literal = of("values").select("key", "hashes", F.inline(_windows("hashes")))
+    literal = literal.select("h", "key", F.col("at").alias("item_at"), F.expr(_first("hashes", "at", WINDOW)).alias("first"))
+    short = of("values").filter(F.size("values") < WINDOW).select(F.xxhash64("hashes").alias("h"), "key", F.lit(0).alias("item_at"), "hashes", F.size("values").alias("n"))
     lengths = sorted(x["n"] for x in short.select("n").distinct().collect())  # WINDOW - 1 at most
-    windows = windows.unionByName(short.select(F.xxhash64("values").alias("h"), "key", F.lit(0).alias("item_at")))
+    # windows that documents state: of templates, of literal words, and of the lengths of short items
+    stated = [("th", WINDOW, templates.drop("item_at"))]
+    if any_case:
+        stated.append(("vh", WINDOW, literal.drop("item_at")))
+    stated += [("vh", n, short.filter(F.col("n") == n).select("h", "key", F.expr(_first("hashes", "0", n)).alias("first"))) for n in lengths]
+    windows = templates.drop("first").unionByName(short.select("h", "key", "item_at"))
+    if any_case:
+        windows = windows.unionByName(literal.drop("first"))
+    windows = durable_copy(windows.distinct(), "windows")
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     rows = id_and_text(docs, id_column, text_column)
     rows = (rows if null_ids else rows.filter("doc_id is not null")).select(*_row_key(F.col("doc_id"), F.col("text")), "text")
-    of = lambda words, *n: F.struct(words.alias("words"), F.array(*map(F.lit, n)).alias("lengths"))
-    stated = [of(template_words("text"), WINDOW)]
-    if any_case or lengths:
-        stated.append(of(literal_words("text"), *lengths, *[WINDOW] * any_case))
-    probes = rows.select("known", "row", F.inline(F.array(*stated))).select("known", "row", "words", F.explode("lengths").alias("n"))
-    probes = probes.select("known", "row", F.inline(_windows("words", F.col("n"))))
+    hashed = rows.select("known", "row", _hashes(template_words("text")).alias("th"), _hashes(literal_words("text")).alias("vh"))
+    probes = hashed.select("known", "row", F.inline(F.concat(*[_met_windows(name, n, _listed(of)) for name, n, of in stated])))
     met = probes.join(F.broadcast(windows) if few else windows, "h")
     shifts = durable_copy(met.select("known", "row", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
 
@@ -164,6 +199,7 @@ def drop_leaks(
 ) -> DataFrame:
     """Rows of ``docs`` that hold no item of ``benchmark``; columns unchanged. Rows with a null id stay, unless ``null_ids`` has them judged, too."""
     found = _leaks(docs, benchmark, least_share, id_column, text_column, "item_id", "text", any_case, null_ids)
-    found = found.select(F.col("known").alias("_known"), F.col("row").alias("_row")).distinct()
     known, row = _row_key(docs[id_column].cast("long"), docs[text_column])
-    return docs.join(found, (row == F.col("_row")) & (known == F.col("_known")), "left_anti")
+    # rows in one column, so that no name of theirs can clash
+    keyed = docs.select(known, row, F.struct(*[docs[c] for c in docs.columns]).alias("kept"))
+    return keyed.join(found.select("known", "row").distinct(), ["known", "row"], "left_anti").select("kept.*")

@@ -281,6 +281,95 @@ def test_short_items_lists_and_rows_without_an_id(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(2, "what is 12 times 8?"), (4, "short too"), (None, "nothing of it"), (None, None), (7, "")], key=str)
 
 
+def plain_words(text):
+    """Template and literal words as they are defined, by plain expressions."""
+    import regex
+
+    number, name, unit = decontaminate._NUMBER, decontaminate._NAME, decontaminate._UNIT
+    bare = lambda t: [w for w in regex.split(r"[ \t\n\x0b\f\r]+", regex.sub(rf"[^\p{{L}}\p{{N}} \t\n\x0b\f\r{number}{name}{unit}]+", "", t.lower())) if w]
+    t = regex.sub(r"(?<=[\p{L}\p{N},;:][ \t\n\x0b\f\r])\p{Lu}[\p{L}'-]*", name, text)
+    t = regex.sub(r"(?<![^ \t\n\x0b\f\r])[^ \t\n\x0b\f\r0-9]*[0-9][^ \t\n\x0b\f\r]*", number, t)
+    t = regex.sub(rf"{number}([ \t\n\x0b\f\r])(?:{'|'.join(sorted(decontaminate.UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", lambda m: number + m[1] + unit, t, flags=regex.I)
+    return bare(t), bare(text)
+
+
+def plain_leaks(docs, items, least=0.5, n=8):
+    """Every place of every item in every document, laid side by side."""
+    slots = {decontaminate._NUMBER, decontaminate._NAME, decontaminate._UNIT}
+    out = {}
+    cut = [(i, *plain_words(t)) for i, t in items]
+    for doc, text in docs:
+        dt, dv = plain_words(text or "")
+        at = {}
+        for words in (dt, dv):
+            for k in range(len(words)):
+                for size in range(1, n + 1):
+                    at.setdefault(tuple(words[k : k + size]), set()).add(k)
+        for item, t, v in cut:
+            shifts = set()
+            for k in range(len(t) - n + 1):
+                for words in (t, v):
+                    w = tuple(words[k : k + n])
+                    if words is v or sum(x not in slots for x in w) >= 4:
+                        shifts |= {p - k for p in at.get(w, ())}
+            if 0 < len(v) < n:
+                shifts |= at.get(tuple(v), set())
+            for shift in shifts:
+                places = range(max(0, -shift), min(len(t), len(dt) - shift))
+                agree = {k for k in places if t[k] == dt[k + shift] or v[k] == dv[k + shift]}
+                run = min(n, len(t))
+                held = sorted({j for k in places if all(k + d in agree for d in range(run)) for j in range(k, k + run)})
+                pairs = [(t[k], v[k], dv[k + shift]) for k in held if t[k] in slots]
+                both = len(set(pairs))
+                share = len(held) / len(t)
+                if share >= least and len({p[:2] for p in pairs}) == both == len({(p[0], p[2]) for p in pairs}):
+                    found = (share, -max(shift, 0), len(pairs), sum(a != b for _, a, b in pairs))
+                    out[doc, item] = max(out.get((doc, item), found), found)
+    return {k: (f[0], -f[1], f[2], f[3]) for k, f in out.items()}
+
+
+def test_leaks_query_equals_brute_force(spark, data):
+    """All columns, on all documents; and again with every window joined, and on texts made of parts of items."""
+    from fleetloom.llm.queries import QUERIES
+
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    items = [(i["item_id"], i["text"]) for i in items]
+    columns = lambda df: {(r["doc_id"], r["item_id"]): (r["share"], r["at"], r["slots"], r["changed"]) for r in df.collect()}
+    got = columns(QUERIES["op1_template_leaks"](spark, data))
+    assert got == plain_leaks([(d["doc_id"], d["text"]) for d in docs], items) and got
+
+
+def test_parts_of_items_equal_brute_force(spark, monkeypatch):
+    draw = np.random.default_rng(12)
+    items = [(1, ITEM), (2, "What is 12 times 7?"), (3, "one two three four five six seven eight nine ten"), (4, "a b"), (5, NEW), (6, "solo"), (7, "1 2 3 4 5 6 7 8 9 10")]
+    pool = " ".join(t for _, t in items).split() + ["A", "b.", "42", "Zed", "km", "nine"]
+    texts = [NEW, ITEM.upper(), "a b a b solo"]
+    for _ in range(60):
+        words = []
+        while len(words) < 60:
+            text = items[draw.integers(len(items))][1].split()
+            k = draw.integers(len(text))
+            words += text[k : k + draw.integers(1, 14)] + [str(w) for w in draw.choice(pool, draw.integers(0, 3))]
+        texts.append(" ".join(words))
+    docs = rows(spark, *enumerate(texts))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = plain_leaks(list(enumerate(texts)), items)
+    for most in (decontaminate.LISTED_PAIRS, 0):
+        monkeypatch.setattr(decontaminate, "LISTED_PAIRS", most)
+        found = decontaminate.leaks(docs, benchmark, any_case=True, null_ids=True).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["share"], r["at"], r["slots"], r["changed"]) for r in found} == expected and len(expected) > 60
+
+
+def test_items_without_an_id_and_clashing_names(spark):
+    benchmark = spark.createDataFrame([(None, ITEM), (None, "What is 12 times 7?"), (2, None)], "item_id long, text string")
+    texts = [(1, f"so {ITEM} and on"), (2, "What is 12 times 7?"), (3, "nothing"), (None, NEW)]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z", 1) for i, t in texts], "doc_id long, text string, row string, known string, kept string, _row int")
+    how = {"any_case": True, "null_ids": True}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark, **how).collect()} == {(1, None), (2, None), (None, None)}
+    kept = decontaminate.drop_leaks(docs, benchmark, **how)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(3, "nothing", "x", "y", "z", 1)]
+
+
 def test_leaks_query_finds_every_passage(spark, data):
     from fleetloom.llm.queries import QUERIES
 
