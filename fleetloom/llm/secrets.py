@@ -27,16 +27,18 @@ HEX = r"()([0-9a-f]{16,})"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 12
 
-TOKEN = r"()([A-Za-z0-9+/_=-]{20,})"
+LEAST_RUN = 16  # characters of a run that the models judge: those of the shortest fixed pattern
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WORD = r"[A-Za-z_]{8,}"
 SAMPLE_DOCS = 4_000  # documents that ordinary words are taken from, at most
 SAMPLE_VALUES = 5_000  # random values that are learned from, at most
-LEAST_RATIO = 10.0  # of log-likelihoods, in nats
+HELD_OUT = 5  # one in so many sample strings is kept to choose the limit
 UNSEEN_RANDOM, UNSEEN_ORDINARY = 0.3, 0.02  # weight of the uniform model in each
 
-_MARK, _INNER, _PLAIN = "\ue000", "\ue001", "\ue002"  # of the private-use area
-SPAN = "array<struct<start: int, kind: int, end: int>>"
+_MARK, _INNER, _PLAIN, _TAKEN = "\ue000", "\ue001", "\ue002", "\ue003"  # of the private-use area
+SPAN = "struct<start: int, kind: int, end: int>"
+_CHUNK = 64  # numbers that are added up at once
+_BLOCK = 64  # code points of a text that are cut at once
 
 
 def spans_of(text: Column, pattern: str, kind: int, least: int) -> Column:
@@ -45,24 +47,95 @@ def spans_of(text: Column, pattern: str, kind: int, least: int) -> Column:
     The pattern has two groups that cover it. Places are code points, the end exclusive. A text
     without a match is not taken apart.
     """
+    return F.transform(_matches(text, pattern, kind, least), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+
+
+def _matches(text: Column, pattern: str, kind: int, least: int) -> Column:
+    """``spans_of`` with the ``value`` of each second group."""
     marked = F.regexp_replace(text, pattern, f"{_MARK}$1{_INNER}$2{_MARK}")
-    inner = lambda p: F.length(F.substring_index(p, _INNER, -1))
+    size = lambda p: F.length(p) - F.contains(p, F.lit(_INNER)).cast("int")
+
+    def placed(parts: Column) -> Column:
+        def at(ends: Column) -> Column:
+            def match(part: Column, i: Column) -> Column:
+                end, value = F.get(ends, i), F.substring_index(part, _INNER, -1)
+                found = F.struct((end - size(part)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
+                return F.when(F.contains(part, F.lit(_INNER)) & (F.length(value) >= least), found)
+
+            return F.filter(F.transform(parts, match), lambda m: m.isNotNull())
+
+        return _let(_running(F.transform(parts, size), lambda a, b: a + b), at)
+
+    return F.when(F.rlike(text, F.lit(pattern)), _let(F.split(marked, _MARK), placed)).otherwise(F.array().cast(f"array<{_MATCH}>"))
+
+
+_MATCH = "struct<start: int, kind: int, end: int, value: string>"
 
-    def step(state: Column, part: Column) -> Column:
-        is_match = F.contains(part, F.lit(_INNER))
-        end = state["at"] + F.length(part) - is_match.cast("int")
-        span = F.struct(state["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        found = F.when(is_match & (inner(part) >= least), F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
 
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(F.split(marked, _MARK), start, step, lambda s: s["found"])).otherwise(none)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _running(values: Column, join) -> Column:
+    """What ``join`` makes of each number and all before it (0 counts for nothing).
+
+    An array that grows with a fold is copied in each of its steps. So only numbers are folded: over
+    chunks, over the chunks before, and within a chunk up to each place.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(0), join)
+    chunk = lambda i: F.floor(i / _CHUNK).cast("int")
+    numbered = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def whole(v: Column) -> Column:
+        chunks = chunk(F.size(v) - 1) + 1
+        each = F.transform(numbered(chunks), lambda j: fold(F.slice(v, j * _CHUNK + 1, F.lit(_CHUNK))))
+        before = lambda sums: F.transform(numbered(chunks), lambda j: fold(F.slice(sums, F.lit(1), j)))
+        within = lambda i: fold(F.slice(v, chunk(i) * _CHUNK + 1, i - chunk(i) * _CHUNK + 1))
+        placed = lambda held: F.transform(numbered(F.size(v)), lambda i: join(F.get(held, chunk(i)), within(i)))
+        return F.when(F.size(v) > 0, _let(_let(each, before), placed)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, whole)
 
 
 def plain(text: Column) -> Column:
     """``text`` (null: empty) with the marks' code points replaced one for one by another, so places stay."""
-    return F.translate(F.coalesce(text, F.lit("")), _MARK + _INNER, _PLAIN + _PLAIN)
+    return F.translate(F.coalesce(text, F.lit("")), _MARK + _INNER + _TAKEN, _PLAIN * 3)
+
+
+def _pieces(text: Column, spans: Column, between: Column | str) -> Column:
+    """``text`` with each of its ``spans`` (sorted, none within another's) replaced; ``between`` is a text, or a function of the span."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def joined(v: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            first = F.floor(start / _BLOCK).cast("int")
+            part = F.array_join(F.slice(v["blocks"], first + 1, F.floor((end - 1) / _BLOCK).cast("int") - first + 1), "")
+            return F.when(end > start, F.substr(part, start - first * _BLOCK + 1, end - start)).otherwise("")
+
+        n, span = F.size(v["spans"]), lambda i: F.get(v["spans"], i)
+        start = lambda i: F.when(i == 0, 0).otherwise(span(i - 1)["end"])
+        end = lambda i: F.when(i == n, v["size"]).otherwise(span(i)["start"])
+        filled = lambda i: F.when(i == n, "").otherwise(between(span(i)) if callable(between) else F.lit(between))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(cut(start(i), end(i)), filled(i))), "")
+
+    return _let(F.struct(blocks.alias("blocks"), spans.alias("spans"), F.length(text).alias("size")), joined)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, with those that overlap as one."""
+
+    def reach(ends: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1)))
+
+        def groups(first: Column) -> Column:
+            last = lambda k: F.coalesce(F.get(first, k + 1), F.size(spans)) - 1
+            return F.transform(first, lambda i, k: F.struct(F.get(spans, i)["start"].alias("start"), F.get(ends, last(k)).alias("end")))
+
+        return _let(fresh, groups)
+
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return F.when(F.size(spans) > 0, _let(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), reach)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -73,9 +146,10 @@ def base_spans(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Models:
-    """Log-likelihood ratio (random over ordinary) of each character after each; row-major over ``ALPHABET``."""
+    """Log-likelihood ratio (random over ordinary) of each character after each, row-major over ``ALPHABET``; from ``limit`` on a run is random."""
 
     ratios: tuple[float, ...]
+    limit: float = 0.0
 
     def ratio(self, token: Column) -> Column:
         """Sum of the ratios over all neighbouring characters of ``token`` (characters of ``ALPHABET`` only)."""
@@ -100,6 +174,10 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     such values, in at most ``SAMPLE_DOCS`` documents (by least hash of id). What reaches the
     driver is one count for each pair of characters. Without any sample all ratios are those of
     the uniform parts alone.
+
+    One in ``HELD_OUT`` of the strings (by hash) is not learned from and chooses the limit: between what all but
+    one in a thousand of the ordinary stay below and what nineteen in twenty of the random reach, judged for a run of
+    ``LEAST_RUN`` characters. Where those overlap, the ordinary decide.
     """
     rows = id_and_text(docs, id_column, text_column).select("doc_id", plain(F.col("text")).alias("text"))
     cut = lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"])
@@ -111,7 +189,8 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     some = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE_DOCS ids
     bare = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = some.select(F.explode(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0))).alias("value"))
-    counted = lambda sample, kind: _neighbours(sample).groupBy("pair").count().withColumn("kind", F.lit(kind))
+    held = F.pmod(F.xxhash64(F.lit("held out"), "value"), F.lit(HELD_OUT)) == 0
+    counted = lambda sample, kind: _neighbours(sample.filter(~held)).groupBy("pair").count().withColumn("kind", F.lit(kind))
     counts = {(r["kind"], r["pair"]): r["count"] for r in counted(random, "random").unionByName(counted(words, "ordinary")).collect()}
 
     size, ratios = len(ALPHABET), []
@@ -120,20 +199,36 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         for b in ALPHABET:
             likely = lambda k, u: u / size + (1 - u) * counts.get((k, a + b), 0) / totals[k] if totals[k] else u / size  # noqa: E731, B023
             ratios.append(log(likely("random", UNSEEN_RANDOM) / likely("ordinary", UNSEEN_ORDINARY)))
-    return Models(tuple(ratios))
+    models = Models(tuple(ratios))
+    each = models.ratio(F.col("value")) / (F.length("value") - 1) * (LEAST_RUN - 1)
+    judged = lambda sample, share: sample.filter(held & (F.length("value") > 1)).agg(F.percentile_approx(each, share, 10_000)).first()[0]
+    ordinary, reached = judged(words, 0.999), judged(random, 0.05)
+    ordinary = 0.0 if ordinary is None else ordinary
+    return Models(models.ratios, max(0.0, ordinary, ordinary if reached is None else (ordinary + reached) / 2))
+
+
+def _own_spans(text: Column, base: Column, models: Models, limit: float) -> Column:
+    """Runs of token characters that no base span touches and that the models call random.
+
+    Base spans are overwritten with a mark that counts as a token character, so that a run which one touches holds it.
+    """
+    taken = lambda s: F.repeat(F.lit(_TAKEN), s["end"] - s["start"])
+    free = F.when(F.size(base) > 0, _pieces(text, _merged(base), taken)).otherwise(text)
+    runs = _let(free, lambda t: _matches(t, rf"()([A-Za-z0-9+/_={_TAKEN}-]{{{LEAST_RUN},}})", 3, 0))
+    odd = F.filter(runs, lambda r: ~F.contains(r["value"], F.lit(_TAKEN)) & (models.ratio(r["value"]) >= limit))
+    return F.transform(odd, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
 
 
-def scan(docs: DataFrame, models: Models, least_ratio: float = LEAST_RATIO, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, models: Models, least_ratio: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, text, base, spans`` for every row: spans of the fixed kinds, and these with the models' own.
 
-    ``text`` is the text that was scanned, null as empty. The models judge runs of 20 or more token
-    characters that no fixed span touches. Spans are sorted by start, then kind; an empty text has none.
+    ``text`` is the text that was scanned, null as empty. The models judge runs of ``LEAST_RUN`` or more token
+    characters that no fixed span touches, by their own limit or ``least_ratio``. Spans are sorted by start, then kind; an empty text has none.
     """
-    rows = id_and_text(docs, id_column, text_column).withColumn("_plain", plain(F.col("text")))
-    rows = rows.withColumn("base", base_spans(F.col("_plain"))).withColumn("_runs", spans_of(F.col("_plain"), TOKEN, 3, 0))
-    apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    odd = lambda r: models.ratio(F.substr("_plain", r["start"] + 1, r["end"] - r["start"])) >= least_ratio
-    own = F.when(F.size("_runs") > 0, F.filter(F.filter("_runs", apart), odd)).otherwise(F.col("_runs"))
+    limit = models.limit if least_ratio is None else least_ratio
+    rows = id_and_text(docs, id_column, text_column).select("doc_id", "text", plain(F.col("text")).alias("plain"))
+    rows = rows.withColumn("base", base_spans(F.col("plain")))
+    own = _own_spans(F.col("plain"), F.col("base"), models, limit)
     return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", own)).alias("spans"))
 
 
@@ -143,29 +238,21 @@ def stated(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, models: Models, by: str = "<secret>", least_ratio: float = LEAST_RATIO, text_column: str = "text") -> DataFrame:
+def redact(docs: DataFrame, models: Models, by: str = "<secret>", least_ratio: float | None = None, text_column: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``by`` in the text; overlapping spans become one. Null text stays null.
 
     All rows and columns stay; a column ``n_chars`` is set to the new number of characters where the text changed.
     """
-    text = plain(docs[text_column])
-    named = docs.withColumn("_plain", text).withColumn("_base", base_spans(F.col("_plain"))).withColumn("_runs", spans_of(F.col("_plain"), TOKEN, 3, 0))
-    odd = lambda r: models.ratio(F.substr("_plain", r["start"] + 1, r["end"] - r["start"])) >= least_ratio
-    apart = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    named = named.withColumn("_spans", F.array_sort(F.concat("_base", F.filter(F.filter("_runs", apart), odd))))
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substr(F.col(text_column), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(piece, F.lit(by))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    finish = lambda s: F.concat(s["out"], F.substr(F.col(text_column), s["at"] + 1, F.length(text_column)))
-    changed = F.size("_spans") > 0
-    clean = F.when(changed, F.aggregate("_spans", start, step, finish)).otherwise(F.col(text_column))
-    named = named.withColumn("_clean", clean)
-    out = {text_column: F.col("_clean").alias(text_column)}
+    limit = models.limit if least_ratio is None else least_ratio
+    # rows in one column, so that no name of theirs can clash
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), plain(docs[text_column]).alias("plain"))
+    named = named.withColumn("base", base_spans(F.col("plain")))
+    named = named.select("row", F.array_sort(F.concat("base", _own_spans(F.col("plain"), F.col("base"), models, limit))).alias("spans"))
+    changed, text = F.size("spans") > 0, F.col("row")[text_column]
+    clean = F.when(changed, _pieces(text, _merged(F.col("spans")), by)).otherwise(text)
+    named = named.select("row", changed.alias("changed"), clean.alias("clean"))
+    out = {text_column: F.col("clean").alias(text_column)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out["n_chars"] = F.when(changed, F.length("_clean").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
-    return named.select(*[out.get(c, F.col(c)) for c in docs.columns])
+        out["n_chars"] = F.when(F.col("changed"), F.length("clean").cast(kind)).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return named.select(*[out.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
