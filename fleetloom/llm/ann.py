@@ -105,7 +105,7 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
 
 
 def _blocks(rows: DataFrame, hashing: Hashing, size: int) -> DataFrame:
-    """Rows as blocks: ids, vectors and codes as bytes. Vectors of another width than the learned one are left out."""
+    """Rows as blocks: ids, vectors, codes and their ``SubstringIndex`` as bytes. Vectors of another width than the learned one are left out."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -114,8 +114,9 @@ def _blocks(rows: DataFrame, hashing: Hashing, size: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             x = np.concatenate(xs)
-            parts = [np.concatenate(ids).astype("<i8").tobytes(), x.astype("<f8").tobytes(), hashing.codes(x).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["ids", "vectors", "codes"])
+            held = SubstringIndex.of(hashing.codes(x))
+            parts = [np.concatenate(ids).astype("<i8"), x.astype("<f8"), held.codes, held.rows, held.starts]
+            return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts], names=_names)
 
         for batch in batches:
             lists = batch.column(1)
@@ -132,45 +133,56 @@ def _blocks(rows: DataFrame, hashing: Hashing, size: int) -> DataFrame:
         if held:
             yield block()
 
-    return map_arrow(rows, build, "ids binary, vectors binary, codes binary")
+    _names = ["ids", "vectors", "codes", "rows", "starts"]
+    return map_arrow(rows, build, ", ".join(f"{n} binary" for n in _names))
 
 
-def _probe(q_codes: np.ndarray, codes: np.ndarray, reach: list[int], radius: int) -> np.ndarray:
-    """Which rows are within ``radius`` of which query: those that a substring's probed values hold, then checked in full."""
-    values = np.arange(256, dtype=np.uint8)
-    found = np.zeros((len(q_codes), len(codes)), dtype=bool)
-    for j, most in enumerate(reach):
-        if most >= 0:
-            probed = np.bitwise_count(q_codes[:, j, None] ^ values) <= most  # values to look up, for each query
-            found |= probed[:, codes[:, j]]
-    q, row = np.nonzero(found)
-    step = 1 << 20
-    for at in range(0, len(q), step):
-        i, r = q[at : at + step], row[at : at + step]
-        apart = np.bitwise_count(q_codes[i] ^ codes[r]).sum(axis=1)
-        found[i, r] = apart <= radius
-    return found
+class SubstringIndex:
+    """For each substring, the row numbers of a block in order of its value, and where each value begins."""
+
+    def __init__(self, codes: np.ndarray, rows: np.ndarray, starts: np.ndarray):
+        self.codes, self.rows, self.starts = codes, rows, starts
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> SubstringIndex:
+        rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
+        starts = [np.searchsorted(codes[r, j], np.arange(257)) for j, r in enumerate(rows)]
+        return cls(codes, rows, np.array(starts, dtype=np.int32).reshape(-1, 257))
+
+    def probe(self, code: np.ndarray, reach: list[int], radius: int) -> np.ndarray:
+        """Rows within ``radius`` of ``code``: those that a substring's probed values hold, then checked in full."""
+        found = np.zeros(len(self.codes), dtype=bool)
+        for j, most in enumerate(reach):
+            if most >= 0:
+                values = np.flatnonzero(_APART[code[j]] <= most)
+                # values side by side make one run of rows
+                runs = np.split(values, np.flatnonzero(np.diff(values) > 1) + 1)
+                for run in runs:
+                    found[self.rows[j, self.starts[j, run[0]] : self.starts[j, run[-1] + 1]]] = True
+        rows = np.flatnonzero(found)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+
+
+#: How many bits two values of a substring differ in.
+_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
 
 
 def _nearest(ids, x, q_ids, q, within, k) -> tuple[list, list, list]:
-    """The ``k`` rows of largest cosine for each query among ``within``; equal ones by id."""
-    about = (q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
-    within &= ids[None, :] != q_ids[:, None]
-    about[~within] = -np.inf
+    """The ``k`` rows of largest cosine for each query among its rows of ``within``; equal ones by id. No other row's cosine is worked out."""
     out: tuple[list, list, list] = ([], [], [])
-    for i in range(len(q)):
-        row = about[i]
-        n = int(within[i].sum())
-        if not n:
+    lengths = np.sqrt(np.multiply(x, x).sum(axis=1))
+    for i, rows in enumerate(within):
+        rows = rows[ids[rows] != q_ids[i]]
+        if not len(rows):
             continue
-        least = np.partition(row, len(row) - k)[len(row) - k] if n > k else row[within[i]].min()
-        pick = np.flatnonzero(row >= least - 1e-9)
+        if len(rows) > 4 * k:
+            about = (x[rows] @ q[i]) / (lengths[rows] * np.linalg.norm(q[i]))
+            rows = rows[about >= np.partition(about, len(rows) - k)[len(rows) - k] - 1e-9]
         # each cosine on its own, so that equal vectors have equal scores wherever they stand
-        dot = np.multiply(x[pick], q[i]).sum(axis=1)
-        score = dot / (np.sqrt(np.multiply(x[pick], x[pick]).sum(axis=1)) * np.sqrt(np.multiply(q[i], q[i]).sum()))
-        best = np.lexsort((ids[pick], -score))[:k]
+        score = np.multiply(x[rows], q[i]).sum(axis=1) / (lengths[rows] * np.sqrt(np.multiply(q[i], q[i]).sum()))
+        best = np.lexsort((ids[rows], -score))[:k]
         out[0].extend([int(q_ids[i])] * len(best))
-        out[1].extend(ids[pick][best].tolist())
+        out[1].extend(ids[rows][best].tolist())
         out[2].extend(score[best].tolist())
     return out
 
@@ -180,17 +192,18 @@ def _search(index: DataFrame, queries: DataFrame, hashing: Hashing, k: int, radi
     width, m, reach = hashing.width, hashing.bits // SUBSTRING, hashing.reach(radius)
     slots = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = index.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
-    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes")], F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     pairs = rows.join(asked.withColumn("slot", F.col("slot").cast("long")), "slot").drop("slot")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                ids, x, codes, q_ids, q, q_codes = (c[n].as_py() for c in batch.columns)
+                ids, x, codes, places, starts, q_ids, q, q_codes = (c[n].as_py() for c in batch.columns)
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
                 x, q = np.frombuffer(x, "<f8").reshape(-1, width), np.frombuffer(q, "<f8").reshape(-1, width)
                 codes, q_codes = np.frombuffer(codes, np.uint8).reshape(-1, m), np.frombuffer(q_codes, np.uint8).reshape(-1, m)
-                found = _nearest(ids, x, q_ids, q, _probe(q_codes, codes, reach, radius), k)
+                held = SubstringIndex(codes, np.frombuffer(places, np.int32).reshape(m, -1), np.frombuffer(starts, np.int32).reshape(m, -1))
+                found = _nearest(ids, x, q_ids, q, [held.probe(c, reach, radius) for c in q_codes], k)
                 kinds = (pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], names=["query_id", "vec_id", "score"])
 
@@ -203,7 +216,8 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: up to ``k`` nearest rows of ``vectors`` for every row of ``queries``, by cosine.
 
-    A query's own id is no candidate; equal cosines go by id. The code is learned from at most
+    A query's own id is no candidate; equal cosines go by id. Rows that share an id are rows of their own,
+    and queries that share one are answered together. The code is learned from at most
     ``sample_rows`` rows (least hash of id). ``radius`` bounds the Hamming distance of rows looked
     at; by default it is learned. A query that finds fewer than ``k`` rows in it is asked again
     without a bound. Rows that ``usable`` leaves out take no part on either side. No usable row or

@@ -2,8 +2,8 @@
 
 Rules judge what they fit. Every other page is judged by its host: trust flows from hosts
 with allowed pages along links, distrust flows from hosts with blocked pages against them (who
-links to bad hosts is suspect), both as personalised PageRank. A host is blocked if its
-distrust outweighs its trust.
+links to bad hosts is suspect), both as personalised PageRank. Both are parts of the same total, the pages
+that rules judge, so they can be compared. A host is blocked if its distrust outweighs its trust.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from fleetloom.session import durable_copy
 #: (action, host and path); the path starts at the slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-3  # largest change of a rank in a round, relative to the rank, at which ranks are taken as settled
+MOST_ROUNDS = 400
 KEEP_EVERY = 4  # rounds between tables that cut the lineage
+CLOSE = 1e-9  # differences of trust and distrust below this share of their sum are none
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -62,9 +64,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(kin).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust``: personalised PageRank of both kinds over all hosts reached from a seed.
 
+    Rounds go on until no host is new and no rank changes by more than ``tolerance`` of itself, so hosts far from a
+    seed and hosts of small rank count as others do. What each round adds is ``damping`` of what the one
+    before it added, so that comes; ranks are not rounded.
+
     ``seeds``: ``host, trusted, blocked`` (numbers of pages). What a host without out-links holds
     returns to nobody. A host with very many links is summed up before each shuffle.
     """
@@ -75,25 +81,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     steps = durable_copy(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
 
     stacked = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trusted", F.lit("distrust"), "blocked")).alias("kind", "n")).filter("n > 0")
-    total = stacked.groupBy("kind").agg(F.sum("n").alias("total"))
-    start = durable_copy(stacked.join(total, "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed")), "seeds")
-    rank = start.select("kind", "host", F.col("seed").alias("rank"))
-    for turn in range(1, rounds + 1):
+    total = stacked.agg(F.sum("n").alias("total"))
+    start = durable_copy(stacked.select("kind", "host", (F.col("n") / total.scalar()).alias("seed")), "seeds")
+    rank = start.select("kind", "host", F.col("seed").alias("rank"), F.lit(0.0).alias("before"))
+    for turn in range(1, MOST_ROUNDS + 1):
         moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
-        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        home = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-        rank = moved.unionByName(home).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if turn % KEEP_EVERY == 0 and turn < rounds:
+        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before"))
+        home = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
+        was = rank.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+        rank = moved.unionByName(home).unionByName(was).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        if turn % KEEP_EVERY == 0:
             rank = durable_copy(rank, "rank")
-    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)), 12).alias(kind)
+            moving = F.abs(F.col("rank") - F.col("before")) > tolerance * F.greatest("rank", "before")
+            if rank.filter(moving).isEmpty():
+                break
+    else:
+        raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 0.0, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = 0.0, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row of ``pages`` (``page_id, url, html``).
 
     A page that a rule fits gets that rule's verdict. Another is blocked if its host's trust less
-    distrust is under ``threshold``; a host that nothing reaches, or an empty one, has 0 of both.
+    distrust, as a share of their sum, is under ``threshold``; a host that nothing reaches, or an empty one, has 0 of both.
     Null html has no links. Repeated rows count as so many pages and each get a row.
     """
     host, path = host_and_path("url")
@@ -102,8 +114,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.0, damping: float
     urls = urls.withColumns({"rule": rule, "action": action})
     count = lambda verdict: F.sum((F.col("action") == verdict).cast("long"))
     seeds = urls.filter("action is not null and host != ''").groupBy("host").agg(count("allow").alias("trusted"), count("block").alias("blocked"))
-    ranks = durable_copy(propagate(host_edges(pages), seeds, damping, rounds), "hosts")
+    ranks = durable_copy(propagate(host_edges(pages), seeds, damping, tolerance), "hosts")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     found = urls.join(ranks, "host", "left").select("page_id", "host", "path", "rule", "action", zero("trust"), zero("distrust"))
-    by_host = F.when(F.col("trust") - F.col("distrust") < threshold, "block").otherwise("allow")
+    share = F.coalesce(F.try_divide(F.col("trust") - F.col("distrust"), F.col("trust") + F.col("distrust")), F.lit(0.0))
+    by_host = F.when(share < threshold - CLOSE, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
