@@ -8,7 +8,7 @@ from bindings.inventory_queries import BLANKS
 from bindings.log_queries import LINES, lines
 from bindings.registry import Tables, query
 from fleetloom.functions.text import field, fields
-from fleetloom.operators import benchmarks
+from fleetloom.operators import benchmarks, kernels
 from fleetloom.plans import reports
 
 
@@ -187,3 +187,23 @@ def expected_band(t: Tables):
     measured = t.events.select("event_id", metric.alias("metric"), "value")
     matched = benchmarks.expected_band(measured)
     return matched.select("event_id", "metric", "value", "band")
+
+
+@query(
+    "range_match",
+    """
+WITH r AS (SELECT c_custkey, CASE c_nationkey % 2 WHEN 0 THEN 'error' ELSE 'view' END AS kind, abs(c_acctbal) / 20 AS low,
+  CASE WHEN c_nationkey <> 7 THEN abs(c_acctbal) / 20 + c_custkey % 5 END AS high FROM customer WHERE c_mktsegment = 'BUILDING'),
+m AS (SELECT event_id, value, low, high FROM events JOIN r ON event_type = kind AND value >= low AND (high IS NULL OR value < high))
+SELECT event_id, count(*) AS ranges, count(high) AS closed, round(sum(low), 2) AS lows FROM m GROUP BY 1
+""",
+)
+def range_match(t: Tables):
+    """Values of events against ranges made of customers, some of them open; what each event meets is counted."""
+    low = F.abs("c_acctbal") / 20
+    ranges = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(
+        F.when(F.col("c_nationkey") % 2 == 0, "error").otherwise("view").alias("event_type"), low.alias("low"),
+        F.when(F.col("c_nationkey") != 7, low + F.col("c_custkey") % 5).alias("high"),
+    )
+    met = kernels.range_match(t.events.select("event_id", "event_type", "value"), ranges, key="event_type", value="value")
+    return met.groupBy("event_id").agg(F.count("*").alias("ranges"), F.count("high").alias("closed"), F.round(F.sum("low"), 2).alias("lows"))

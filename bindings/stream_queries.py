@@ -186,3 +186,41 @@ def node_state_stream(t: Tables):
     lines = node_lines(event_stream(t)).select("user_id", "ts", "line")
     counted = plans.node_state_stream(lines, key="user_id", ts="ts", window="1 day")
     return finish(t, counted, "states").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "late_rows",
+    """
+WITH e AS (SELECT event_id % 4 AS part, ts, date_trunc('day', ts) + INTERVAL 1 DAY AS due FROM events),
+m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark FROM e GROUP BY 1),
+l AS (SELECT *, coalesce(due <= mark, false) AS late, due <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e) AS over FROM e JOIN m USING (part))
+SELECT count(*) AS read, count(*) FILTER (WHERE NOT late AND over) AS closed, count(*) FILTER (WHERE NOT late AND NOT over) AS open, count(*) FILTER (WHERE late) AS late FROM l
+""",
+)
+def late_rows(t: Tables):
+    """Events that arrive in four parts, each over all days; the stream stops after each and goes on from its checkpoint."""
+    source, out, log = (scratch_path(t.spark, name) for name in ("arriving", "counted", "counted-log"))
+    lines = node_lines(t.events.withColumn("ts", F.col("ts").cast("timestamp"))).select("event_id", "user_id", "ts", "line")
+    read = 0
+    for part in range(4):
+        lines.where(F.col("event_id") % 4 == part).write.parquet(f"{source}/{part}")
+        stream = plans.observed_input(t.spark.readStream.schema(lines.schema).parquet(f"{source}/*"))
+        counted = plans.node_state_stream(stream, key="user_id", ts="ts", window="1 day", count_lines=True)
+        closed, rows = plans.run_and_count(counted, out, log)
+        read += rows
+    return plans.late_rows(read, closed, log)
+
+
+@query(
+    "open_waits",
+    """
+WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
+s AS (SELECT *, date_trunc('day', ts) + INTERVAL 6 HOUR AS request FROM events)
+SELECT user_id, strftime(request, '%Y-%m-%d %H:%M:%S') AS request_ts, bool_or(event_type IN ('error', 'purchase')) AS done, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, false AS last_broken
+FROM s, w WHERE ts >= request AND ts <= request + INTERVAL 12 HOUR AND request + INTERVAL 12 HOUR >= mark GROUP BY 1, request
+""",
+)
+def open_waits(t: Tables):
+    rows = history(t)
+    waits = trackers.open_waits(rows, key="user_id", ts="ts", request_ts="request_ts", as_of=mark(rows), **fleet_conditions())
+    return waits.withColumn("request_ts", F.date_format("request_ts", "yyyy-MM-dd HH:mm:ss"))

@@ -62,6 +62,8 @@ STREAM_FILE, IOR_FILE, COMMAND_FILE = "stream.txt", "ior.txt", "cmd.txt"
 LATENCY_FILE, BANDWIDTH_FILE = "osu/latency.txt", "osu/bandwidth.txt"
 LATENCY_GPU_FILE, BANDWIDTH_GPU_FILE = "osu/latency_cuda.txt", "osu/bandwidth_cuda.txt"
 HPCG_FILE_PATTERN = r"^hpcg/HPCG-Benchmark_[^/]*\.txt$"
+#: All that state a metric of the report, for a scan that opens no others.
+METRIC_FILES = (STREAM_FILE, IOR_FILE, COMMAND_FILE, LATENCY_FILE, BANDWIDTH_FILE, LATENCY_GPU_FILE, BANDWIDTH_GPU_FILE, "hpcg/HPCG-Benchmark_*.txt")
 STREAM_KERNELS = ("Copy", "Scale", "Add", "Triad")
 
 

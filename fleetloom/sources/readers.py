@@ -105,15 +105,19 @@ def unreadable_names(scan: DataFrame) -> DataFrame:
 SEQ_RANGE = Decimal(2**63)
 
 
-def scan_tool_text(spark: SparkSession, path: str, *, root: str = "") -> DataFrame:
+def scan_tool_text(spark: SparkSession, path: str, *, root: str = "", files: Sequence[str] = ()) -> DataFrame:
     """Lines below ``path`` with the run keys of their file and a position within it.
 
     Files are split like any other input, so a huge one does not become one row. ``block``
     is the start of the split and ``seq`` grows within it; ``place`` is both in one number, which
     orders the lines of a file and serves wherever an operator asks for a position. Use
-    ``number_lines`` only where a dense line number is wanted.
+    ``number_lines`` only where a dense line number is wanted. ``files`` names the files wanted (patterns
+    are allowed, without their folders); others are left out when files are listed and never opened.
     """
-    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    if files:
+        reader = reader.option("pathGlobFilter", "{" + ",".join(sorted({f.rpartition("/")[2] for f in files})) + "}")
+    lines = reader.text(path)
     lines = lines.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # Queries that run a stream or write files while they are built; their plan is only the read back.
 WITH_ACTIONS = {
     "track_transitions", "track_transitions_live", "track_update", "outcome_of_create", "outcome_of_delete", "plan_actions", "node_state_stream",
-    "scan_tool_text", "write_report", "append_results", "scan_inventory", "order_pages", "page_walks",
+    "scan_tool_text", "write_report", "append_results", "scan_inventory", "order_pages", "page_walks", "late_rows",
 }
 
 

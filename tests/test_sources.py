@@ -211,3 +211,16 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
     assert ordered.where("page_no = coalesce(token, 0) + 1").count() == n
     assert written.count("reached") <= 15
     assert readers.order_pages(pages.limit(0), chain="c").count() == 0
+
+
+def test_only_files_with_metrics_are_opened(spark, tmp_path):
+    run = tmp_path / "results" / "c" / "s" / "20260701_1"
+    texts = {"stream.txt": "Copy: 5.0 x", "osu/latency.txt": "8 1.5", "osu/other.txt": "8 9.9", "hpcg/HPCG-Benchmark_3.1.txt": "GFLOP/s rating of=7.0", "log.txt": "x" * 1000, "hpcg/notes.txt": "n"}
+    for name, text in texts.items():
+        (run / name).parent.mkdir(parents=True, exist_ok=True)
+        (run / name).write_text(text + "\n")
+    scan = readers.scan_tool_text(spark, str(tmp_path / "results"), root="results", files=benchmarks.METRIC_FILES)
+    wanted = {"stream.txt", "osu/latency.txt", "hpcg/HPCG-Benchmark_3.1.txt"}
+    assert {f.split("/20260701_1/")[1] for f in scan.inputFiles()} == wanted
+    got = one(benchmarks.benchmark_summary(scan, pos="place"))
+    assert (got["stream_copy_mbs"], got["latency_us"], got["hpcg_rating"]) == (5.0, 1.5, "7.0")
