@@ -30,7 +30,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id`` (long) and ``text`` (null becomes empty); no other column of ``docs`` is read."""
+    """``doc_id`` (long) and ``text`` (null becomes empty); no other column of ``docs`` is read.
+
+    Ids are numbers, or text that states one; another text ends the job.
+    """
     text = F.coalesce(docs[text_column], F.lit(""))
     return docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"))
 

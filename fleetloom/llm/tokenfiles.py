@@ -150,7 +150,7 @@ def write_token_files(
     """Encode all documents in ascending order of id and write them as token files below ``path``.
 
     Rows are dealt by ranges of the id and sorted in their range, so files follow one another
-    as ``(part, seq)``. A null id comes first; repeated ids stand by text. Null and empty texts
+    as ``(part, seq)``. A null id comes first; repeated ids stand by a hash of their text. Null and empty texts
     are written with the end id alone. A file closes at ``image_ids`` ids, between documents.
     """
 
@@ -185,8 +185,10 @@ def write_token_files(
             yield image()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = id_and_text(docs, id_column, text_column).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, encode, "part long, seq long, n_ids long, image binary").write.option("compression", "none").parquet(path)
+    # rows of one id may be very many, those without one as well: they are dealt by a hash of their text
+    keyed = id_and_text(docs, id_column, text_column).withColumn("_hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    map_arrow(ordered.select("doc_id", "text"), encode, "part long, seq long, n_ids long, image binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -131,6 +131,16 @@ def test_held_out_accuracy(spark, data):
     assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in judged]) >= 0.9
 
 
+def test_repeated_ids_teach_once(spark):
+    """Very many rows of one labelled id send one row to the driver, the same in any order."""
+    rows_of = [(4, f"text number {k}") for k in range(300)] + [(6, "Another one. Of two lines.")]
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, quality int")
+    found = [quality.learn(rows(spark, *some).repartition(n), labels) for some, n in ((rows_of, 1), (rows_of[::-1], 3))]
+    texts = [f"sample {k}" for k in range(5)]
+    scores = [[r["score"] for r in quality.score(rows(spark, *enumerate(texts)), f).orderBy("doc_id").collect()] for f in found]
+    assert scores[0] == scores[1]
+
+
 def test_quality_of_odd_rows(spark):
     docs = rows(spark, (1, "A clean text, with a sentence. And another one."), (2, "BAD!! BAD!! BAD!!"), (3, None), (4, ""), (None, "no id"), (2, "BAD!! BAD!! BAD!!"))
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (99, 0)], "doc_id long, quality int")
