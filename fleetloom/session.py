@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,11 +45,14 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse.
+    """The folder every executor can reach: ``spark.checkpoint.dir``; in local mode, where that is unset, one below the warehouse.
 
-    The warehouse is shared by driver and executors as well. No setting of the session is changed.
+    On a cluster the warehouse may be a folder of the driver alone, so there the setting is required.
+    No setting of the session is changed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
