@@ -132,6 +132,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _repair_sql() -> str:
+    """Damage by crc32, faults, then the four states of the grammar row by row, each with its least cost and edits."""
+    crc = """xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b:
+      xor(a >> 8, list_reduce([xor(a, b) & 255] || range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))), 4294967295)"""
+    way = lambda state, price, edits: f"{{'c': {state}.c + {price}, 'e': {state}.e || '{edits}'}}"
+    never = "{'c': 1000000000, 'e': ''}"
+    #: insertions after which each state may take a turn of the user or of the assistant
+    before = {"u": [("s0", 0), ("ss", 0), ("sa", 0), ("su", 1), ("s0", 2), ("ss", 2), ("sa", 2)], "a": [("su", 0), ("s0", 1), ("ss", 1), ("sa", 1), ("su", 2)]}
+
+    def least(state: str, initial: str) -> str:
+        ways = [way(state, 2, "D")]
+        for source, n in before.get(initial, []):
+            ways.append(f"CASE WHEN gone THEN {never} ELSE {way(source, f'{5 * n + 1} + extra', 'I' * n + 'R')} END")
+        for source, n in before.get(initial, [("s0", 0)]):
+            ways.append(f"CASE WHEN gone OR init <> '{initial}' THEN {never} ELSE {way(source, f'{5 * n} + extra', 'I' * n + 'K')} END")
+        return f"list_min([{', '.join(ways)}])"
+
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT *, {crc} % 20 AS kind FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, left(role, 1) AS init,
+  regexp_replace(text, '[ 	-]+$', '') AS bare FROM damaged),
+marked AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again FROM numbered),
+r AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+  CASE WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 5 END AS extra, n > 1 AND lag(init) OVER (PARTITION BY conv_id ORDER BY n) || init NOT IN ('su', 'ua', 'au') AS odd FROM marked),
+v AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'e': ''}} AS s0, CAST({never} AS STRUCT(c BIGINT, e VARCHAR)) AS ss, CAST({never} AS STRUCT(c BIGINT, e VARCHAR)) AS su,
+    CAST({never} AS STRUCT(c BIGINT, e VARCHAR)) AS sa FROM conversations
+  UNION ALL SELECT v.conv_id, r.n, {way('s0', 2, 'D')}, {least('ss', 's')}, {least('su', 'u')}, {least('sa', 'a')}
+  FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.n = v.n + 1),
+ends AS (SELECT conv_id, list_min([s0, sa, {way('su', 5, 'I')}, {way('ss', 10, 'II')}]) AS s FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+letters AS (SELECT conv_id, unnest(range(1, length(s.e) + 1)) AS p, s.e AS e FROM ends),
+placed AS (SELECT conv_id, p, e[p] AS edit, length(replace(e[1:p], 'I', '')) AS n, length(replace(e[1:p], 'D', '')) AS place FROM letters),
+said AS (SELECT l.*, r.role, r.text, max(l.place = 1 AND l.edit = 'K' AND r.init = 's') OVER (PARTITION BY l.conv_id) AS system
+  FROM placed l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.n = l.n AND l.edit <> 'I' WHERE l.edit <> 'D'),
+turns AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place % 2 = 1) <> system THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS t FROM said GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+  count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE odd) AS illegal FROM r GROUP BY 1)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  s.c AS cost, s.e AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 # Scores, fingerprints under a seeded hash, token ids, packings and learned models are beyond SQL; those queries are tested against brute force.
 SQL: dict[str, str] = {
     "op3_repeated_passages": r"""
@@ -150,4 +196,5 @@ m AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN m USING (d)
 """,
+    "op12_conversation_repair": _repair_sql(),
 }
