@@ -42,19 +42,15 @@ def ondemand_price(
 ) -> DataFrame:
     """``types`` with ``od_price`` or the ``reason`` there is none.
 
-    The fixed terms are filters on the catalog scan; one document per type and location
-    (smallest sku) is kept before the join, and only kept documents are parsed.
+    The fixed terms are filters on the catalog scan. A document gives up its price in the task that
+    reads it, so documents never travel; the price of the smallest sku per type and location is joined.
     """
     wanted = catalog
     for column, value in terms.items():
         wanted = wanted.where(F.col(column) == value)
-    offers = first_per_key(wanted, key=["instance_type", "location"], order="sku", value="doc")
-    priced = offers.select(
-        F.col("instance_type").alias(instance_type),
-        F.col("location").alias("_location"),
-        F.lit(True).alias("_found"),
-        price_of_document("doc").alias("od_price"),
-    )
+    stated = wanted.select("instance_type", "location", "sku", price_of_document("doc").alias("od_price"))
+    offers = first_per_key(stated, key=["instance_type", "location"], order="sku", value="od_price")
+    priced = offers.select(F.col("instance_type").alias(instance_type), F.col("location").alias("_location"), F.lit(True).alias("_found"), "od_price")
     located = types.withColumn("_location", location_of(region, locations))
     reason = (
         F.when(F.col("_location").isNull(), "region not in location map")
