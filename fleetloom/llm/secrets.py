@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.llm.common import id_and_text
+from fleetloom.session import durable_copy
 
 # fixed values: the patterns of the three kinds
 _NAME = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
@@ -183,7 +184,8 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     cut = lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"])
     found = rows.select(F.explode(F.transform(base_spans(F.col("text")), cut)).alias("value"))
     value = F.regexp_extract("value", r"([A-Za-z0-9+/_=-]+)$", 1)
-    random = found.select(value.alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(SAMPLE_VALUES)
+    # written, for all documents are searched for it and it is read twice
+    random = durable_copy(found.select(value.alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(SAMPLE_VALUES), "values")
 
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     some = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE_DOCS ids
