@@ -16,7 +16,7 @@ from fleetloom.session import durable_copy
 #: (action, host and path); the path starts at the slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-TOLERANCE = 1e-3  # largest change of a rank in a round, relative to the rank, at which ranks are taken as settled
+TOLERANCE = 1e-3  # largest change of a rank from one table to the next, relative to the rank, at which ranks are taken as settled
 MOST_ROUNDS = 400
 KEEP_EVERY = 4  # rounds between tables that cut the lineage
 CLOSE = 1e-9  # differences of trust and distrust below this share of their sum are none
@@ -67,7 +67,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust``: personalised PageRank of both kinds over all hosts reached from a seed.
 
-    Rounds go on until no host is new and no rank changes by more than ``tolerance`` of itself, so hosts far from a
+    Rounds go on until in ``KEEP_EVERY`` of them no host is new and no rank changes by more than ``tolerance`` of itself, so hosts far from a
     seed and hosts of small rank count as others do. What each round adds is ``damping`` of what the one
     before it added, so that comes; ranks are not rounded.
 
@@ -83,18 +83,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     stacked = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trusted", F.lit("distrust"), "blocked")).alias("kind", "n")).filter("n > 0")
     total = stacked.agg(F.sum("n").alias("total"))
     start = durable_copy(stacked.select("kind", "host", (F.col("n") / total.scalar()).alias("seed")), "seeds")
-    rank = start.select("kind", "host", F.col("seed").alias("rank"), F.lit(0.0).alias("before"))
-    for turn in range(1, MOST_ROUNDS + 1):
-        moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
-        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before"))
-        home = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
-        was = rank.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
-        rank = moved.unionByName(home).unionByName(was).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
-        if turn % KEEP_EVERY == 0:
-            rank = durable_copy(rank, "rank")
-            moving = F.abs(F.col("rank") - F.col("before")) > tolerance * F.greatest("rank", "before")
-            if rank.filter(moving).isEmpty():
-                break
+    home = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
+    rank = start.select("kind", "host", F.col("seed").alias("rank"))
+    for _ in range(0, MOST_ROUNDS, KEEP_EVERY):
+        before = rank
+        for _ in range(KEEP_EVERY):  # each round reads the one before it once, so the plan grows with the rounds only
+            moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
+            moved = moved.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            rank = moved.unionByName(home).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = durable_copy(rank, "rank")
+        both = rank.withColumn("was", F.lit(0.0)).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
+        both = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+        if both.filter(F.abs(F.col("rank") - F.col("was")) > tolerance * F.greatest("rank", "was")).isEmpty():
+            break
     else:
         raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
