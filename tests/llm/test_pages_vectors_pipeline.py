@@ -295,12 +295,12 @@ def test_archive_query(spark, data):
     assert {r[0]: tuple(r)[1:] for r in QUERIES["op10_warc_archives"](spark, data).collect()} == expected
 
 
-@pytest.mark.parametrize("name", ["op3_repeated_passages", "op10_warc_archives"])
+@pytest.mark.parametrize("name", ["op3_repeated_passages", "op10_warc_archives", "op12_conversation_repair"])
 def test_query_equals_its_sql(spark, data, name):
     from fleetloom.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     cursor = con.execute(SQL[name])
     columns = [d[0] for d in cursor.description]
