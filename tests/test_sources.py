@@ -1,10 +1,12 @@
 import hashlib
 import os
+from types import SimpleNamespace
 
 import pytest
 from helpers import one, values
 from pyspark.sql import functions as F
 
+from bindings import source_queries
 from fleetloom.operators import benchmarks, logs
 from fleetloom.session import scratch_path, shared_dir
 from fleetloom.sources import readers, sinks
@@ -224,3 +226,12 @@ def test_only_files_with_metrics_are_opened(spark, tmp_path):
     assert {f.split("/20260701_1/")[1] for f in scan.inputFiles()} == wanted
     got = one(benchmarks.benchmark_summary(scan, pos="place"))
     assert (got["stream_copy_mbs"], got["latency_us"], got["hpcg_rating"]) == (5.0, 1.5, "7.0")
+
+
+def test_records_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(source_queries, "FILES_A_TASK", 10, raising=False)
+    supplier = spark.range(1, 101).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("n"), "id").alias("s_name"), (F.col("id") % 25).alias("s_nationkey"))
+    path = source_queries.record_files(SimpleNamespace(spark=spark, supplier=supplier)).removeprefix("file:")
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert len(files) == sum(k % 13 != 2 for k in range(1, 101))
+    assert len({f[:10] for f in files}) > 5
