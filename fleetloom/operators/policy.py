@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from fleetloom.functions import fixed_values as fixed
 from fleetloom.functions.text import as_col, glob_match, glob_parts
 from fleetloom.operators.kernels import side_flags
+from fleetloom.session import tasks_for
+
+RENDERED_A_TASK = 5_000  # policies that one task renders
 
 
 def action_grants(docs: DataFrame, banned: Sequence[str], *, keys: Sequence[str] = ("doc", "sid"), actions: str = "actions") -> DataFrame:
@@ -60,9 +63,11 @@ def policy_size(
 
     ``attachments`` names the template each cluster uses, so the templates come in by an
     equi-join on their name. Text that is not JSON after rendering has no size. ``unfilled`` marks
-    text in which one of ``placeholders`` is left.
+    text in which one of ``placeholders`` is left. Attachments are dealt to tasks by their number
+    first: a row is small, but costs its whole template many times over.
     """
-    joined = attachments.join(templates.select(template, F.col(text).alias("_text")), template, "left")
+    dealt = attachments.repartition(tasks_for(attachments, RENDERED_A_TASK))
+    joined = dealt.join(templates.select(template, F.col(text).alias("_text")), template, "left")
     joined = joined.withColumn("_text", render_template("_text", values))
     minified = F.to_json(F.try_parse_json("_text"))
     size = F.octet_length(minified).cast("bigint")

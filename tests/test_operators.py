@@ -765,6 +765,16 @@ def test_policy_size_counts_minified_bytes(spark):
     assert values(policy.policy_size(use, left, {"<NAME>": "name"}), "id", "unfilled") == [(1, True), (2, True), (3, True), (4, False), (5, False)]
 
 
+def test_policies_are_rendered_by_many_tasks(spark, monkeypatch):
+    """Small rows that cost much are dealt by their number, not by their bytes."""
+    monkeypatch.setattr(policy, "RENDERED_A_TASK", 10, raising=False)
+    templates = spark.createDataFrame([("t", '{"a": "<NAME>"}')], "template string, text string")
+    use = spark.range(95).select("id", F.when(F.col("id") > 0, "t").alias("template"), F.lit("é").alias("name")).coalesce(1)
+    got = policy.policy_size(use, templates, {"<NAME>": "name"}).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["id"], r["bytes"]) for r in got) == [(n, 10 if n else None) for n in range(95)]
+    assert len({r["task"] for r in got}) == 10
+
+
 def test_cleanup_items_are_rows(spark):
     rows = [("c", "r1", True, True), ("c", "r1", True, True), ("c", "r2", False, True), ("c", "r3", False, False)]
     steps = spark.createDataFrame(rows, "cluster string, resource string, failed boolean, retained boolean")
