@@ -6,7 +6,7 @@ turns bad, or until its waiting time is over.
 ``track_transitions`` treats a wait as a session that ends at its deadline and emits each
 outcome once, when the watermark passes that end; it runs on built-in operators alone.
 ``track_transitions_live`` emits an outcome as soon as it is known: typed value state for each
-request, a timer at its deadline, and waits that are already open as initial state.
+key, which lists its open requests, a timer at the next deadline, and waits that are already open as initial state.
 ``track_history`` computes the same outcomes over a history table.
 """
 
@@ -105,8 +105,12 @@ def track_transitions(
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Wait(StatefulProcessor):
-    """One open request: whether its outcome is out, and when and how its last sample came."""
+class _Waits(StatefulProcessor):
+    """The open requests of a key: whether the outcome of each is out, and when and how its last sample came.
+
+    Every call to the state store costs as much as many samples, so all requests of a key share one
+    state and one timer, which is set for the earliest deadline among them.
+    """
 
     def __init__(self, names: list[str], wait_us: int, labels: tuple[str, str, str, str]):
         self._row = Row(*names)
@@ -114,39 +118,57 @@ class _Wait(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("wait", "done boolean, last_us long, last_broken boolean")
-
-    def _deadline(self, key: tuple) -> int:
-        return key[-1] + self._wait_us
-
-    def _due(self, key: tuple) -> None:
-        self._handle.registerTimer(self._deadline(key) // 1000 + 1)
+        self._state = handle.getValueState("waits", "waits array<struct<request_us: bigint, done: boolean, last_us: bigint, last_broken: boolean>>")
+
+    def _due_ms(self, request_us: int) -> int:
+        return (request_us + self._wait_us) // 1000 + 1
+
+    def _known(self) -> dict[int, tuple[bool, int, bool]]:
+        state = self._state.get()
+        return {request_us: (done, last_us, last_broken) for request_us, done, last_us, last_broken in state[0]} if state else {}
+
+    def _keep(self, waits: dict[int, tuple[bool, int, bool]], timer_ms: int | None) -> None:
+        """Store ``waits`` and set the timer for the first of them, if it isn't at ``timer_ms``, where one is set."""
+        if not waits:
+            return self._state.clear()
+        self._state.update(([(request_us, *wait) for request_us, wait in waits.items()],))
+        due = self._due_ms(min(waits))
+        if due != timer_ms:
+            if timer_ms is not None:
+                self._handle.deleteTimer(timer_ms)
+            self._handle.registerTimer(due)
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        self._state.update((bool(initialState["done"]), initialState["last_us"], bool(initialState["last_broken"])))
-        self._due(key)
+        self._keep({r["request_us"]: (bool(r["done"]), r["last_us"], bool(r["last_broken"])) for r in initialState["waits"]}, None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self._state.get() if self._state.exists() else None
-        done, last_us, last_broken = known or (False, -1, False)
-        best: tuple[int, int] | None = None
-        for at, code in ((r["at_us"], r["code"]) for r in rows):
+        waits = self._known()
+        timer_ms = self._due_ms(min(waits)) if waits else None
+        best: dict[int, tuple[int, int]] = {}
+        for *_, request_us, _, at, code in rows:
+            done, last_us, last_broken = waits.get(request_us, (False, -1, False))
             if at > last_us:
                 last_us, last_broken = at, bool(code % 2)
+            waits[request_us] = done, last_us, last_broken
             if code // 2:
-                best = min(best or (at, -(code // 2)), (at, -(code // 2)))
-        if known is None:
-            self._due(key)
-        if best is not None and not done:
-            done = True
-            yield self._row(*key, self._labels[0] if best[1] == -_SUCCESS else self._labels[1], best[0])
-        self._state.update((done, last_us, last_broken))
+                found = (at, -(code // 2))
+                best[request_us] = min(best.get(request_us, found), found)
+        for request_us, (at, verdict) in best.items():
+            done, *last = waits[request_us]
+            if not done:
+                waits[request_us] = True, *last
+                yield self._row(*key, request_us, self._labels[0] if verdict == -_SUCCESS else self._labels[1], at)
+        self._keep(waits, timer_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        done, _, last_broken = self._state.get() if self._state.exists() else (True, -1, False)
-        self._state.clear()
-        if not done:
-            yield self._row(*key, self._labels[3] if last_broken else self._labels[2], self._deadline(key))
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(timerValues.getCurrentWatermarkInMs(), expired + 1)
+        waits = self._known()
+        for request_us in [r for r in waits if self._due_ms(r) < now]:
+            done, _, last_broken = waits.pop(request_us)
+            if not done:
+                yield self._row(*key, request_us, self._labels[3] if last_broken else self._labels[2], request_us + self._wait_us)
+        self._keep(waits, None)
 
     def close(self) -> None:
         pass
@@ -168,8 +190,8 @@ def track_transitions_live(
 ) -> DataFrame:
     """Outcome of every request on a stream, emitted once and as soon as it is known.
 
-    State is one small typed row per open request, dropped by a timer when the watermark passes the
-    deadline. ``open_waits`` (see there) carries over what was known before the stream began.
+    State is one typed row per key that lists its open requests; a timer drops those whose
+    deadline the watermark has passed. ``open_waits`` (see there) carries over what was known before the stream began.
     The session is set to the state store that timers need; a request has at most as many samples
     as polls fit into its waiting time.
     """
@@ -191,9 +213,10 @@ def track_transitions_live(
     )
     known = None
     if open_waits is not None:
-        known = open_waits.select(*keys, F.unix_micros("request_ts").alias("request_us"), "done", "last_us", "last_broken").groupBy(*keys, "request_us")
-    outcomes = packed.groupBy(*keys, "request_us").transformWithState(
-        _Wait(output.names, timeout_seconds * 1_000_000, labels), output, "Append", "EventTime", initialState=known
+        wait = F.struct(F.unix_micros("request_ts").alias("request_us"), "done", "last_us", "last_broken")
+        known = open_waits.groupBy(*keys).agg(F.collect_list(wait).alias("waits")).groupBy(*keys)
+    outcomes = packed.groupBy(*keys).transformWithState(
+        _Waits(output.names, timeout_seconds * 1_000_000, labels), output, "Append", "EventTime", initialState=known
     )
     return outcomes.select(
         *keys,

@@ -152,6 +152,23 @@ def test_a_live_tracker_goes_on_after_a_restart(spark, tmp_path):
     assert got == sorted(FINAL, key=repr)
 
 
+def test_requests_of_a_key_share_one_state(spark, tmp_path):
+    """Twenty requests of each of three keys, some closed by the next batch, whose time runs out for some of the others."""
+    first = [(k, 5 * n, 5 * n + 1, "RUNNING" if n % 3 == 0 else "STARTING", 0) for k in "abc" for n in range(20)]
+    second = [(k, 5 * n, 5 * n + 40, "PROTECTED", 0) for k in "ab" for n in range(19)] + [("beat", 90, 91, "STARTING", 0)]
+    stream = feed(spark, f"{tmp_path}/in", [first, second])
+    tracked = trackers.track_transitions_live(stream, key="key", ts="ts", request_ts="request_ts", **trackers.fleet_wait("status", "RUNNING"))
+    out, log = scratch_path(spark, "out"), scratch_path(spark, "log")
+    got = {(r["key"], r["request_ts"]): (r["outcome"], r["outcome_ts"]) for r in plans.run_to_files(tracked, out, log).collect()}
+    mark = 5 * 18 + 40 - 10
+    expected = {(k, at(5 * n)): ("REACHED", at(5 * n + 1)) for k in "abc" for n in range(0, 20, 3)}
+    expected |= {(k, at(5 * n)): ("ABORTED", at(5 * n + 40)) for k in "ab" for n in range(19) if n % 3}
+    expected |= {("c", at(5 * n)): ("TIMEOUT", at(5 * n + 44.5)) for n in range(20) if n % 3 and 5 * n + 44.5 < mark}
+    assert got == expected
+    held = spark.read.format("statestore").option("stateVarName", "waits").load(log)
+    assert sorted(r[0] for r in held.select("key.key").collect()) == ["a", "b", "beat", "c"]
+
+
 def test_open_waits_are_carried_over(spark, tmp_path):
     """What a history table knows is the initial state of the stream behind it."""
     conditions = trackers.fleet_wait("status", "RUNNING")
