@@ -505,6 +505,17 @@ def test_ranges_of_skewed_values_and_open_ends(spark):
     assert kernels.range_match(points, ranges.limit(0), key="k", value="value").count() == 0
 
 
+def test_a_part_with_many_pairs_is_split(spark, monkeypatch):
+    """Equal values lie in one part, which one task would compare with all ranges."""
+    monkeypatch.setattr(kernels, "GROUP_PAIRS", 20, raising=False)
+    monkeypatch.setattr(kernels, "TASK_PAIRS", 10, raising=False)
+    points = spark.createDataFrame([("k", 5.0, n) for n in range(300)], "k string, value double, row int")
+    ranges = spark.createDataFrame([("k", 1.0, 9.0 if n % 2 == 0 else None, n) for n in range(40)], "k string, low double, high double, n int")
+    got = kernels.range_match(points, ranges, key="k", value="value").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["row"], r["n"]) for r in got) == [(p, n) for p in range(300) for n in range(40)]
+    assert len({r["task"] for r in got if r["high"]}) > 1 and len({r["task"] for r in got if not r["high"]}) > 1
+
+
 # --- quality ---------------------------------------------------------------------------
 
 
