@@ -476,6 +476,27 @@ def test_runs_beside_spans_equal_plain_code(spark):
     assert sum(k == 3 for spans in got.values() for _, k, _ in spans) > 20
 
 
+def test_models_count_the_strings_of_all_documents(spark):
+    """More documents and values than a sample would hold; repeated words count each time, repeated values once."""
+    draw = np.random.default_rng(15)
+    text = lambda n: "".join(draw.choice(list("ghijklmn0123456789"), n))
+    docs = [(n, text(20), "".join(draw.choice(list("ghijklmn"), 9))) for n in range(6_000)]
+    made = rows(spark, *[(n, f"token={value} {word} {word}") for n, value, word in docs], (6_000, f"token={docs[0][1]}"))
+    models = secrets.learn(made)
+    values, words = {f"token={v}" for _, v, _ in docs}, [w for *_, w in docs]  # a value is taken with its name, as far as it is of token characters
+    strings = spark.createDataFrame([(s,) for s in {*values, *words}], "value string")
+    kept = {r["value"] for r in strings.filter(F.pmod(F.xxhash64(F.lit("held out"), "value"), F.lit(secrets.HELD_OUT)) != 0).collect()}
+    pairs = lambda strings: Counter(s[i : i + 2] for s in strings if s in kept for i in range(len(s) - 1))
+    found, plain = pairs(values), pairs(words * 2)
+    total = lambda counts, a: sum(n for p, n in counts.items() if p[0] == a)
+    size = len(secrets.ALPHABET)
+    likely = lambda counts, u, a, b: u / size + (1 - u) * counts[a + b] / total(counts, a)
+    for a in "ghijklmn":
+        for b in "ghijklmn":
+            expected = np.log(likely(found, secrets.UNSEEN_RANDOM, a, b) / likely(plain, secrets.UNSEEN_ORDINARY, a, b))
+            assert models.ratios[secrets.ALPHABET.index(a) * size + secrets.ALPHABET.index(b)] == pytest.approx(expected, rel=1e-9)
+
+
 def test_the_limit_is_chosen_on_strings_that_were_not_learned_from(spark):
     draw = np.random.default_rng(14)
     random = lambda n: "".join(draw.choice(list(secrets.ALPHABET), n))
