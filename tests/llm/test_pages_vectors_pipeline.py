@@ -206,6 +206,40 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     assert {r["vec_id"] for r in got} == {2, 3} and len(got) == 3
 
 
+def test_tasks_do_not_send_a_sample_each(spark):
+    """The driver gets the sample once, however many tasks read the vectors; it is that of the least hashes."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=64).tolist()) for i in range(8000)] + [(5, [1.0] * 64), (7, [1.0] * 3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(16)
+    least = [r["vec_id"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(500).collect()]
+    conf = spark.sparkContext._jsc.sc().conf()
+    usual = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")  # 16 samples of 500 vectors are over 4 MB
+    try:
+        sample, total = ann._sample(ann.usable(vectors), 500)
+        found = ann.nearest(vectors, vectors.filter("vec_id in (11, 13)"), k=5, sample_rows=500).count()
+    finally:
+        conf.set("spark.driver.maxResultSize", usual)
+    assert total == 8002 and found == 10
+    assert not {5, 7} & set(least) and np.array_equal(sample, np.array([rows[i][1] for i in least]))
+
+
+def test_every_block_of_queries_meets_every_block_of_rows(spark, monkeypatch):
+    """Shares of many blocks give the rows of a full search, and no side is broadcast."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 16)
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=8)) for i in range(400)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    found = ann.nearest(vectors, vectors, k=3, radius=8)
+    expected = exact(rows, rows, 3)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()} == {(q, n, i) for q, near in expected.items() for n, (_, i) in enumerate(near, 1)}
+    hashing = ann.learn(np.array([v for _, v in rows]), 3)
+    blocks = ann.durable_copy(ann._blocks(vectors, hashing, 32), "blocks")
+    plan = ann._search(blocks, blocks, hashing, 3, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Exchange" not in plan
+
+
 def test_a_narrow_radius_still_finds_enough(spark):
     draw = np.random.default_rng(1)
     rows = [(i, draw.normal(size=16).tolist()) for i in range(200)]
