@@ -117,6 +117,39 @@ def test_ranking_separates_and_cuts_at_the_share():
     assert quality.fit_ranking(np.zeros((0, 3)), np.zeros(0, bool)).score(np.zeros((1, 3))).tolist() == [0.5]
 
 
+def test_ranking_minimises_the_loss_of_all_pairs():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(150, 4)) * [1, 2, 0.1, 30] + 5
+    x[0] *= 40
+    good = x[:, 0] + draw.normal(size=150) > 5
+    found = quality.fit_ranking(x, good)
+    z = (x - found.mean) / found.scale
+    apart = (z[good][:, None] - z[~good]).reshape(-1, 4)
+    lost = 1 / (1 + np.exp(apart @ found.weights))
+    assert np.abs(apart.T @ lost / len(apart) - quality.RIDGE * found.weights).max() < 1e-8
+    assert (found.score(x) < 0.5).sum() == (~good).sum()
+
+
+def test_all_labelled_rows_teach(spark):
+    """More rows than a sample of 20,000; an id that is labelled twice teaches twice."""
+    text = F.concat_ws(" ", F.expr("repeat('Word and, more. ', int(id % 7) + 1)"), F.expr("if(id % 5 = 0, repeat('BAD!! 77 ', int(id % 3)), 'fine; ends.')"), F.expr("repeat('x', int(id % 11))"))
+    docs = spark.range(36_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", F.expr("if(doc_id % 5 = 0 and doc_id % 13 > 1, 0, 1)").alias("quality")).union(spark.createDataFrame([(0, 0), (5, 1)], "doc_id long, quality int"))
+    taught = labels.filter(~quality.held_out("doc_id")).join(docs, "doc_id").collect()
+    assert len(taught) > 22_000
+    x = {t: quality.features(t) for t in {r["text"] for r in taught}}
+    expected = quality.fit_ranking(np.array([x[r["text"]] for r in taught]), np.array([r["quality"] == 1 for r in taught]))
+    found = quality.learn(docs.repartition(5), labels)
+    assert np.allclose(found.weights, expected.weights, rtol=0, atol=1e-6) and found.threshold == pytest.approx(expected.threshold, abs=1e-6)
+
+
+def test_value_of_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW_ROWS", 3)
+    s = [-1e9, -2.5, -2.5, -2.5, -2.5, 0.0, 1e-9, 2e-9, 3e-9, 4e-9, 7.0, 7.0, 8.0]
+    values = spark.createDataFrame([(v,) for v in s], "s double")
+    assert [quality._value_at(values, k) for k in range(len(s))] == s
+
+
 def test_features_of_odd_texts():
     assert quality.features(None).tolist() == quality.features("").tolist() == quality.features(" \n").tolist()
     for text in ("a", "\ud800", "x" * 10**6, "word " * 10**5, "é ß 日本"):
